@@ -36,18 +36,22 @@ def _grams(words: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
-def _winnowed(hashes: Column, run: int) -> Column:
-    """Of each `run` consecutive hashes the least (of equals the first): its upper bits, then its position in _BITS bits."""
-    packed = F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, _BITS), _BITS).bitwiseOR(i.cast("long")))
-    starts = F.when(F.size(hashes) >= run, F.sequence(F.lit(1), F.size(hashes) - run + 1)).otherwise(F.array().cast("array<int>"))
+def _packed(hashes: Column) -> Column:
+    """Each hash's upper bits, then its position in _BITS bits: the order by hash breaks ties by position."""
+    return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, _BITS), _BITS).bitwiseOR(i.cast("long")))
+
+
+def _minima(packed: Column, run: int) -> Column:
+    """The distinct least values of each `run` consecutive ones."""
+    starts = F.when(F.size(packed) >= run, F.sequence(F.lit(1), F.size(packed) - run + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(packed, i, run))))
 
 
 def _fingerprints(df: DataFrame, keys: list[str], k: int, run: int) -> DataFrame:
-    """keys, pos, fp of a frame with keys and words."""
+    """keys, pos, fp of a frame with keys and words. Each step is a projection of its own: what a lambda reads is then a column."""
     hashed = df.select(*keys, _grams(F.col("words"), k).alias("hashes"))
-    packed = hashed.select(*keys, _winnowed(F.col("hashes"), run).alias("packed"))
-    each = packed.select(*keys, F.explode("packed").alias("p"))
+    packed = hashed.select(*keys, _packed(F.col("hashes")).alias("packed"))
+    each = packed.select(*keys, F.explode(_minima(F.col("packed"), run)).alias("p"))
     return each.select(*keys, F.col("p").bitwiseAND(F.lit(2**_BITS - 1)).cast("int").alias("pos"), F.shiftright("p", _BITS).alias("fp"))
 
 
