@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, neardup, packing, pii, substrings, topk, urls
+import corpus_pipeline
+from lumenframe.llm import decontaminate, neardup, packing, pii, quality, substrings, topk, toxicity, urls
 from lumenframe.llm.common import table
 
 
@@ -15,6 +16,24 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").filter(_remainder(3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.fit(docs, learn))
+    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    learn = table(spark, sf_dir, "labels").filter(_remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.fit(docs, learn))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
@@ -57,12 +76,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_top_k": op5_top_k,
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 _DUCK_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
