@@ -23,7 +23,7 @@ from lumenframe.llm.common import ascii_lower, small, stage
 #: Letters, digits and all that is not ASCII; A-Z are folded before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BITS = 26
-_NO_ID = F.lit(-(2**63))
+_NO_ID = -(2**63)
 
 
 def words_of(text: Column) -> Column:
@@ -61,7 +61,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> Dat
     if not 1 <= k <= window:
         raise ValueError("k must lie in 1..window")
     keys = ["id_key", "text_key"]
-    given = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), _NO_ID).alias("id_key"), F.xxhash64("text").alias("text_key"), "text")
+    given = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id_key"), F.xxhash64("text").alias("text_key"), "text")
     worded = given.select(*keys, words_of(F.col("text")).alias("words"))
     named = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words"))
     known = stage(named.filter(F.size("item_words") > 0).distinct().withColumn("item_key", F.xxhash64("item_id", "item_words")), "items")
@@ -93,7 +93,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1)))
     by_item = hits(docs, items, window, k).select(*keys, "item_id", F.array_distinct(covered).alias("covered"))
     by_doc = stage(by_item.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")), "decontaminated")
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), _NO_ID).alias("id_key"), F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id_key"), F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return counted.join(small(by_doc), keys, "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
@@ -102,6 +102,6 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> Da
     """The rows of docs without any hit, with all their columns."""
     keys = ["id_key", "text_key"]
     dirty = stage(hits(docs, items, window, k).select(*keys).distinct(), "contaminated")
-    named = {"id_key": F.coalesce(F.col("doc_id").cast("long"), _NO_ID), "text_key": F.xxhash64("text")}
+    named = {"id_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "text_key": F.xxhash64("text")}
     same = [named[c] == F.col(f"dirty.{c}") for c in keys]
     return docs.join(small(dirty).alias("dirty"), same, "left_anti")
