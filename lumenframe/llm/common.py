@@ -51,6 +51,16 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+#: The names of a row of documents: its id (null made a number) and its text's hash.
+ROW_KEYS = ["id_key", "text_key"]
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id (long), id_key, text_key and text of every row of docs."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return given.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id_key"), F.xxhash64("text").alias("text_key"), "text")
+
+
 def wide_enough(df: DataFrame) -> DataFrame:
     """A staged table may be one small file; what follows is heavy work by row, so it is dealt out again."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -103,7 +113,6 @@ def substring_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mixed((sums[end] - sums[start]) * down[start])
 
 
-
 def add_columns(df: DataFrame, inputs: list[str], fields: list[pa.Field], kernel, rows: int = 512) -> DataFrame:
     """df with new columns (older ones of the same names go, whatever their case) that `kernel` makes of lists of the input columns.
 

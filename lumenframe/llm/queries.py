@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenframe.llm import decontaminate, neardup, packing, pii, quality, substrings, topk, toxicity, urls
+from lumenframe.llm import decontaminate, neardup, packing, pii, quality, spans, substrings, topk, toxicity, urls
 from lumenframe.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents"), sentences=3, words=40)
+
+
 def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -53,8 +57,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _joined(spans: Column) -> Column:
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+def _joined(found: Column) -> Column:
+    return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +80,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_sentence_spans": op2_sentence_spans,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_top_k": op5_top_k,
@@ -90,6 +95,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _DUCK_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_sentence_spans": rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, CASE WHEN regexp_matches(text, '[^\t\n\f\r ]') THEN regexp_extract_all(text, '{spans.SENTENCE}') ELSE [] END AS p FROM documents),
+        w AS (SELECT doc_id, text, p, list_transform(p, lambda x: regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\t\n\f\r ]+')) AS s FROM d),
+        starts AS (SELECT doc_id, s, len(s) AS n, unnest(range(1, len(s) + 1)) AS i, CAST(coalesce(list_sum(list_transform(s, lambda x: len(x))), 0) AS BIGINT) AS total FROM w),
+        sized AS (SELECT doc_id, s, n, i, total, CASE WHEN len(s[i]) >= 40 THEN 1 WHEN i < n AND len(s[i]) + len(s[i + 1]) >= 40 THEN 2 ELSE 3 END AS k FROM starts),
+        runs AS (
+            SELECT doc_id, i, k, s[i : i + k - 1] AS run FROM sized WHERE i + k - 1 <= n
+            UNION ALL SELECT doc_id, 1, n, s FROM sized WHERE i = 1 AND n < 3 AND total < 40),
+        placed AS (SELECT doc_id, i, k, first_value(doc_id) OVER x AS source, first_value(i) OVER x AS place FROM runs WINDOW x AS (PARTITION BY run ORDER BY doc_id, i)),
+        again AS (SELECT * FROM placed WHERE doc_id <> source OR i <> place),
+        gone AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM again) GROUP BY doc_id),
+        firsts AS (SELECT doc_id, min(source) AS first_doc_id FROM again GROUP BY doc_id)
+        SELECT doc_id, CAST(len(p) AS BIGINT) AS n_sentences, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, first_doc_id,
+               CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda j: NOT list_contains(gone, j)), lambda j: p[j]), '') END AS text
+        FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN firsts USING (doc_id)
+    """,
     "op5_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings

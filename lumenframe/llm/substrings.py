@@ -32,21 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import batches, mixed, prefix_sums, small, stage, substring_hash
+from lumenframe.llm.common import ROW_KEYS, batches, keyed, mixed, prefix_sums, small, stage, substring_hash
 
 _SEGMENT = 1 << 22  # strings of a text that are handled at once
 _POSITION = np.uint64((1 << 23) - 1)
 #: A difference cover of the residues modulo 31: every residue is the difference of two of these.
 COVER_PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
-_KEYS = ["id_key", "text_key"]
-
-
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, text and the names of the row: its id (null made a number) and its text's hash."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id_key"), F.xxhash64("text").alias("text_key"), "text")
-
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive values: suffix and prefix minima of blocks of that width meet in every window."""
@@ -145,8 +137,8 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 48, most: in
     blocks of one anchor that a bin may hold; per_bin: the blocks that a bin holds on average."""
     if not 8 <= gram <= length or length < COVER_PERIOD + 8:
         raise ValueError("gram must lie in 8..length, and length be 39 or more")
-    keyed = _keyed(docs, text)
-    longs = pa.schema([(c, pa.int64()) for c in (*_KEYS, "anchor", "block", "begin")] + [("n", pa.int32()), ("offset", pa.int32())])
+    rows = keyed(docs, text)
+    longs = pa.schema([(c, pa.int64()) for c in (*ROW_KEYS, "anchor", "block", "begin")] + [("n", pa.int32()), ("offset", pa.int32())])
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
@@ -158,25 +150,25 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 48, most: in
                 [pa.array(np.repeat(ids, each)), pa.array(np.repeat(texts, each)), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), pa.array(begin), pa.array(n.astype(np.int32)), pa.array(offset.astype(np.int32))], schema=longs
             )
 
-    found = stage(keyed.select(*_KEYS, "text").mapInArrow(scan, "id_key long, text_key long, anchor long, block long, begin long, n int, offset int"), "runs")
+    found = stage(rows.select(*ROW_KEYS, "text").mapInArrow(scan, "id_key long, text_key long, anchor long, block long, begin long, n int, offset int"), "runs")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("block") != F.max("block")).alias("differ")).filter("times > 1")
     shared = stage(found.join(anchors.select("anchor", "differ"), "anchor"), "shared-runs")
     end = (F.col("begin") + F.col("n") - 1 + length).alias("end")
-    alike = shared.filter("not differ").select(*_KEYS, "begin", end)
+    alike = shared.filter("not differ").select(*ROW_KEYS, "begin", end)
 
     mixed_runs = shared.filter("differ").drop("differ")
-    first = F.min(F.struct(*_KEYS, "begin")).alias("at")
+    first = F.min(F.struct(*ROW_KEYS, "begin")).alias("at")
     blocks = stage(mixed_runs.groupBy("anchor", "block").agg(F.count("*").alias("times"), first, F.first("n").alias("n"), F.first("offset").alias("offset")), "blocks")
-    again = mixed_runs.join(blocks.filter("times > 1").select("anchor", "block"), ["anchor", "block"]).select(*_KEYS, "begin", end)
+    again = mixed_runs.join(blocks.filter("times > 1").select("anchor", "block"), ["anchor", "block"]).select(*ROW_KEYS, "begin", end)
 
     buckets = blocks.groupBy("anchor").agg(F.count("*").alias("different"))
     total = blocks.count()
     bins = max(1, -(-total // per_bin))
     sized = blocks.join(buckets, "anchor").select("at.*", "anchor", "n", "offset", (F.col("times") > 1).alias("settled"), (F.col("different") > most).alias("large"))
-    wanted = stage(sized.groupBy(*_KEYS).agg(F.collect_list(F.struct("anchor", "begin", "n", "offset", "settled", "large")).alias("wanted")), "wanted")
-    holders = keyed.join(small(wanted.select(*_KEYS)), _KEYS, "left_semi").join(wanted, _KEYS)
+    wanted = stage(sized.groupBy(*ROW_KEYS).agg(F.collect_list(F.struct("anchor", "begin", "n", "offset", "settled", "large")).alias("wanted")), "wanted")
+    holders = rows.join(small(wanted.select(*ROW_KEYS)), ROW_KEYS, "left_semi").join(wanted, ROW_KEYS)
 
-    fields = pa.schema([*((c, pa.int64()) for c in (*_KEYS, "anchor", "begin")), ("n", pa.int32()), ("offset", pa.int32()), ("settled", pa.bool_()), ("large", pa.bool_()), ("piece", pa.binary())])
+    fields = pa.schema([*((c, pa.int64()) for c in (*ROW_KEYS, "anchor", "begin")), ("n", pa.int32()), ("offset", pa.int32()), ("settled", pa.bool_()), ("large", pa.bool_()), ("piece", pa.binary())])
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 64):
@@ -187,7 +179,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 48, most: in
                     rows.append({"id_key": id_key, "text_key": text_key, **w, "piece": data[w["begin"] : w["begin"] + w["n"] - 1 + length]})
             yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    fetched = stage(holders.select(*_KEYS, "text", "wanted").mapInArrow(fetch, "id_key long, text_key long, anchor long, begin long, n int, offset int, settled boolean, large boolean, piece binary"), "pieces")
+    fetched = stage(holders.select(*ROW_KEYS, "text", "wanted").mapInArrow(fetch, "id_key long, text_key long, anchor long, begin long, n int, offset int, settled boolean, large boolean, piece binary"), "pieces")
     schema = "id_key long, text_key long, begin long, end long"
     spans = pa.schema([(c, pa.int64()) for c in ("id_key", "text_key", "begin", "end")])
 
@@ -215,28 +207,28 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 48, most: in
     sorted_out = binned.groupBy("bin").applyInArrow(sort_bin, schema)
 
     # Anchors too large for a bin: each string's hash, counted.
-    strings = pa.schema([*((c, pa.int64()) for c in (*_KEYS, "anchor", "begin")), ("settled", pa.bool_()), ("string", pa.int64())])
+    strings = pa.schema([*((c, pa.int64()) for c in (*ROW_KEYS, "anchor", "begin")), ("settled", pa.bool_()), ("string", pa.int64())])
 
     def spell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 256):
             for r in batch.to_pylist():
                 sums, at = prefix_sums(np.frombuffer(r["piece"], np.uint8)), np.arange(r["n"])
                 hashes = substring_hash(sums, at, at + length).view(np.int64)
-                same = [pa.array(np.full(len(at), r[c], np.int64)) for c in (*_KEYS, "anchor")]
+                same = [pa.array(np.full(len(at), r[c], np.int64)) for c in (*ROW_KEYS, "anchor")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(at + r["begin"]), pa.array(np.full(len(at), r["settled"])), pa.array(hashes)], schema=strings)
 
-    large = fetched.filter("large").dropDuplicates([*_KEYS, "begin"])
+    large = fetched.filter("large").dropDuplicates([*ROW_KEYS, "begin"])
     spelt = large.mapInArrow(spell, "id_key long, text_key long, anchor long, begin long, settled boolean, string long")
     counted = spelt.groupBy("anchor", "string").agg(F.count("*").alias("times")).filter("times > 1").select("anchor", "string")
-    spelt_out = spelt.filter("not settled").join(counted, ["anchor", "string"]).select(*_KEYS, "begin", (F.col("begin") + length).alias("end"))
+    spelt_out = spelt.filter("not settled").join(counted, ["anchor", "string"]).select(*ROW_KEYS, "begin", (F.col("begin") + length).alias("end"))
     return alike.unionByName(again).unionByName(sorted_out).unionByName(spelt_out)
 
 
 def dedup(docs: DataFrame, length: int = 200, text: str = "text", **options) -> DataFrame:
     """doc_id, n_bytes, spans (begin, end of the maximal removed runs) and kept (the remaining bytes) of every row of docs."""
-    keyed = _keyed(docs, text)
-    cuts = stage(repeated_ranges(docs, length, text=text, **options).groupBy(*_KEYS).agg(F.collect_set(F.struct("begin", "end")).alias("cuts")), "cuts")
-    named = small(cuts.select(*_KEYS))
+    rows = keyed(docs, text)
+    cuts = stage(repeated_ranges(docs, length, text=text, **options).groupBy(*ROW_KEYS).agg(F.collect_set(F.struct("begin", "end")).alias("cuts")), "cuts")
+    named = small(cuts.select(*ROW_KEYS))
     kinds = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", kinds), ("kept", pa.binary())])
 
@@ -259,7 +251,7 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", **options) ->
                 kept.append(b"".join([*parts, data[at:]]))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.binary())], schema=fields)
 
-    touched = keyed.join(named, _KEYS, "left_semi").join(cuts, _KEYS).select("doc_id", "text", "cuts")
+    touched = rows.join(named, ROW_KEYS, "left_semi").join(cuts, ROW_KEYS).select("doc_id", "text", "cuts")
     schema = "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
-    whole = keyed.join(named, _KEYS, "left_anti").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast("array<struct<begin: bigint, end: bigint>>").alias("spans"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept"))
+    whole = rows.join(named, ROW_KEYS, "left_anti").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.array().cast("array<struct<begin: bigint, end: bigint>>").alias("spans"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept"))
     return touched.mapInArrow(cut, schema).unionByName(whole)
