@@ -42,7 +42,7 @@ def _partials(queries: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
     d = queries.shape[1]
     bound = d * int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0))
     kind = np.float64 if bound < 2**53 else np.int64
-    cuts = np.array_split(np.arange(d), min(SLICES, d)) or [np.arange(0)]
+    cuts = np.array_split(np.arange(d), max(1, min(SLICES, d)))
     return [(queries[:, c].astype(kind) @ vectors[:, c].astype(kind).T) for c in cuts] if d else [np.zeros((len(queries), len(vectors)))]
 
 
