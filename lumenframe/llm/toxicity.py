@@ -19,6 +19,7 @@ kept. An empty table gives no rows. Scores read the text alone.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import add_columns, batches, stage
+from lumenframe.llm.common import add_columns, batches, mixed, stage
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7)
@@ -54,6 +55,19 @@ def _marked(found: Counter) -> Counter:
     return found
 
 
+def copy_signs(counts: Counter, letters: int = 8, least: int = 10, bands: int = 8, rows: int = 5) -> list[int]:
+    """Hashes that near copies are likely to share: of each band's minima over the set of long words. Texts with too few have none."""
+    long_words = [t for t in counts if len(t) >= letters and "~" not in t]
+    if len(long_words) < least:
+        return []
+    hashes = np.array([zlib.crc32(t.encode()) for t in long_words], np.uint64)
+    minima = mixed(hashes[None, :] ^ mixed(np.arange(bands * rows, dtype=np.uint64) + np.uint64(1))[:, None]).min(axis=1).reshape(bands, rows)
+    sign = mixed(np.arange(bands, dtype=np.uint64) + np.uint64(1))
+    for column in minima.T:
+        sign = mixed(sign ^ column)
+    return sign.view(np.int64).tolist()
+
+
 class Vocabulary:
     """The kept terms, and the first letters by which a word is passed over at once."""
 
@@ -177,8 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, terms: int =
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     counts_type = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
-    counted = add_columns(given.join(sample, "doc_id"), ["text"], [pa.field("counts", counts_type)], lambda texts: [[[{"term": t, "n": n} for t, n in term_counts(x).items()] for x in texts]])
-    examples = stage(counted.select("doc_id", "label", "counts"), "examples")
+    fields = [pa.field("counts", counts_type), pa.field("signs", pa.list_(pa.int64()))]
+
+    def count(texts: list) -> list[list]:
+        found = [term_counts(x) for x in texts]
+        return [[[{"term": t, "n": n} for t, n in c.items()] for c in found], [copy_signs(c) for c in found]]
+
+    counted = add_columns(given.join(sample, "doc_id"), ["text"], fields, count)
+    examples = stage(counted.select("doc_id", "label", "counts", "signs"), "examples")
     examples = stage(_one_of_copies(examples), "distinct-examples")
     sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -214,14 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, terms: int =
     return Model(weights, [(r["doc_id"], r["label"], {c["term"]: c["n"] for c in r["counts"]}) for r in rows], shares, k)
 
 
-def _one_of_copies(examples: DataFrame, hashes: int = 4, letters: int = 8) -> DataFrame:
-    """Examples (a bounded sample) without those whose least-hashed long words are, for two of four hashes, an earlier example's."""
-    long_words = F.filter(F.col("counts.term"), lambda t: (F.length(t) >= letters) & ~t.contains("~"))
-    signs = F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda k: F.struct(k.alias("k"), F.array_min(F.transform("long", lambda t: F.xxhash64(t, k))).alias("least")))
-    signed = examples.select("doc_id", long_words.alias("long")).select("doc_id", F.explode(signs).alias("s")).filter("s.least is not null")
-    first = F.min("doc_id").over(Window.partitionBy("s.k", "s.least"))
-    copies = signed.select("doc_id", (first < F.col("doc_id")).alias("later")).groupBy("doc_id").agg(F.count_if("later").alias("n")).filter("n >= 2")
-    return examples.join(copies.select("doc_id"), "doc_id", "left_anti")
+def _one_of_copies(examples: DataFrame) -> DataFrame:
+    """Examples (a bounded sample) without those that share a sign with an earlier one."""
+    first = F.min("doc_id").over(Window.partitionBy("sign"))
+    copies = examples.select("doc_id", F.explode("signs").alias("sign")).select("doc_id", (first < F.col("doc_id")).alias("later")).filter("later")
+    return examples.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").drop("signs")
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
