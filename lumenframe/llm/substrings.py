@@ -152,7 +152,8 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 48, most: in
 
     found = stage(rows.select(*ROW_KEYS, "text").mapInArrow(scan, "id_key long, text_key long, anchor long, block long, begin long, n int, offset int"), "runs")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("block") != F.max("block")).alias("differ")).filter("times > 1")
-    shared = stage(found.join(anchors.select("anchor", "differ"), "anchor"), "shared-runs")
+    # Grouped tables are staged before the join, so that Spark can split a hot anchor's runs.
+    shared = stage(found.join(stage(anchors.select("anchor", "differ"), "anchors"), "anchor"), "shared-runs")
     end = (F.col("begin") + F.col("n") - 1 + length).alias("end")
     alike = shared.filter("not differ").select(*ROW_KEYS, "begin", end)
 
@@ -161,7 +162,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 48, most: in
     blocks = stage(mixed_runs.groupBy("anchor", "block").agg(F.count("*").alias("times"), first, F.first("n").alias("n"), F.first("offset").alias("offset")), "blocks")
     again = mixed_runs.join(blocks.filter("times > 1").select("anchor", "block"), ["anchor", "block"]).select(*ROW_KEYS, "begin", end)
 
-    buckets = blocks.groupBy("anchor").agg(F.count("*").alias("different"))
+    buckets = stage(blocks.groupBy("anchor").agg(F.count("*").alias("different")), "buckets")
     total = blocks.count()
     bins = max(1, -(-total // per_bin))
     sized = blocks.join(buckets, "anchor").select("at.*", "anchor", "n", "offset", (F.col("times") > 1).alias("settled"), (F.col("different") > most).alias("large"))
