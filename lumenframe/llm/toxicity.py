@@ -1,16 +1,16 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated.
 
 Terms are words (letters, lower-cased), their first four to seven letters, which catch inflected forms, and a mark for such a stem that
-occurs twice or more, since a cosine would level counts out. A term is kept if its
-chi-square with the label is significant among the examples, near copies counted once, and the best `terms` of those. Document frequencies for the weights come
-from all documents. The examples are a bounded sample of the labelled rows, so the index can be broadcast: at most `per_class` of each
+occurs twice or more, since a cosine would level counts out. Every term of an example is indexed. Its weight is its inverse document
+frequency, from all documents, times its chi-square with the label if that is significant among the examples, near copies counted once.
+The examples are a bounded sample of the labelled rows, so the index can be broadcast: at most `per_class` of each
 class, those with the least hash of their id. A vote weighs 1 / (1.1 - similarity), and is weighted back to its class's true share.
 
 The index keeps each term's postings by blocks of examples with the largest weight in each block. A query sums these maxima into a bound
-for every block, visits blocks from the highest bound, and stops when no bound reaches its k-th best similarity: the result is exact.
+for every block, visits blocks from the highest bound, and stops when no bound reaches its k-th best similarity: the result is exact. Maxima are kept for blocks that hold the term alone.
 The share of the votes for label 1 is calibrated by a logistic fit to the examples' own leave-one-out shares.
 
-Defined results: null and empty texts, and all texts without a kept term, have no neighbours and get the score of such examples. Ties in
+Defined results: null and empty texts, and all texts without a term of any example, have no neighbours and get the score of such examples. Ties in
 similarity go to the smaller id. Null labels and labels of unknown documents are ignored; of repeated labels one counts, the greatest.
 Without labels of both classes every score is the share of label 1 (0 without any). Rows that repeat are scored each; a null doc_id is
 kept. An empty table gives no rows. Scores read the text alone.
@@ -18,10 +18,12 @@ kept. An empty table gives no rows. Scores read the text alone.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -33,7 +35,7 @@ from lumenframe.llm.common import add_columns, batches, mixed, stage
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7)
-#: The chance of keeping any term that has nothing to do with the label, shared out among all terms tried (Bonferroni).
+#: The chance of weighting up any term that has nothing to do with the label, shared out among all terms tried (Bonferroni).
 ERROR = 0.05
 
 
@@ -69,58 +71,91 @@ def copy_signs(counts: Counter, letters: int = 8, least: int = 10, bands: int =
 
 
 class Vocabulary:
-    """The kept terms, and the first letters by which a word is passed over at once."""
+    """The terms of the examples, by number."""
 
-    def __init__(self, terms: list[str]):
-        self.terms = set(terms)
-        self.roots = {t.partition("~")[0][: _STEMS[0]] for t in terms}
+    def __init__(self, terms: list[str], cached: int = 100_000):
+        self.at = {t: n for n, t in enumerate(terms)}
+        self.mark = np.array([self.at.get(f"{t}2", -1) if t[-1] == "~" else -1 for t in terms], np.int64)
+        self.cached, self.words = cached, {}
 
-    def counts(self, text: str | None) -> dict[str, int]:
-        """term_counts, of kept terms alone."""
-        found: Counter = Counter()
+    def __reduce__(self):
+        return _unpacked, (zlib.compress("\n".join(self.at).encode()), self.cached)
+
+    def _numbers(self, word: str) -> tuple[int, ...]:
+        if (found := self.words.get(word)) is None:
+            if len(self.words) >= self.cached:
+                self.words.clear()
+            found = self.words[word] = tuple(n for t in _terms_of(word) if (n := self.at.get(t)) is not None)
+        return found
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """term_counts, of the examples' terms alone: their numbers and counts."""
         words = Counter(_WORD.findall((text or "").lower()))
-        roots, size = self.roots, _STEMS[0]
-        for word in [w for w in words if w[:size] in roots]:
-            for term in _terms_of(word):
-                found[term] += words[word]
-        return {t: n for t, n in _marked(found).items() if t in self.terms}
+        found = [self._numbers(w) for w in words]
+        every = np.fromiter(chain.from_iterable(found), np.int64)
+        terms, place = np.unique(every, return_inverse=True)
+        n = np.bincount(place, np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(x) for x in found]), len(terms))
+        marks = self.mark[terms[n > 1]]
+        marks = marks[marks >= 0]
+        return np.r_[terms, marks], np.r_[n, np.ones(len(marks))]
+
+
+def _unpacked(terms: bytes, cached: int) -> Vocabulary:
+    found = zlib.decompress(terms).decode()
+    return Vocabulary(found.split("\n") if found else [], cached)
+
+
+def _arrays(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return vector if isinstance(vector, tuple) else (np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector)))
+
+
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low[0], low[0] + 1, ... for size[0] numbers, then the same of low[1], and so on."""
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class BlockMaxIndex:
     """Postings of unit vectors, for exact top-k inner products of vectors without negative weights."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = 64):
+    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64):
         self.block, self.blocks, self.size = block, max(1, -(-len(vectors) // block)), len(vectors)
-        term = np.array([t for v in vectors for t in v], np.int64)
-        example = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
-        weight = np.array([w for v in vectors for w in v.values()], np.float64)
+        held = [_arrays(v) for v in vectors]
+        term, weight = np.concatenate([np.empty(0, np.int64), *(v[0] for v in held)]), np.concatenate([np.empty(0), *(v[1] for v in held)])
+        example = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
-        self.highest = np.zeros((terms, self.blocks))
-        np.maximum.at(self.highest, (term, example // block), weight)
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
         key = term[order] * self.blocks + self.example // block
-        self.cut = np.searchsorted(key, np.arange(terms * self.blocks + 1))  # where each term's block of postings starts
+        first = np.flatnonzero(np.diff(key, prepend=-1))  # where each term's block of postings starts; only blocks that hold the term
+        self.low, self.length = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
+        self.at = (key[first] % self.blocks).astype(np.int32)
+        self.highest = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.start = np.searchsorted(key[first] // self.blocks, np.arange(terms + 1))
 
-    def search(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a positive similarity, best first, ties to the lower, and their similarities. without: an example left out."""
-        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
-        bounds = weights @ self.highest[terms] if len(terms) else np.zeros(self.blocks)
+        terms, weights = _arrays(query)
+        per = self.start[terms + 1] - self.start[terms]
+        entries, asked = _ranges(self.start[terms], per), np.repeat(weights, per)
+        bounds = np.bincount(self.at[entries], asked * self.highest[entries], self.blocks)
         ids, values, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(ids) >= k and bounds[b] < floor - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.cut[t * self.blocks + b], self.cut[t * self.blocks + b + 1]
-                if lo < hi:
-                    sums[self.example[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(sums > 0)
+        order, done, step = np.argsort(-bounds, kind="stable"), 0, 4
+        while done < self.blocks and bounds[order[done]] > 0 and not (len(ids) >= k and bounds[order[done]] < floor - 1e-12):
+            group = order[done : done + step]
+            done, step = done + step, step * 2
+            chosen = np.zeros(self.blocks, bool)
+            chosen[group[bounds[group] >= (floor - 1e-12 if len(ids) >= k else 0)]] = True
+            here = chosen[self.at[entries]]
+            low, length = self.low[entries[here]], self.length[entries[here]]
+            postings = _ranges(low, length)
+            sums = np.bincount(self.example[postings], np.repeat(asked[here], length) * self.weight[postings], self.size)
             if without >= 0:
-                hit = hit[hit + b * self.block != without]
-            ids, values = np.r_[ids, hit + b * self.block], np.r_[values, sums[hit]]
-            order = np.lexsort((ids, -np.round(values, 12)))[:k]
-            ids, values = ids[order], values[order]
+                sums[without] = 0
+            hit = np.flatnonzero(sums > 0)
+            if len(hit) > 4 * k:
+                hit = hit[sums[hit] >= np.partition(sums[hit], len(hit) - k)[len(hit) - k] - 1e-11]
+            ids, values = np.r_[ids, hit], np.r_[values, sums[hit]]
+            best = np.lexsort((ids, -np.round(values, 12)))[:k]
+            ids, values = ids[best], values[best]
             floor = values[-1] if len(ids) >= k else 0.0
         return ids, values
 
@@ -142,8 +177,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 class Model:
     """What is broadcast: terms with their weights, the index of the examples, their ids and labels, and the calibration."""
 
-    def __init__(self, weights: dict[str, tuple[int, float]], examples: list[tuple[int, int, dict[str, int]]], shares: tuple[float, float], k: int):
-        self.weights, self.k, self.vocabulary = weights, k, Vocabulary(list(weights))
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, examples: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], shares: tuple[float, float], k: int):
+        self.weights, self.k, self.vocabulary, self.counts = weights, k, vocabulary, [e[2] for e in examples]
         self.ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
         per = np.array([(self.labels == c).sum() for c in (0, 1)], np.float64)
         self.vote = (np.array(shares) / np.maximum(per, 1))[self.labels]  # what an example stands for
@@ -159,20 +194,28 @@ class Model:
             rest = ~known
             self.prior = float(((self.vote * self.labels)[rest].sum() + 0.5 * self.vote.min() * shares[1]) / (self.vote[rest].sum() + 0.5 * self.vote.min()))
 
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        """Unit vector of (1 + log tf) * idf over the kept terms."""
-        raw = {at[0]: (1 + np.log(n)) * at[1] for term, n in counts.items() if (at := self.weights.get(term))}
-        norm = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: float(w / norm) for t, w in raw.items()} if norm else {}
+    def __getstate__(self) -> bytes:
+        """Without the index, which is larger than what it's built from: a broadcast is kept on every executor's disk."""
+        return zlib.compress(pickle.dumps(self.__dict__ | {"index": None}), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__ |= pickle.loads(zlib.decompress(state))
+        self.index = BlockMaxIndex([self.vector(c) for c in self.counts], len(self.weights)) if self.counts else None
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of (1 + log tf) * weight: the numbers of its terms, and their values."""
+        terms, n = counts
+        raw = (1 + np.log(n)) * self.weights[terms]
+        return terms, raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
 
     def share(self, ids: np.ndarray, similarity: np.ndarray) -> float | None:
         votes = self.vote[ids] / (1.1 - similarity)
         return float((votes * self.labels[ids]).sum() / votes.sum()) if len(ids) else None
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[dict]]:
+    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[dict]]:
         """The calibrated score and its evidence: the neighbours' ids, labels and similarities."""
         vector = self.vector(counts)
-        ids, similarity = self.index.search(vector, self.k) if vector and self.index else (np.empty(0, np.int64), np.empty(0))
+        ids, similarity = self.index.search(vector, self.k) if len(vector[0]) and self.index else (np.empty(0, np.int64), np.empty(0))
         share = self.share(ids, similarity)
         evidence = [{"doc_id": int(self.ids[i]), "label": int(self.labels[i]), "similarity": float(s)} for i, s in zip(ids, similarity, strict=True)]
         if share is None or self.line is None:
@@ -180,7 +223,7 @@ class Model:
         return float(1 / (1 + np.exp(-(self.line[0] + self.line[1] * share)))), evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, terms: int = 4000, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, k: int = 15) -> Model:
     """docs: doc_id, text; all of them count for document frequencies. labels: doc_id, label (0 or 1), the rows to learn from."""
     known = labels.filter("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -200,38 +243,56 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, terms: int =
     counted = add_columns(given.join(sample, "doc_id"), ["text"], fields, count)
     examples = stage(counted.select("doc_id", "label", "counts", "signs"), "examples")
     examples = stage(_one_of_copies(examples), "distinct-examples")
-    sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        return Model({}, [], shares, k)
-    each = examples.select("label", F.explode("counts.term").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), float(n0 + n1)
-    chi = total * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (total - a - b) * n0 * n1)
-    each = stage(each, "example-terms")
-    least = NormalDist().inv_cdf(1 - ERROR / (2 * max(1, each.count()))) ** 2
-    telling = each.filter(a + b < total).select("term", chi.alias("chi")).filter(F.col("chi") >= least).orderBy(F.desc("chi"), "term").limit(terms)
-    kept = sorted(r["term"] for r in telling.collect())  # at most `terms`
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(kept))
+    held = examples.toArrow().sort_by("doc_id")  # at most 2 * per_class rows
+    kept, rows, chi = _counted(held)
+    if not rows or len({label for _, label, _ in rows}) < 2:
+        return Model(Vocabulary([]), np.empty(0), [], shares, k)
+    words = Vocabulary(kept)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(words)
 
     def frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found, texts = np.zeros(len(vocabulary.value.at), np.int64), 0
         for batch in batches(it):
             for text in batch.column(0).to_pylist():
-                found.update(vocabulary.value.counts(text).keys())
-                found[""] += 1
-        yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
-
-    summed = given.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency = {r["term"]: r["n"] for r in summed.collect()}
-    n = frequency.pop("", 0)
-    weights = {t: (at, float(np.log((1 + n) / (1 + frequency.get(t, 0))) + 1)) for at, t in enumerate(kept)}
-    terms_kept = stage(docs.sparkSession.createDataFrame([(t,) for t in kept], "term string"), "terms") if kept else None
-    rows = []
-    if kept:  # at most 2 * per_class rows, of kept terms
-        pairs = examples.select("doc_id", "label", F.explode_outer("counts").alias("c")).join(F.broadcast(terms_kept), F.col("c.term") == F.col("term"), "left")
-        rows = pairs.groupBy("doc_id", "label").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.col("c"))).alias("counts")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return Model(weights, [(r["doc_id"], r["label"], {c["term"]: c["n"] for c in r["counts"]}) for r in rows], shares, k)
+                found[vocabulary.value.counts(text)[0]] += 1
+                texts += 1
+        at = np.flatnonzero(found)
+        yield pa.record_batch([pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[texts, found[at]], pa.int64())], names=["term", "n"])
+
+    summed = given.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(len(kept) + 1, np.int64)
+    frequency[summed["term"].to_numpy()] = summed["n"].to_numpy()  # the last counts the texts
+    least = NormalDist().inv_cdf(1 - ERROR / (2 * max(1, len(kept)))) ** 2
+    weights = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1) * np.where(chi >= least, np.maximum(chi, 1), 1)
+    return Model(words, weights, rows, shares, k)
+
+
+def _counted(held: pa.Table) -> tuple[list[str], list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], np.ndarray]:
+    """Of examples in the order of their ids: their terms, each example's id, label, terms (by number) and counts, and the terms'
+    chi-squares with the label (0 for terms in all examples). Rows that repeat an id are one example, with the greatest counts."""
+    ids, first, row = np.unique(held["doc_id"].to_numpy(), return_index=True, return_inverse=True)
+    labels = held["label"].to_numpy()[first].astype(np.int64)
+    counts = held["counts"].combine_chunks()
+    flat = counts.flatten()
+    coded = flat.field("term").dictionary_encode()
+    terms = coded.dictionary.to_pylist()
+    order = sorted(range(len(terms)), key=terms.__getitem__)
+    number = np.empty(len(terms), np.int64)
+    number[order] = np.arange(len(terms))
+    example = np.repeat(row, counts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    term, n = number[coded.indices.to_numpy(zero_copy_only=False)], flat.field("n").to_numpy(zero_copy_only=False)
+    by = np.lexsort((-n, term, example))
+    by = by[np.flatnonzero(np.diff(example[by] * len(terms) + term[by], prepend=-1))]
+    example, term, n = example[by], term[by].astype(np.int32), n[by]
+    cuts = np.searchsorted(example, np.arange(len(ids) + 1))
+    rows = [(int(i), int(y), (term[lo:hi], n[lo:hi])) for i, y, lo, hi in zip(ids, labels, cuts, cuts[1:], strict=False)]
+    n1, total = float(labels.sum()), float(len(ids))
+    n0 = total - n1
+    a = np.bincount(term, labels[example], len(terms))
+    b = np.bincount(term, minlength=len(terms)) - a
+    some = (a + b < total) & (n0 > 0) & (n1 > 0)
+    chi = np.where(some, total * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.where(some, (a + b) * (total - a - b) * n0 * n1, 1), 0)
+    return [terms[t] for t in order], rows, chi
 
 
 def _one_of_copies(examples: DataFrame) -> DataFrame:

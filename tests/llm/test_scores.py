@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -86,3 +87,31 @@ def test_queries_on_held_out_rows(spark):
     assert q.filter(F.col("predicted") == F.col("quality")).count() >= 0.9 * q.count()
     t = op3_toxicity(spark, sf).join(labels, "doc_id").filter("held_out")
     assert t.filter(F.col("predicted") == F.col("toxic")).count() >= 0.9 * t.count()
+
+
+def test_every_term_is_indexed(spark):
+    """Words that have nothing to do with the label find neighbours too; cosines are those over all terms."""
+    rows = labelled(spark)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.filter("doc_id < 160").select("doc_id", "label"), k=200)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    at = model.vocabulary.at
+    every = {i: toxicity.term_counts(t) for i, t in texts.items()}
+    assert set(at) == {t for i in texts if i < 160 for t in every[i]}
+
+    def vector(i):
+        v = {at[t]: (1 + np.log(n)) * model.weights[at[t]] for t, n in every[i].items() if t in at}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    held = {i: vector(i) for i in texts}
+    for r in toxicity.score(rows, model).filter("doc_id >= 160").collect():
+        want = {i: s for i in range(160) if (s := sum(x * held[i].get(t, 0) for t, x in held[r.doc_id].items())) > 0}
+        assert want and {e.doc_id for e in r.evidence} == set(want) and all(abs(e.similarity - want[e.doc_id]) < 1e-9 for e in r.evidence)
+
+
+def test_a_sent_model_is_the_same(spark):
+    rows = labelled(spark, 80)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "label"))
+    sent = pickle.loads(pickle.dumps(model))
+    for r in rows.collect():
+        assert sent.score(sent.vocabulary.counts(r.text)) == model.score(model.vocabulary.counts(r.text))
