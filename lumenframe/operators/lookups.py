@@ -30,12 +30,22 @@ def first_match(df: DataFrame, table: DataFrame, key: str, order: list[str | Col
 
 
 def top_k_cosine(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """query_id, neighbor_id, rank, similarity of each query's k nearest others. queries: key and vector; they are counted and
-    broadcast, and more than most_queries are refused (split them). Each partition keeps k a query before the shuffle."""
+    """query_id, neighbor_id, rank, similarity of each query's k nearest others. queries: key and vector; they are counted, and up to
+    most_queries are broadcast; more meet the rows in keyed cells (block of queries by block of rows). Each partition keeps k a query
+    before the shuffle."""
     asked = queries.select(F.col(key).alias("query_id"), vectors.normalised(F.col(vector)).alias("q"))
-    if (n := asked.count()) > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} are broadcast at once")
     given = df.select(F.col(key).alias("neighbor_id"), vectors.normalised(F.col(vector)).alias("v"))
-    scored = given.join(F.broadcast(asked), F.col("neighbor_id") != F.col("query_id")).select("query_id", "neighbor_id", vectors.dot(F.col("v"), F.col("q")).alias("similarity"))
+    others = F.col("neighbor_id") != F.col("query_id")
+    if (n := asked.count()) > most_queries:
+        blocks = -(-n // most_queries)
+        cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        dealt = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
+        asked = asked.withColumn("block", dealt("query_id", blocks)).withColumn("cell", every(cells))
+        met = given.withColumn("cell", dealt("neighbor_id", cells)).withColumn("block", every(blocks))
+        pairs = met.join(asked, ["block", "cell"]).filter(others)
+    else:
+        pairs = given.join(F.broadcast(asked), others)
+    scored = pairs.select("query_id", "neighbor_id", vectors.dot(F.col("v"), F.col("q")).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "neighbor_id"))
     return scored.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)

@@ -143,3 +143,10 @@ def test_stopping_rules():
     calls = []
     best = registry.with_patience(lambda k: calls.append(k) or (0.9 if k == 8 else 0.5), start=10)
     assert best == (8, 0.9) and len(calls) == 16
+
+
+def test_cosine_goes_by_blocks(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(90)], "vec_id long, v array<double>")
+    told = lambda most: sorted((r.query_id, r.rank, r.neighbor_id) for r in lookups.top_k_cosine(rows, "vec_id", "v", rows.filter("vec_id % 2 = 0"), 4, most).collect())
+    assert told(7) == told(10_000) and len(told(7)) == 45 * 4
