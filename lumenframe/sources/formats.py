@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.operators.batching import numbered
+from lumenframe.sources.sinks import POST_CSV
 
 SEPARATORS = {"tab": "\t", "space": " ", "comma": ",", ",": ",", ";": ";", " ": " ", "\t": "\t"}
 
@@ -204,7 +205,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=POST)
+    """Posts as append_posts writes them; an empty text isn't null (no line holds its end, so that stands for it on the way)."""
+    rows = spark.read.options(**POST_CSV, emptyValue="\n").csv(path, schema=POST)
+    return rows.select(*(F.when(F.col(c) == "\n", "").otherwise(F.col(c)).alias(c) for c in rows.columns))
 
 
 def read_scored_posts(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql.utils import AnalysisException
 
 from lumenframe.functions.text import one_line, tagged_prefix, time_of
 
+#: How posts are written and read, so that quotes, backslashes and outer white space come back.
+POST_CSV = {"sep": "\t", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
@@ -57,7 +60,7 @@ def label_scores(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def append_posts(df: DataFrame, path: str) -> None:
-    df.select("pid", one_line(F.col("title")).alias("title"), one_line(F.col("content")).alias("content")).write.mode("append").option("sep", "\t").csv(path)
+    df.select("pid", one_line(F.col("title")).alias("title"), one_line(F.col("content")).alias("content")).write.mode("append").options(**POST_CSV).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

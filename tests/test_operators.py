@@ -150,3 +150,11 @@ def test_cosine_goes_by_blocks(spark):
     rows = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(90)], "vec_id long, v array<double>")
     told = lambda most: sorted((r.query_id, r.rank, r.neighbor_id) for r in lookups.top_k_cosine(rows, "vec_id", "v", rows.filter("vec_id % 2 = 0"), 4, most).collect())
     assert told(7) == told(10_000) and len(told(7)) == 45 * 4
+
+
+def test_posts_come_back_whole(spark, tmp_path):
+    found = ['say "x"', '"', '""', "\\", 'a\\"b', "tab\there", "  outer ", "#", 'é' * 5000, 'end\\', '"a"\t"b"', "two\nlines", "", None]
+    rows = [(str(k), "t", c) for k, c in enumerate(found)]
+    sinks.append_posts(spark.createDataFrame(rows, "pid string, title string, content string"), str(tmp_path / "posts"))
+    got = {r.pid: r.content for r in formats.read_posts(spark, str(tmp_path / "posts")).collect()}
+    assert got == {k: c and c.replace("\n", " ") for k, _, c in rows}
