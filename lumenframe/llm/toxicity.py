@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated.
 
-Terms are words (letters, lower-cased), their first four to seven letters, which catch inflected forms, and a mark for such a stem that
-occurs twice or more, since a cosine would level counts out. Every term of an example is indexed. Its weight is its inverse document
-frequency, from all documents, times its chi-square with the label if that is significant among the examples, near copies counted once.
-The examples are a bounded sample of the labelled rows, so the index can be broadcast: at most `per_class` of each
-class, those with the least hash of their id. A vote weighs 1 / (1.1 - similarity), and is weighted back to its class's true share.
-
-The index keeps each term's postings by blocks of examples with the largest weight in each block. A query sums these maxima into a bound
-for every block, visits blocks from the highest bound, and stops when no bound reaches its k-th best similarity: the result is exact. Maxima are kept for blocks that hold the term alone.
-The share of the votes for label 1 is calibrated by a logistic fit to the examples' own leave-one-out shares.
-
-Defined results: null and empty texts, and all texts without a term of any example, have no neighbours and get the score of such examples. Ties in
+Terms are words (letters, lower-cased), and every word of an example is indexed. Its weight is its inverse document frequency, from all
+documents, times its chi-square with the label if that is significant among the examples, near copies counted once. The examples are a
+bounded sample of the labelled rows, so the index can be broadcast: at most `per_class` of each class, those with the least hash of their
+id. A vote weighs 1 / (1.1 - similarity), and is weighted back to its class's true share.
+
+The index keeps each term's postings by blocks of examples with the largest weight in each block that holds the term. A query sums these
+maxima into a bound for every block, visits blocks from the highest bound, and stops when no bound reaches its k-th best similarity: the
+result is exact. Examples are ordered by likeness before they are cut into blocks, so that a block's maxima come from like examples and
+bounds of unlike ones stay low. The share of the votes for label 1 is calibrated by a logistic fit to the examples' own leave-one-out
+shares.
+
+Defined results: null and empty texts, and all texts without a word of any example, have no neighbours and get the score of such examples. Ties in
 similarity go to the smaller id. Null labels and labels of unknown documents are ignored; of repeated labels one counts, the greatest.
 Without labels of both classes every score is the share of label 1 (0 without any). Rows that repeat are scored each; a null doc_id is
 kept. An empty table gives no rows. Scores read the text alone.
@@ -23,7 +24,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -34,32 +34,17 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import add_columns, batches, mixed, stage
 
 _WORD = re.compile(r"[^\W\d_]+")
-_STEMS = (4, 5, 6, 7)
 #: The chance of weighting up any term that has nothing to do with the label, shared out among all terms tried (Bonferroni).
 ERROR = 0.05
 
 
-def _terms_of(word: str) -> tuple[str, ...]:
-    return (word, *(f"{word[:n]}~" for n in _STEMS if len(word) >= n))
-
-
 def term_counts(text: str | None) -> Counter:
-    found: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for term in _terms_of(word):
-            found[term] += n
-    return _marked(found)
-
-
-def _marked(found: Counter) -> Counter:
-    for term in [t for t, n in found.items() if n > 1 and t[-1] == "~"]:
-        found[f"{term}2"] = 1
-    return found
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 def copy_signs(counts: Counter, letters: int = 8, least: int = 10, bands: int = 8, rows: int = 5) -> list[int]:
     """Hashes that near copies are likely to share: of each band's minima over the set of long words. Texts with too few have none."""
-    long_words = [t for t in counts if len(t) >= letters and "~" not in t]
+    long_words = [t for t in counts if len(t) >= letters]
     if len(long_words) < least:
         return []
     hashes = np.array([zlib.crc32(t.encode()) for t in long_words], np.uint64)
@@ -73,36 +58,22 @@ def copy_signs(counts: Counter, letters: int = 8, least: int = 10, bands: int =
 class Vocabulary:
     """The terms of the examples, by number."""
 
-    def __init__(self, terms: list[str], cached: int = 100_000):
+    def __init__(self, terms: list[str]):
         self.at = {t: n for n, t in enumerate(terms)}
-        self.mark = np.array([self.at.get(f"{t}2", -1) if t[-1] == "~" else -1 for t in terms], np.int64)
-        self.cached, self.words = cached, {}
 
     def __reduce__(self):
-        return _unpacked, (zlib.compress("\n".join(self.at).encode()), self.cached)
-
-    def _numbers(self, word: str) -> tuple[int, ...]:
-        if (found := self.words.get(word)) is None:
-            if len(self.words) >= self.cached:
-                self.words.clear()
-            found = self.words[word] = tuple(n for t in _terms_of(word) if (n := self.at.get(t)) is not None)
-        return found
+        return _unpacked, (zlib.compress("\n".join(self.at).encode()),)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """term_counts, of the examples' terms alone: their numbers and counts."""
-        words = Counter(_WORD.findall((text or "").lower()))
-        found = [self._numbers(w) for w in words]
-        every = np.fromiter(chain.from_iterable(found), np.int64)
-        terms, place = np.unique(every, return_inverse=True)
-        n = np.bincount(place, np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(x) for x in found]), len(terms))
-        marks = self.mark[terms[n > 1]]
-        marks = marks[marks >= 0]
-        return np.r_[terms, marks], np.r_[n, np.ones(len(marks))]
+        words, at = term_counts(text), self.at
+        terms, n = np.array([at.get(w, -1) for w in words], np.int64), np.fromiter(words.values(), np.float64, len(words))
+        return terms[terms >= 0], n[terms >= 0]
 
 
-def _unpacked(terms: bytes, cached: int) -> Vocabulary:
+def _unpacked(terms: bytes) -> Vocabulary:
     found = zlib.decompress(terms).decode()
-    return Vocabulary(found.split("\n") if found else [], cached)
+    return Vocabulary(found.split("\n") if found else [])
 
 
 def _arrays(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,49 +85,112 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def likeness_order(vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], block: int, wide: int = 256) -> np.ndarray:
+    """Numbers of the vectors, like ones together: halved again and again along the direction in which they differ most, seen in the
+    `wide` terms that carry the most weight, until a part is one block."""
+    held = [_arrays(v) for v in vectors]
+    term, weight = np.concatenate([np.empty(0, np.int64), *(v[0] for v in held)]), np.concatenate([np.empty(0), *(v[1] for v in held)])
+    mass = np.bincount(term, weight * weight, 1)
+    column = np.full(len(mass), -1)
+    heavy = np.argsort(-mass, kind="stable")[:wide]
+    column[heavy] = np.arange(len(heavy))
+    seen = column[term] >= 0
+    seen_in = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])[seen]
+    dense = np.zeros((len(held), len(heavy)))
+    dense[seen_in, column[term[seen]]] = weight[seen]
+    done, parts = [], [np.arange(len(held))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= block:
+            done.append(part)
+            continue
+        centred = dense[part] - dense[part].mean(axis=0)
+        direction = centred[np.argmax((centred * centred).sum(axis=1))]
+        for _ in range(8):
+            direction = centred.T @ (centred @ direction)
+            direction /= np.sqrt(direction @ direction) or 1.0
+        ordered = part[np.argsort(centred @ direction, kind="stable")]
+        half = -(-len(part) // (2 * block)) * block
+        parts += [ordered[half:], ordered[:half]]
+    return np.concatenate(done) if done else np.empty(0, np.int64)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors, for exact top-k inner products of vectors without negative weights."""
+    """Postings of unit vectors, for exact top-k inner products of vectors without negative weights.
 
-    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64):
+    Terms that more than one in 16 vectors hold (at most `common`) are kept as a matrix instead: their share of all similarities is one
+    product for many queries, and makes the bounds of the blocks tighter, which add the maxima of the other terms to it. order: the
+    numbers of the vectors in the order in which they are cut into blocks; likeness_order of them unless given."""
+
+    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64, order: np.ndarray | None = None, common: int = 256):
         self.block, self.blocks, self.size = block, max(1, -(-len(vectors) // block)), len(vectors)
-        held = [_arrays(v) for v in vectors]
+        self.order = likeness_order(vectors, block) if order is None else order
+        held = [_arrays(vectors[n]) for n in self.order]
         term, weight = np.concatenate([np.empty(0, np.int64), *(v[0] for v in held)]), np.concatenate([np.empty(0), *(v[1] for v in held)])
-        example = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order].astype(np.int32), weight[order]
-        key = term[order] * self.blocks + self.example // block
+        place = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])
+        holders = np.bincount(term, minlength=terms)
+        most = np.argsort(-holders, kind="stable")[:common]
+        most = most[16 * holders[most] > len(held)]
+        self.column = np.full(terms, -1)  # of the matrix of common terms
+        self.column[most] = np.arange(len(most))
+        self.common = np.zeros((len(most), self.blocks * block))
+        dense = self.column[term] >= 0
+        self.common[self.column[term[dense]], place[dense]] = weight[dense]
+        term, weight, place = term[~dense], weight[~dense], place[~dense]
+        by = np.lexsort((place, term))
+        self.place, self.weight = place[by], weight[by]
+        key = term[by].astype(np.int64) * self.blocks + self.place // block
         first = np.flatnonzero(np.diff(key, prepend=-1))  # where each term's block of postings starts; only blocks that hold the term
-        self.low, self.length = first.astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
-        self.at = (key[first] % self.blocks).astype(np.int32)
+        self.low, self.length = first, np.diff(first, append=len(key))
+        self.at = key[first] % self.blocks
         self.highest = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.start = np.searchsorted(key[first] // self.blocks, np.arange(terms + 1))
 
     def search(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a positive similarity, best first, ties to the lower, and their similarities. without: an example left out."""
-        terms, weights = _arrays(query)
+        return next(self.search_all([query], k, [without]))
+
+    def search_all(self, queries: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None, at_once: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """search for each query; the common terms of `at_once` queries are multiplied together."""
+        for low in range(0, len(queries), at_once):
+            some = [_arrays(q) for q in queries[low : low + at_once]]
+            asked = np.zeros((len(some), len(self.common)))
+            for row, (terms, weights) in zip(asked, some, strict=True):
+                column = self.column[terms]
+                row[column[column >= 0]] = weights[column >= 0]
+            for n, ((terms, weights), shared) in enumerate(zip(some, asked @ self.common, strict=True), low):
+                yield self._best(terms, weights, shared, k, without[n] if without else -1)
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, shared: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         per = self.start[terms + 1] - self.start[terms]
         entries, asked = _ranges(self.start[terms], per), np.repeat(weights, per)
-        bounds = np.bincount(self.at[entries], asked * self.highest[entries], self.blocks)
+        at = self.at[entries]
+        bounds = np.bincount(at, asked * self.highest[entries], self.blocks) + shared.reshape(self.blocks, self.block).max(axis=1)
         ids, values, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        order, done, step = np.argsort(-bounds, kind="stable"), 0, 4
-        while done < self.blocks and bounds[order[done]] > 0 and not (len(ids) >= k and bounds[order[done]] < floor - 1e-12):
-            group = order[done : done + step]
-            done, step = done + step, step * 2
+        left, step = bounds > 0, max(2, -(-2 * k // self.block))
+        while left.any():
+            # The blocks with the highest bounds first; then all whose bounds reach the k-th best of those.
             chosen = np.zeros(self.blocks, bool)
-            chosen[group[bounds[group] >= (floor - 1e-12 if len(ids) >= k else 0)]] = True
-            here = chosen[self.at[entries]]
-            low, length = self.low[entries[here]], self.length[entries[here]]
-            postings = _ranges(low, length)
-            sums = np.bincount(self.example[postings], np.repeat(asked[here], length) * self.weight[postings], self.size)
+            chosen[np.flatnonzero(left) if len(ids) >= k else np.argsort(np.where(left, -bounds, 0), kind="stable")[:step]] = True
+            chosen &= left
+            here = np.flatnonzero(chosen[at])
+            length = self.length[entries[here]]
+            postings = _ranges(self.low[entries[here]], length)
+            sums = np.bincount(self.place[postings], np.repeat(asked[here], length) * self.weight[postings], len(shared)) + shared
+            hit = np.flatnonzero((sums > 0) & np.repeat(chosen, self.block))
+            sums, hit = sums[hit], self.order[hit]
             if without >= 0:
-                sums[without] = 0
-            hit = np.flatnonzero(sums > 0)
+                sums, hit = sums[hit != without], hit[hit != without]
             if len(hit) > 4 * k:
-                hit = hit[sums[hit] >= np.partition(sums[hit], len(hit) - k)[len(hit) - k] - 1e-11]
-            ids, values = np.r_[ids, hit], np.r_[values, sums[hit]]
-            best = np.lexsort((ids, -np.round(values, 12)))[:k]
-            ids, values = ids[best], values[best]
-            floor = values[-1] if len(ids) >= k else 0.0
+                near = sums >= np.partition(sums, len(hit) - k)[len(hit) - k] - 1e-11
+                sums, hit = sums[near], hit[near]
+            ids, values = np.r_[ids, hit], np.r_[values, sums]
+            first = np.lexsort((ids, -np.round(values, 12)))[:k]
+            ids, values = ids[first], values[first]
+            left &= ~chosen
+            if len(ids) >= k:
+                floor = values[-1]
+                left &= bounds >= floor - 1e-12
         return ids, values
 
 
@@ -185,9 +219,10 @@ class Model:
         self.prior = shares[1]
         vectors = [self.vector(e[2]) for e in examples]
         self.index = BlockMaxIndex(vectors, len(weights)) if examples else None
+        self.order = self.index.order if examples else None
         self.line = None
         if examples and (per > 0).all():
-            own = [self.share(*self.index.search(v, k, without=n)) for n, v in enumerate(vectors)]
+            own = [self.share(*found) for found in self.index.search_all(vectors, k, list(range(len(vectors))))]
             known, scale = np.array([x is not None for x in own]), len(examples)
             if len(set(self.labels[known])) == 2:
                 self.line = _logistic(np.array([x for x in own if x is not None]), self.labels[known].astype(float), self.vote[known] * scale)
@@ -200,7 +235,7 @@ class Model:
 
     def __setstate__(self, state: bytes) -> None:
         self.__dict__ |= pickle.loads(zlib.decompress(state))
-        self.index = BlockMaxIndex([self.vector(c) for c in self.counts], len(self.weights)) if self.counts else None
+        self.index = BlockMaxIndex([self.vector(c) for c in self.counts], len(self.weights), order=self.order) if self.counts else None
 
     def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of (1 + log tf) * weight: the numbers of its terms, and their values."""
@@ -212,15 +247,15 @@ class Model:
         votes = self.vote[ids] / (1.1 - similarity)
         return float((votes * self.labels[ids]).sum() / votes.sum()) if len(ids) else None
 
-    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[dict]]:
-        """The calibrated score and its evidence: the neighbours' ids, labels and similarities."""
-        vector = self.vector(counts)
-        ids, similarity = self.index.search(vector, self.k) if len(vector[0]) and self.index else (np.empty(0, np.int64), np.empty(0))
-        share = self.share(ids, similarity)
-        evidence = [{"doc_id": int(self.ids[i]), "label": int(self.labels[i]), "similarity": float(s)} for i, s in zip(ids, similarity, strict=True)]
-        if share is None or self.line is None:
-            return self.prior, evidence
-        return float(1 / (1 + np.exp(-(self.line[0] + self.line[1] * share)))), evidence
+    def scores(self, texts: list[str | None]) -> tuple[list[float], list[list[dict]]]:
+        """The calibrated scores, and their evidence: the neighbours' ids, labels and similarities."""
+        found = self.index.search_all([self.vector(self.vocabulary.counts(t)) for t in texts], self.k) if self.index else [(np.empty(0, np.int64), np.empty(0))] * len(texts)
+        scores, evidence = [], []
+        for ids, similarity in found:
+            share = self.share(ids, similarity)
+            scores.append(self.prior if share is None or self.line is None else float(1 / (1 + np.exp(-(self.line[0] + self.line[1] * share)))))
+            evidence.append([{"doc_id": i, "label": y, "similarity": x} for i, y, x in zip(self.ids[ids].tolist(), self.labels[ids].tolist(), similarity.tolist(), strict=True)])
+        return scores, evidence
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, k: int = 15) -> Model:
@@ -307,7 +342,4 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "evi
     held = docs.sparkSession.sparkContext.broadcast(model)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
-    def kernel(texts: list) -> list[list]:
-        return [list(c) for c in zip(*(held.value.score(held.value.vocabulary.counts(t)) for t in texts), strict=True)]
-
-    return add_columns(docs, ["text"], [pa.field(names[0], pa.float64()), pa.field(names[1], evidence)], kernel)
+    return add_columns(docs, ["text"], [pa.field(names[0], pa.float64()), pa.field(names[1], evidence)], lambda texts: held.value.scores(texts))
