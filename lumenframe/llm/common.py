@@ -47,7 +47,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows, else as it is, for a shuffled join. Pass a staged df: it is counted."""
+    """df marked for broadcast if it has at most `most` rows, and 80 bytes a row of `most` in its texts and arrays; else as it is, for a
+    shuffled join. Pass a staged df: it is counted."""
+    wide = [c for c, t in df.dtypes if t.startswith(("string", "binary", "array", "map", "struct"))]
+    if wide:
+        held = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in wide))))), F.lit(0)).alias("size")).first()
+        return F.broadcast(df) if held["n"] <= most and held["size"] <= 80 * most else df
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
