@@ -3,18 +3,22 @@
 A document's set is its distinct word shingles. Each shingle's hash picks a register and leaves a value; a register keeps the least
 value as its count of leading zeros and the mantissa bits after them (16 bits in all). A register that no shingle picks copies that of
 another by a fixed sequence of probes, so that two sets agree in a register with the probability of their similarity, however small
-they are. Bands of registers are hashed and joined: at the threshold of 0.8, with 32 bands of 5, a link has no common band with
-probability 3e-6.
-
-Documents with the same set are one class. In each bucket of a band, classes are linked to the least; the components of these links are
-families, within which all true links lie. Families are compared in cells: one for a family of up to `cell` classes, else one for each
-pair of its chunks, so that no task holds more than two chunks. In a cell, pairs that are connected already are passed over; others are
-estimated from the registers (corrected for chance collisions), and if they may reach the threshold, confirmed on the full sets. A cell
-returns the links that connect, at most one less than its classes. Nothing is dropped, whatever a bucket's size.
+they are. Bands of registers are hashed and joined: at the threshold of 0.8, with 64 bands of 8, a link has no common band with
+probability 8e-6, while a pair of similarity 0.5 meets with probability 0.22, one of 0.3 with 0.004.
+
+1. Documents with the same set are one class. In each bucket of a band, every class is held against the bucket's least class, on the
+   full sets: one text for each distinct pair of class and least class, dealt in cells of bounded size. Copies of one text, near or
+   exact, are joined here, in linear work.
+2. Components of these links. A bucket whose classes are all in one component is done; only buckets that hold several can hide a link.
+   Classes that meet in those, directly or through others, are a family. Families are compared in cells: one for a family of up to
+   `cell` classes, else one for each pair of its chunks. In a cell, pairs that are connected already are passed over; others are
+   estimated from the registers (corrected for chance collisions), and if they may reach the threshold, confirmed on the full sets. A
+   pair at the threshold is taken for less by the estimate with probability 3e-7 (five deviations), and confirmed otherwise.
+3. Components of all links. Nothing is dropped, whatever a bucket's size.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing. A null doc_id has a null
 component and is kept. Rows that repeat an id must repeat its text; each gets that id's result. An empty table gives no rows. Only
-doc_id and the text are read.
+doc_id and the text are read; other columns, whatever their names, pass through one_of_each.
 """
 
 from __future__ import annotations
@@ -100,12 +104,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def connecting_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, count: int) -> list[tuple[int, int]]:
-    """True links between left and right (masks) that connect what was not connected, until none is missing."""
+def connecting_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, count: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """True links between left and right (masks) that connect what was not connected, until none is missing. known: numbers of the
+    components that are known, equal for what is connected already."""
     n = len(ids)
     sketches = np.stack([registers(s, count) for s in sets])
     sizes = np.array([len(s) for s in sets], np.int64)
-    group, found = np.arange(n), []
+    group, found = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1].reshape(-1), []
     floor = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / count) - 1e-9
     whole = bool((left & right).all())
     for a in np.flatnonzero(left):
@@ -141,35 +146,68 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int, text: str = "text
     return given.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """rep, family of the classes (rep, bands) that share a band with another, directly or through others."""
-    banded = stage(classes.select("rep", F.explode("bands").alias("band")), "bands")
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+
+
+def _met(banded: DataFrame) -> DataFrame:
+    """rep, hub: the least class of each bucket that the class is in, where that is another."""
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    links = banded.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    return components(links).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    return banded.join(hubs, "band").filter("rep <> hub").select("rep", "hub").distinct()
+
+
+def star_links(docs: DataFrame, met: DataFrame, words: int, percent: int, cell: int, text: str) -> DataFrame:
+    """a, b: the pairs of met (rep, hub; staged) that are true links. A hub's classes are dealt to cells; its own text goes to each."""
+    cells = met.groupBy("hub").agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks"))
+    pairs = met.join(cells, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
+    heads = cells.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    wanted = stage(pairs.unionByName(heads), "pairs")
+    given = _texts(docs, text).join(small(wanted), "rep")
+
+    def compare(key: tuple, held: pa.Table) -> pa.Table:
+        hub, texts = key[0].as_py(), dict(zip(held["rep"].to_pylist(), held["text"].to_pylist(), strict=True))  # once, if rows repeat
+        head = shingle_set(texts.pop(hub), words)
+        found = [rep for rep, t in texts.items() if linked(shingle_set(t, words), head, percent)]
+        return pa.table([pa.array(found, pa.int64()), pa.array([hub] * len(found), pa.int64())], schema=_LINKS)
+
+    return given.groupBy("hub", "chunk").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, cell: int = 512, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, cell: int = 512, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to) and kept (doc_id = component_id) of every row of docs."""
     sketched = stage(sketch(docs, words, bands, rows, text), "sketches")
     classes = stage(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    of_family = stage(families(classes), "families")
+    every = classes.select("rep", F.explode("bands").alias("band"))
+    shared = every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    banded = stage(every.join(shared, "band"), "bands")
+    stars = stage(star_links(docs, stage(_met(banded), "met"), words, percent, cell, text), "star-links")
+    joined = stage(components(stars), "star-components")
+
+    named_bands = banded.join(small(joined), F.col("rep") == F.col("node"), "left").select("rep", "band", F.coalesce("component", "rep").alias("known"))
+    open_bands = named_bands.groupBy("band").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select("band")
+    left = stage(named_bands.join(open_bands, "band"), "open-bands")
+    of_family = stage(components(_met(left.select("rep", "band")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
     sizes = of_family.groupBy("family").agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks"))
-    chunked = stage(of_family.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")), "chunks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text")).join(small(chunked), "rep")
+    labels = left.select("rep", "known").distinct()
+    chunked = stage(of_family.join(sizes, "family").join(labels, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")), "chunks")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = texts.withColumn("other", other).select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "text")
+    cells = _texts(docs, text).join(small(chunked), "rep").withColumn("other", other).select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "known", "text")
     count = bands * rows
 
     def compare(key: tuple, held: pa.Table) -> pa.Table:
-        own = dict(zip(held["rep"].to_pylist(), zip(held["chunk"].to_pylist(), held["text"].to_pylist(), strict=True), strict=True))  # once, if rows repeat
-        ids, chunk = list(own), np.array([c for c, _ in own.values()])
-        sets = [shingle_set(t, words) for _, t in own.values()]
-        found = connecting_links(ids, sets, chunk == key[1].as_py(), chunk == key[2].as_py(), percent, count) if len(ids) > 1 else []
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        own = dict(zip(held["rep"].to_pylist(), zip(held["chunk"].to_pylist(), held["known"].to_pylist(), held["text"].to_pylist(), strict=True), strict=True))  # once, if rows repeat
+        ids, chunk, known = list(own), np.array([c for c, _, _ in own.values()]), np.array([k for _, k, _ in own.values()])
+        sets = [shingle_set(t, words) for _, _, t in own.values()]
+        found = connecting_links(ids, sets, chunk == key[1].as_py(), chunk == key[2].as_py(), percent, count, known) if len(ids) > 1 else []
+        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_LINKS)
 
     links = cells.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
-    found = components(links)
+    # A star's component stands for its links.
+    settled = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(settled.unionByName(links))
     named = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
@@ -178,5 +216,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with all columns, without the documents that aren't the first of their component."""
-    gone = stage(near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    return docs.join(small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = stage(near_duplicates(docs, words, percent).filter("not kept").select("doc_id").distinct(), "copies")
+    return docs.join(small(gone).alias("copies"), docs["doc_id"].cast("long") == F.col("copies.doc_id"), "left_anti")
