@@ -28,14 +28,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = table(spark, sf_dir, "labels").filter(_remainder(3) != 1).select("doc_id", F.col("toxic").alias("label"))
     scored = toxicity.score(docs, toxicity.fit(docs, learn))
-    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     learn = table(spark, sf_dir, "labels").filter(_remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
     scored = quality.score(docs, quality.fit(docs, learn))
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,10 @@ class Vocabulary:
         terms, n = np.array([at.get(w, -1) for w in words], np.int64), np.fromiter(words.values(), np.float64, len(words))
         return terms[terms >= 0], n[terms >= 0]
 
+    def present(self, text: str | None) -> list[int]:
+        """The numbers of the examples' terms that the text holds."""
+        return [n for w in set(_WORD.findall((text or "").lower())) if (n := self.at.get(w)) is not None]
+
 
 def _unpacked(terms: bytes) -> Vocabulary:
     found = zlib.decompress(terms).decode()
@@ -289,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, k: int = 15)
         found, texts = np.zeros(len(vocabulary.value.at), np.int64), 0
         for batch in batches(it):
             for text in batch.column(0).to_pylist():
-                found[vocabulary.value.counts(text)[0]] += 1
+                found[vocabulary.value.present(text)] += 1
                 texts += 1
         at = np.flatnonzero(found)
         yield pa.record_batch([pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[texts, found[at]], pa.int64())], names=["term", "n"])
