@@ -2,6 +2,12 @@
 benchmark passages go, personal data is replaced by tags, and what is left is tokenised and packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of documents.
+
+Defined results: null and empty texts are kept by the stages that drop documents (their toxicity is that of texts without known words,
+they are near copies of nothing and hold no passage), pass redaction unchanged and are packed as the separator alone. A null doc_id is
+kept and stays null. Rows that repeat an id and text get one decision each in the toxicity, decontamination and packing stages; the
+near-duplicate stage decides by id, so rows of one id stay or go together. Columns beyond doc_id and text, nulls in them included, pass
+through whatever their names, until packing, which reads these two alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +24,11 @@ TOXIC = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), ("_toxicity", "_toxicity_evidence"))
-    return scored.filter(F.col("_toxicity") < TOXIC).select(*(F.col(f"`{c}`") for c in docs.columns))
+    given, name = {c.lower() for c in docs.columns}, "_toxicity"
+    while name in given or f"{name}_evidence" in given:
+        name += "_"
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), (name, f"{name}_evidence"))
+    return scored.filter(F.col(name) < TOXIC).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
