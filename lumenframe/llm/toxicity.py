@@ -24,6 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -89,20 +90,26 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def likeness_order(vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], block: int, wide: int = 256) -> np.ndarray:
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]  # where each vector starts (and the end), terms (by number), weights
+
+
+def stacked(vectors: list[dict[int, float]]) -> Vectors:
+    cuts = np.cumsum([0, *map(len, vectors)])
+    return cuts, np.fromiter(chain.from_iterable(vectors), np.int32, cuts[-1]), np.fromiter(chain.from_iterable(v.values() for v in vectors), np.float64, cuts[-1])
+
+
+def likeness_order(vectors: Vectors, block: int, wide: int = 256) -> np.ndarray:
     """Numbers of the vectors, like ones together: halved again and again along the direction in which they differ most, seen in the
     `wide` terms that carry the most weight, until a part is one block."""
-    held = [_arrays(v) for v in vectors]
-    term, weight = np.concatenate([np.empty(0, np.int64), *(v[0] for v in held)]), np.concatenate([np.empty(0), *(v[1] for v in held)])
+    cuts, term, weight = vectors
     mass = np.bincount(term, weight * weight, 1)
     column = np.full(len(mass), -1)
     heavy = np.argsort(-mass, kind="stable")[:wide]
     column[heavy] = np.arange(len(heavy))
-    seen = column[term] >= 0
-    seen_in = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])[seen]
-    dense = np.zeros((len(held), len(heavy)))
-    dense[seen_in, column[term[seen]]] = weight[seen]
-    done, parts = [], [np.arange(len(held))]
+    seen = np.flatnonzero(column[term] >= 0)
+    dense = np.zeros((len(cuts) - 1, len(heavy)))
+    dense[np.searchsorted(cuts, seen, "right") - 1, column[term[seen]]] = weight[seen]
+    done, parts = [], [np.arange(len(dense))]
     while parts:
         part = parts.pop()
         if len(part) <= block:
@@ -116,7 +123,7 @@ def likeness_order(vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray
         ordered = part[np.argsort(centred @ direction, kind="stable")]
         half = -(-len(part) // (2 * block)) * block
         parts += [ordered[half:], ordered[:half]]
-    return np.concatenate(done) if done else np.empty(0, np.int64)
+    return np.concatenate(done)
 
 
 class BlockMaxIndex:
@@ -126,29 +133,33 @@ class BlockMaxIndex:
     product for many queries, and makes the bounds of the blocks tighter, which add the maxima of the other terms to it. order: the
     numbers of the vectors in the order in which they are cut into blocks; likeness_order of them unless given."""
 
-    def __init__(self, vectors: list[dict[int, float] | tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64, order: np.ndarray | None = None, common: int = 256):
-        self.block, self.blocks, self.size = block, max(1, -(-len(vectors) // block)), len(vectors)
+    def __init__(self, vectors: Vectors | list[dict[int, float]], terms: int, block: int = 64, order: np.ndarray | None = None, common: int = 256):
+        cuts, term, weight = vectors = vectors if isinstance(vectors, tuple) else stacked(vectors)
+        size = len(cuts) - 1
+        self.block, self.blocks = block, max(1, -(-size // block))
         self.order = likeness_order(vectors, block) if order is None else order
-        held = [_arrays(vectors[n]) for n in self.order]
-        term, weight = np.concatenate([np.empty(0, np.int64), *(v[0] for v in held)]), np.concatenate([np.empty(0), *(v[1] for v in held)])
-        place = np.repeat(np.arange(len(held)), [len(v[0]) for v in held])
+        place = np.empty(size, np.int32)
+        place[self.order] = np.arange(size, dtype=np.int32)
+        place = np.repeat(place, np.diff(cuts))
         holders = np.bincount(term, minlength=terms)
         most = np.argsort(-holders, kind="stable")[:common]
-        most = most[16 * holders[most] > len(held)]
-        self.column = np.full(terms, -1)  # of the matrix of common terms
+        most = most[16 * holders[most] > size]
+        self.column = np.full(terms, -1, np.int32)  # of the matrix of common terms
         self.column[most] = np.arange(len(most))
         self.common = np.zeros((len(most), self.blocks * block))
-        dense = self.column[term] >= 0
-        self.common[self.column[term[dense]], place[dense]] = weight[dense]
-        term, weight, place = term[~dense], weight[~dense], place[~dense]
-        by = np.lexsort((place, term))
-        self.place, self.weight = place[by], weight[by]
-        key = term[by].astype(np.int64) * self.blocks + self.place // block
-        first = np.flatnonzero(np.diff(key, prepend=-1))  # where each term's block of postings starts; only blocks that hold the term
-        self.low, self.length = first, np.diff(first, append=len(key))
-        self.at = key[first] % self.blocks
+        column = self.column[term]
+        dense = column >= 0
+        self.common[column[dense], place[dense]] = weight[dense]
+        rest = np.flatnonzero(~dense)
+        del column, dense
+        rest = rest[np.lexsort((place[rest], term[rest]))]
+        self.place, self.weight, term = place[rest], weight[rest], term[rest]
+        del rest, place
+        at = self.place // block
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))  # where each term's block of postings starts; only blocks that hold the term
+        self.low, self.length, self.at = first.astype(np.int32), np.diff(first, append=len(term)).astype(np.int32), at[first]
         self.highest = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
-        self.start = np.searchsorted(key[first] // self.blocks, np.arange(terms + 1))
+        self.start = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
 
     def search(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a positive similarity, best first, ties to the lower, and their similarities. without: an example left out."""
@@ -213,25 +224,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 class Model:
-    """What is broadcast: terms with their weights, the index of the examples, their ids and labels, and the calibration."""
-
-    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, examples: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], shares: tuple[float, float], k: int):
-        self.weights, self.k, self.vocabulary, self.counts = weights, k, vocabulary, [e[2] for e in examples]
-        self.ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
-        per = np.array([(self.labels == c).sum() for c in (0, 1)], np.float64)
-        self.vote = (np.array(shares) / np.maximum(per, 1))[self.labels]  # what an example stands for
-        self.prior = shares[1]
-        vectors = [self.vector(e[2]) for e in examples]
-        self.index = BlockMaxIndex(vectors, len(weights)) if examples else None
-        self.order = self.index.order if examples else None
-        self.line = None
-        if examples and (per > 0).all():
-            own = [self.share(*found) for found in self.index.search_all(vectors, k, list(range(len(vectors))))]
-            known, scale = np.array([x is not None for x in own]), len(examples)
-            if len(set(self.labels[known])) == 2:
-                self.line = _logistic(np.array([x for x in own if x is not None]), self.labels[known].astype(float), self.vote[known] * scale)
+    """What is broadcast: terms with their weights, the index of the examples, their ids and labels, and the calibration.
+
+    examples: ids, labels, and the terms (by number) and counts of each, one after another between `cuts`."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray], shares: tuple[float, float], k: int):
+        self.weights, self.k, self.vocabulary, self.counts, self.ids, self.labels = weights, k, vocabulary, counts, ids, labels
+        per = np.array([(labels == c).sum() for c in (0, 1)], np.float64)
+        self.vote = (np.array(shares) / np.maximum(per, 1))[labels]  # what an example stands for
+        self.prior, self.index, self.order, self.line = shares[1], None, None, None
+        if not len(ids):
+            return
+        vectors = self._vectors()
+        self.index = BlockMaxIndex(vectors, len(weights))
+        self.order = self.index.order
+        if (per > 0).all():
+            cuts, terms, values = vectors
+            each = [(terms[low:high], values[low:high]) for low, high in zip(cuts, cuts[1:], strict=False)]
+            own = [self.share(*found) for found in self.index.search_all(each, k, list(range(len(each))))]
+            known, scale = np.array([x is not None for x in own]), len(ids)
+            if len(set(labels[known])) == 2:
+                self.line = _logistic(np.array([x for x in own if x is not None]), labels[known].astype(float), self.vote[known] * scale)
             rest = ~known
-            self.prior = float(((self.vote * self.labels)[rest].sum() + 0.5 * self.vote.min() * shares[1]) / (self.vote[rest].sum() + 0.5 * self.vote.min()))
+            self.prior = float(((self.vote * labels)[rest].sum() + 0.5 * self.vote.min() * shares[1]) / (self.vote[rest].sum() + 0.5 * self.vote.min()))
+
+    def _vectors(self) -> Vectors:
+        cuts, terms, n = self.counts
+        raw = (1 + np.log(n)) * self.weights[terms]
+        size = np.diff(cuts)
+        norm = np.bincount(np.repeat(np.arange(len(size)), size), raw * raw, len(size))
+        return cuts, terms, raw / np.repeat(np.sqrt(norm), size)
 
     def __getstate__(self) -> bytes:
         """Without the index, which is larger than what it's built from: a broadcast is kept on every executor's disk."""
@@ -239,7 +261,7 @@ class Model:
 
     def __setstate__(self, state: bytes) -> None:
         self.__dict__ |= pickle.loads(zlib.decompress(state))
-        self.index = BlockMaxIndex([self.vector(c) for c in self.counts], len(self.weights), order=self.order) if self.counts else None
+        self.index = BlockMaxIndex(self._vectors(), len(self.weights), order=self.order) if len(self.ids) else None
 
     def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of (1 + log tf) * weight: the numbers of its terms, and their values."""
@@ -283,9 +305,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, k: int = 15)
     examples = stage(counted.select("doc_id", "label", "counts", "signs"), "examples")
     examples = stage(_one_of_copies(examples), "distinct-examples")
     held = examples.toArrow().sort_by("doc_id")  # at most 2 * per_class rows
-    kept, rows, chi = _counted(held)
-    if not rows or len({label for _, label, _ in rows}) < 2:
-        return Model(Vocabulary([]), np.empty(0), [], shares, k)
+    kept, ids, known_labels, counts, chi = _counted(held)
+    if len(set(known_labels)) < 2:
+        return Model(Vocabulary([]), np.empty(0), ids[:0], known_labels[:0], (np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)), shares, k)
     words = Vocabulary(kept)
     vocabulary = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -303,12 +325,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, k: int = 15)
     frequency[summed["term"].to_numpy()] = summed["n"].to_numpy()  # the last counts the texts
     least = NormalDist().inv_cdf(1 - ERROR / (2 * max(1, len(kept)))) ** 2
     weights = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1) * np.where(chi >= least, np.maximum(chi, 1), 1)
-    return Model(words, weights, rows, shares, k)
+    return Model(words, weights, ids, known_labels, counts, shares, k)
 
 
-def _counted(held: pa.Table) -> tuple[list[str], list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], np.ndarray]:
-    """Of examples in the order of their ids: their terms, each example's id, label, terms (by number) and counts, and the terms'
-    chi-squares with the label (0 for terms in all examples). Rows that repeat an id are one example, with the greatest counts."""
+def _counted(held: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Of examples in the order of their ids: their terms, the examples' ids, labels and counts (see Model), and the terms' chi-squares
+    with the label (0 for terms in all examples). Rows that repeat an id are one example, with the greatest counts."""
     ids, first, row = np.unique(held["doc_id"].to_numpy(), return_index=True, return_inverse=True)
     labels = held["label"].to_numpy()[first].astype(np.int64)
     counts = held["counts"].combine_chunks()
@@ -324,14 +346,13 @@ def _counted(held: pa.Table) -> tuple[list[str], list[tuple[int, int, tuple[np.n
     by = by[np.flatnonzero(np.diff(example[by] * len(terms) + term[by], prepend=-1))]
     example, term, n = example[by], term[by].astype(np.int32), n[by]
     cuts = np.searchsorted(example, np.arange(len(ids) + 1))
-    rows = [(int(i), int(y), (term[lo:hi], n[lo:hi])) for i, y, lo, hi in zip(ids, labels, cuts, cuts[1:], strict=False)]
     n1, total = float(labels.sum()), float(len(ids))
     n0 = total - n1
     a = np.bincount(term, labels[example], len(terms))
     b = np.bincount(term, minlength=len(terms)) - a
     some = (a + b < total) & (n0 > 0) & (n1 > 0)
     chi = np.where(some, total * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.where(some, (a + b) * (total - a - b) * n0 * n1, 1), 0)
-    return [terms[t] for t in order], rows, chi
+    return [terms[t] for t in order], ids, labels, (cuts, term, n), chi
 
 
 def _one_of_copies(examples: DataFrame) -> DataFrame:
