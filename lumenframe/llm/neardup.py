@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from lumenframe.llm.common import batches, mixed, prefix_sums, small, stage, sub
 from lumenframe.llm.components import components
 
 _VALUE_BITS, _MANTISSA = 40, 10
-_PROBES = 256
+_PROBES, _STEP = 256, 16
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -52,6 +53,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(substring_hash(sums, starts[: len(parts) - words + 1], ends[words - 1 :]))
 
 
+@lru_cache(maxsize=4)
+def _probes(count: int) -> np.ndarray:
+    """For each register the registers that it looks at, one after another, while it is empty."""
+    number = np.arange(count * _PROBES, dtype=np.uint64).reshape(count, _PROBES)
+    return (mixed(number) % np.uint64(count)).astype(np.int32)
+
+
 def registers(shingles: np.ndarray, count: int) -> np.ndarray:
     """The sketch of a set that isn't empty: `count` values of 16 bits, leading zeros above mantissa."""
     spread = mixed(shingles + np.uint64(0x2545F4914F6CDD1D))
@@ -66,12 +74,14 @@ def registers(shingles: np.ndarray, count: int) -> np.ndarray:
     out[own[first]] = ((zeros << np.uint64(_MANTISSA)) | (tail >> np.uint64(_VALUE_BITS - _MANTISSA))).astype(np.uint16)
     full[own[first]] = True
     empty, held = np.flatnonzero(~full), own[first]
-    for probe in range(_PROBES):
+    for low in range(0, _PROBES, _STEP):
         if not len(empty):
             return out
-        at = (mixed(empty.astype(np.uint64) * np.uint64(_PROBES) + np.uint64(probe)) % np.uint64(count)).astype(np.int64)
-        hit = full[at]
-        out[empty[hit]] = out[at[hit]]
+        at = _probes(count)[empty, low : low + _STEP]
+        fits = full[at]
+        first = fits.argmax(axis=1)
+        hit = fits[np.arange(len(empty)), first]
+        out[empty[hit]] = out[at[hit, first[hit]]]
         empty = empty[~hit]
     if len(empty):  # the next full one, round the ring
         out[empty] = out[held[np.searchsorted(held, empty) % len(held)]]
