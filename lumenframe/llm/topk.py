@@ -11,11 +11,13 @@ score list for each slice and query.
 3. What remains is totalled exactly; each node returns its best k that reach the cutoff, and the best k of all are the answer.
 
 Queries and vectors meet in cells of bounded size (query block by vector block), keyed and shuffled; nothing grows in a task or on the
-driver. Scores are whole numbers: components are floor(scale * x), and double arithmetic is used only where it is exact.
+driver. Scores are whole numbers: components are floor(scale * x), and double arithmetic is used only where it is exact; vectors with
+large components (beyond 2**16 once scaled) meet others in cells of their own, in 64-bit or, where that might not do, unbounded integers.
 
-Defined results: rows without an id, and vectors that are null or hold null or non-finite components (or any beyond 2**24 once scaled,
-whose scores might not fit), take no part. Vectors meet only vectors with as many components; empty ones score 0. A query never meets
-rows with its own id. Other rows that repeat an id are candidates each; a repeated query is answered once. An empty table gives no rows.
+Defined results: rows without an id, and vectors that are null or hold null or non-finite components, take no part. A component beyond
+2**62 once scaled, or an answer's score beyond 64 bits, can't be told as a long: the query fails and says so. Vectors meet only vectors
+with as many components; empty ones score 0. A query never meets rows with its own id. Other rows that repeat an id are candidates each;
+a repeated query is answered once, by the least of its vectors. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,19 +35,24 @@ SLICES = 4
 def quantised(x: Column, scale: int) -> Column:
     """floor(scale * component) as whole numbers; null for vectors that take no part."""
     value = lambda c: c.cast("double") * scale
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(value(c)) <= 2.0**24))
-    return F.when(x.isNotNull() & fine, F.transform(x, lambda c: F.floor(value(c)).cast("long")))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    whole = lambda c: F.when(F.abs(value(c)) <= 2.0**62, F.floor(value(c)).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for scores of 64 bits")).cast("long"))
+    return F.when(x.isNotNull() & fine, F.transform(x, whole))
 
 
 def _partials(queries: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
     """The score lists of a node: for each slice a matrix, query by vector, of exact partial scores."""
     d = queries.shape[1]
-    bound = d * int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0))
-    kind = np.float64 if bound < 2**53 else np.int64
+    bound = d * _most(queries) * _most(vectors)
+    kind = np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
     cuts = np.array_split(np.arange(d), max(1, min(SLICES, d)))
     return [(queries[:, c].astype(kind) @ vectors[:, c].astype(kind).T) for c in cuts] if d else [np.zeros((len(queries), len(vectors)))]
 
 
+def _most(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def _best(total: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best, ties to smaller ids."""
     if len(total) > 4 * k:
@@ -53,7 +60,7 @@ def _best(total: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(total >= floor)
     else:
         at = np.arange(len(total))
-    return at[np.lexsort((ids[at], -total[at]))[:k]]
+    return at[sorted(range(len(at)), key=lambda n: (-total[at[n]], ids[at[n]]))[:k] if total.dtype == object else np.lexsort((ids[at], -total[at]))[:k]]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -81,13 +88,15 @@ def search_cell(queries: pa.Table, vectors: pa.Table, k: int, phase: int) -> pa.
                 elif cutoff is None:
                     seen = np.flatnonzero(others)
                 else:
-                    least = [x.min() for x in part]
-                    share = (cutoff - sum(least)) / len(part) - 1e-6
+                    least = [int(x.min()) for x in part]
+                    share = (cutoff - sum(least)) // len(part)
                     collected = [x - low_ >= share for x, low_ in zip(part, least, strict=True)]
                     near = others & np.logical_or.reduce(collected)
                     upper = sum(np.where(c, x, low_ + share) for c, x, low_ in zip(collected, part, least, strict=True))
-                    seen = np.flatnonzero(near & (upper >= cutoff - 1e-3))
-                total = sum(x[seen] for x in part).astype(np.int64)
+                    seen = np.flatnonzero(near & (upper >= cutoff))
+                total = sum(x[seen] for x in part)
+                if total.dtype != object:
+                    total = total.astype(np.int64)
                 if cutoff is not None:
                     seen, total = seen[total >= cutoff], total[total >= cutoff]
                 at = _best(total, given[seen], k)
@@ -101,19 +110,26 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, vec
     if k < 1:
         raise ValueError("k must be 1 or more")
 
-    def prepared(df: DataFrame, label: str) -> DataFrame:
+    def prepared(df: DataFrame) -> DataFrame:
         given = df.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("vector"))
-        return stage(given.filter("vec_id is not null and vector is not null").withColumn("size", F.size("vector")), label)
+        return given.filter("vec_id is not null and vector is not null")
+
+    def sized(df: DataFrame, label: str, wide: str) -> DataFrame:
+        return stage(df.withColumn("size", F.size("vector")).withColumn(wide, F.exists("vector", lambda c: F.abs(c) > 2**16)), label)
 
-    vectors, asked = prepared(rows, "vectors"), prepared(queries, "queries").dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
+    vectors = sized(prepared(rows), "vectors", "wide")
+    asked = sized(prepared(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector")), "queries", "asks_wide")
     n, m = vectors.count(), asked.count()
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(-(-n // vector_block), min(tasks, -(-n // 1024)), 1)
     asks = max(-(-m // query_block), 1)
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     ask = F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int")
-    spread = vectors.select("vec_id", "vector", "size", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
-    cell = ["size", "block", "ask"]
+    # Cells of wide vectors, or of wide queries, exist only where there are some.
+    kinds = lambda df, name: F.explode(F.array(*(F.lit(x[0]) for x in df.select(name).distinct().collect()) or F.lit(False)))
+    spread = vectors.select("vec_id", "vector", "size", "wide", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask")).withColumn("asks_wide", kinds(asked, "asks_wide"))
+    cell = ["size", "block", "ask", "wide", "asks_wide"]
+    asked = asked.withColumn("wide", kinds(vectors, "wide"))
 
     def everywhere(df: DataFrame) -> DataFrame:
         return df.withColumn("ask", ask).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
