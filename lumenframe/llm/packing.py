@@ -6,8 +6,9 @@ for patterns: multisets of lengths that share one sequence, each with the number
 
 The search is bin completion (branch and bound): the largest piece left must lie somewhere, so a node branches over the undominated
 fillings of the space beside it, least waste first; a branch ends where its waste so far shows that it can't beat the incumbent. The
-first incumbent is the best-fit decreasing packing. A pattern is used as often as the histogram allows, so a plan has at most about
-capacity * ln(capacity) patterns.
+first incumbent is the best-fit decreasing packing. A pattern is used as often as the histogram allows, or once where that turns out
+worse, so a plan has at most about capacity * ln(capacity) patterns. The search ends when the incumbent meets the lower bound, or after
+`nodes` nodes with `width` fillings each (finding the fewest is NP-hard); with nodes=None and width=None it runs until it is proven.
 
 Defined results: null text is an empty text, and an empty text is one piece that holds the separator alone. Rows that repeat are
 packed as often as they come. A null doc_id stays null. Other columns are not read. An empty table gives no rows.
@@ -148,14 +149,15 @@ def _reachable(left: dict[int, int], room: int) -> int:
     return sums
 
 
-def fillings(left: dict[int, int], room: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths) of up to `most` undominated fillings of the room, least waste first, long pieces first.
+def fillings(left: dict[int, int], room: int, most: int | None) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of up to `most` (None: all) undominated fillings of the room, least waste first, long pieces first.
 
     A filling is dominated if a piece that is left could replace one of its own, or two of them together, and fill the room better."""
     usable = sorted((x for x, n in left.items() if n and x <= room), reverse=True)
     if not usable:
         return [(room, ())]
     sums, out = _reachable(left, room), []
+    most = float("inf") if most is None else most
     budget = 50 * most
 
     def extend(target: int, start: int, taken: tuple[int, ...]) -> None:
@@ -185,12 +187,12 @@ def fillings(left: dict[int, int], room: int, most: int) -> list[tuple[int, tupl
             out.append((waste, taken))
         if len(out) >= most or budget < 0:
             break
-    return out[:most] or [(room, ())]
+    return out[: int(min(most, len(out)))] or [(room, ())]
 
 
-def plan(counts: dict[int, int], capacity: int, width: int = 6, nodes: int = 1000) -> list[tuple[Pattern, int]]:
-    """Patterns and their numbers of sequences for a histogram of lengths. width: fillings tried at a node. nodes: the most nodes
-    opened besides two for each length; the best packing found till then stands. A histogram of at most 64 pieces is searched piece by piece."""
+def plan(counts: dict[int, int], capacity: int, width: int | None = 6, nodes: int | None = 1000) -> list[tuple[Pattern, int]]:
+    """Patterns and their numbers of sequences for a histogram of lengths. width: fillings tried at a node (None: all). nodes: the most
+    nodes opened besides two for each length (None: as many as it takes); the best packing found till then stands."""
     counts = {int(x): int(n) for x, n in counts.items() if n}
     if not counts:
         return []
@@ -198,9 +200,9 @@ def plan(counts: dict[int, int], capacity: int, width: int = 6, nodes: int = 100
         raise ValueError(f"lengths must lie in 1..{capacity}")
     best = best_fit_decreasing(counts, capacity)
     used, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total, single = sum(x * n for x, n in counts.items()), sum(counts.values()) <= 64
-    opened = 0
-    # The stack holds, for each depth, the fillings not tried yet and the state in which they start.
+    total, opened = sum(x * n for x, n in counts.items()), 0
+    most = float("inf") if nodes is None else nodes + len(counts) * 2
+    # The stack holds, for each depth, the fillings not tried yet, how often each is used, and the state in which they start.
     stack: list[tuple[dict[int, int], list, list, int, int]] = []
 
     def open_node(left: dict[int, int], chosen: list, waste: int, bins: int) -> None:
@@ -211,21 +213,22 @@ def plan(counts: dict[int, int], capacity: int, width: int = 6, nodes: int = 100
             return
         opened += 1
         longest = max(left)
-        beside = left | {longest: left[longest] - 1}
-        options = fillings(beside, capacity - longest, width)
-        stack.append((left, chosen, options[::-1], waste, bins))
+        options = []
+        for lost, filling in fillings(left | {longest: left[longest] - 1}, capacity - longest, width):
+            need: dict[int, int] = defaultdict(int)
+            for x in (longest, *filling):
+                need[x] += 1
+            options.append((lost, need, min(left[x] // n for x, n in need.items())))
+        once = [(lost, need, 1) for lost, need, many in options if many > 1]
+        stack.append((left, chosen, (options + once)[::-1], waste, bins))
 
     open_node(counts, [], 0, 0)
-    while stack and used > bound and opened < nodes + len(counts) * 2:
+    while stack and used > bound and opened < most:
         left, chosen, options, waste, bins = stack[-1]
         if not options:
             stack.pop()
             continue
-        lost, filling = options.pop()
-        longest, need = max(left), defaultdict(int)
-        for x in (longest, *filling):
-            need[x] += 1
-        many = 1 if single else min(left[x] // n for x, n in need.items())
+        lost, need, many = options.pop()
         wasted = waste + lost * many
         # With this waste, at least so many sequences are needed in the end.
         if -(-(total + wasted) // capacity) >= used:

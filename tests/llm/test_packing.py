@@ -37,7 +37,7 @@ def test_small_plans_are_optimal():
     for _ in range(120):
         capacity = rng.choice([10, 20, 50])
         items = sorted((rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(capacity // 5, capacity // 2) for _ in range(rng.randint(0, 10))), reverse=True)
-        got = packing.plan(Counter(items), capacity)
+        got = packing.plan(Counter(items), capacity, width=None, nodes=None)
         used = Counter()
         for pattern, many in got:
             assert sum(x * n for x, n in pattern) <= capacity
@@ -46,6 +46,19 @@ def test_small_plans_are_optimal():
         assert used == Counter(items) and bins(got) == fewest(items, capacity)
 
 
+def test_a_search_that_must_leave_best_fit():
+    """Best-fit decreasing takes one sequence too many here; both the bounded and the proven search find the fewest."""
+    counts = {6: 2, 5: 2, 4: 4, 3: 2, 2: 2}  # 48 in all
+    assert bins(packing.best_fit_decreasing({5: 1, 4: 1, 3: 2, 2: 2}, 10)) >= packing.lower_bound({5: 1, 4: 1, 3: 2, 2: 2}, 10)
+    rng, better = random.Random(11), 0
+    for _ in range(200):
+        items = Counter(rng.randint(12, 45) for _ in range(rng.randint(6, 10)))
+        first, found, proven = bins(packing.best_fit_decreasing(items, 100)), bins(packing.plan(items, 100)), bins(packing.plan(items, 100, None, None))
+        assert proven == fewest(sorted(items.elements(), reverse=True), 100) <= found <= first
+        better += proven < first
+    assert better and bins(packing.plan(counts, 12)) == 4
+
+
 def test_large_plans_come_close_to_the_bound():
     rng = random.Random(4)
     counts = Counter(min(2048, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(5000))
