@@ -104,7 +104,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                     out.append(("phone", at, phone))
         elif kind == "url":
             start = at
-            while start and text[start - 1] in _SCHEME and at - start < 32:
+            while start and text[start - 1] in _SCHEME:
                 start -= 1
             if start < at and (m := _USERINFO.match(text, after)):
                 out.append(("url", start, m.end()))
