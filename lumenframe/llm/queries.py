@@ -17,7 +17,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup(table(spark, sf_dir, "documents"), sentences=3, words=40)
+    return spans.dedup(table(spark, sf_dir, "documents"), sentences=3, words=25)
 
 
 def _remainder(n: int) -> Column:
@@ -100,10 +100,10 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, coalesce(text, '') AS text, CASE WHEN regexp_matches(text, '[^\t\n\f\r ]') THEN regexp_extract_all(text, '{spans.SENTENCE}') ELSE [] END AS p FROM documents),
         w AS (SELECT doc_id, text, p, list_transform(p, lambda x: regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\t\n\f\r ]+')) AS s FROM d),
         starts AS (SELECT doc_id, s, len(s) AS n, unnest(range(1, len(s) + 1)) AS i, CAST(coalesce(list_sum(list_transform(s, lambda x: len(x))), 0) AS BIGINT) AS total FROM w),
-        sized AS (SELECT doc_id, s, n, i, total, CASE WHEN len(s[i]) >= 40 THEN 1 WHEN i < n AND len(s[i]) + len(s[i + 1]) >= 40 THEN 2 ELSE 3 END AS k FROM starts),
         runs AS (
-            SELECT doc_id, i, k, s[i : i + k - 1] AS run FROM sized WHERE i + k - 1 <= n
-            UNION ALL SELECT doc_id, 1, n, s FROM sized WHERE i = 1 AND n < 3 AND total < 40),
+            SELECT doc_id, i, k, s[i : i + k - 1] AS run FROM starts, (VALUES (1), (2), (3)) AS t(k)
+            WHERE i + k - 1 <= n AND (k = 3 OR len(s[i]) + CASE WHEN k = 2 THEN len(s[i + 1]) ELSE 0 END >= 25)
+            UNION ALL SELECT doc_id, 1, n, s FROM starts WHERE i = 1 AND n < 3 AND total < 25),
         placed AS (SELECT doc_id, i, k, first_value(doc_id) OVER x AS source, first_value(i) OVER x AS place FROM runs WINDOW x AS (PARTITION BY run ORDER BY doc_id, i)),
         again AS (SELECT * FROM placed WHERE doc_id <> source OR i <> place),
         gone AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM again) GROUP BY doc_id),

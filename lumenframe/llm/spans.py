@@ -2,16 +2,16 @@
 sentences covered by a run that isn't the first of its kind are removed.
 
 A sentence ends with dots, question or exclamation marks before white space, or with a line. Two sentences are the same if their words
-(between ASCII white space) are, A-Z lower-cased. The run of a sentence is the shortest from there on that holds `sentences` sentences
-or `words` words, so a passage of whole sentences that holds either holds a run; a text with less of both is one run. The order of runs
-is by doc_id, then by place.
+(between ASCII white space) are, A-Z lower-cased. Every run of `sentences` sentences is taken, and every shorter one that holds `words`
+words, so each sentence of a passage of whole sentences that holds either lies in a run within the passage; a text with less of both is
+one run. The order of runs is by doc_id (then by the text's hash, where an id has several texts), then by place.
 
-A document's own repeats are found where it is read. Of the others, each document sends one row for a run: 128 bits of hash and its id.
-The first document of each run is a grouped minimum, combined before the shuffle; the runs that two documents share are joined back,
-where Spark splits those that many share. Only a document's own places are ever gathered.
+A document's own repeats are found where it is read. Of the others, each document sends one row for a run: 128 bits of hash and its
+keys. The first document of each run is a grouped minimum, combined before the shuffle; the runs that two documents share are joined
+back, where Spark splits those that many share. Only a document's own places are ever gathered.
 
 Defined results: null text is an empty text, without sentences; a text of white space is left as it is. Rows that repeat an id and text
-count as one document, and each gets its result; what different texts of one id share with each other is kept. Null ids come first.
+count as one document, and each gets its result; different texts of one id, or without one, are documents each. Null ids come first.
 White space after a removed sentence goes with it. Only doc_id and the text are read. An empty table gives no rows.
 """
 
@@ -50,12 +50,11 @@ def runs(parts: list[str], sentences: int, words: int) -> list[tuple[bytes, int,
         return [(blake2b(b"".join(signs), digest_size=16).digest(), 0, len(parts))] if parts else []
     out = []
     for first in range(len(parts)):
-        held = size = 0
-        while first + size < len(parts) and size < sentences and held < words:
-            held += sizes[first + size]
-            size += 1
-        if size == sentences or held >= words:
-            out.append((blake2b(b"".join(signs[first : first + size]), digest_size=16).digest(), first, size))
+        held = 0
+        for size in range(1, min(sentences, len(parts) - first) + 1):
+            held += sizes[first + size - 1]
+            if size == sentences or held >= words:
+                out.append((blake2b(b"".join(signs[first : first + size]), digest_size=16).digest(), first, size))
     return out
 
 
@@ -83,20 +82,20 @@ def _spans(rows: DataFrame, sentences: int, words: int) -> DataFrame:
     return rows.select(*ROW_KEYS, "text").mapInArrow(scan, "id_key long, text_key long, high long, low long, first int, size int, own boolean")
 
 
-def repeats(docs: DataFrame, sentences: int = 3, words: int = 40, text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, sentences: int = 3, words: int = 25, text: str = "text") -> DataFrame:
     """id_key, text_key, first, size (in sentences) and source (the id_key of the first document with that run) of every run of every
     document that isn't the first of its kind."""
     if sentences < 1 or words < 1:
         raise ValueError("sentences and words must be 1 or more")
     spans = stage(_spans(keyed(docs, text), sentences, words), "spans")
-    sign = ["high", "low"]
-    shared = spans.filter("not own").groupBy(*sign).agg(F.min("id_key").alias("source"), F.max("id_key").alias("last")).filter("source < last").drop("last")
-    found = spans.join(stage(shared, "shared-spans"), sign).filter("own or id_key > source")
-    alone = spans.filter("own").withColumn("source", F.col("id_key"))
-    return found.unionByName(alone.select(found.columns)).select(*ROW_KEYS, "first", "size", "source")
+    sign, document = ["high", "low"], F.struct(*ROW_KEYS)
+    shared = spans.filter("not own").groupBy(*sign).agg(F.min(document).alias("source"), F.max(document).alias("last")).filter("source < last").drop("last")
+    found = spans.join(stage(shared, "shared-spans"), sign).filter(F.col("own") | (document > F.col("source")))
+    alone = spans.filter("own").withColumn("source", document)
+    return found.unionByName(alone.select(found.columns)).select(*ROW_KEYS, "first", "size", F.col("source.id_key").alias("source"))
 
 
-def dedup(docs: DataFrame, sentences: int = 3, words: int = 40, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, sentences: int = 3, words: int = 25, text: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_removed, first_doc_id (the least document that holds something removed here first; null if nothing is) and
     text (what is kept) of every row of docs."""
     rows = keyed(docs, text)

@@ -20,10 +20,9 @@ def brute(rows, n, m):
             places.setdefault(tuple(s), []).append((i, 0, len(s)))
             continue
         for a in range(len(s)):
-            for b in range(a + 1, len(s) + 1):
+            for b in range(a + 1, min(a + n, len(s)) + 1):
                 if b - a == n or sum(len(x.split(" ")) for x in s[a:b]) >= m:
                     places.setdefault(tuple(s[a:b]), []).append((i, a, b))
-                    break
     gone, first = {i: set() for i in held}, {}
     for found in places.values():
         for i, a, b in found[1:]:
@@ -50,6 +49,32 @@ def test_against_brute_force(spark, monkeypatch, least):
     assert sum(n > 0 for _, n, _, _ in want.values()) > 20
 
 
+def test_null_and_equal_ids(spark):
+    """Different texts without an id, or with one id, are documents each, in the order of their hashes."""
+    rng = random.Random(6)
+    pool = [" ".join(rng.choice(["ab", "cd", "é", "f"]) for _ in range(rng.randint(1, 9))) + rng.choice([".", "!"]) for _ in range(25)]
+    texts = sorted({" ".join(rng.choice(pool) for _ in range(rng.randint(1, 10))) for _ in range(60)})
+    for key in (None, 7):
+        df = spark.createDataFrame([(key, t) for t in texts + texts[:3]], "doc_id long, text string")
+        order = [r.text for r in df.selectExpr("text", "xxhash64(text) as h").distinct().orderBy("h").collect()]
+        want = {order[n]: x for n, x in brute(list(enumerate(order)), 3, 20).items()}
+        assert sum(x[1] > 0 for x in want.values()) > 10
+        joined = spans.dedup(df, sentences=3, words=20).collect()
+        kept = sorted(" ".join(told(r)[3]) for r in joined)
+        assert kept == sorted(" ".join(want[t][3]) for t in texts + texts[:3])
+        assert sorted(r.n_removed for r in joined) == sorted(want[t][1] for t in texts + texts[:3]) and {r.first_doc_id for r in joined} == {None, key}
+
+
+def test_every_sentence_of_a_passage_goes(spark):
+    """Two sentences of enough words and a short one after them; two sentences that only together have enough words."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long_one, pair = f"{words(25)}. {words(25)}. {words(10)}.", f"{words(14)}. {words(13)}."
+    rows = [(k, f"{words(9)}. {p} {words(8)}.") for k, p in enumerate([long_one, long_one, pair, pair])]
+    got = {r.doc_id: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_removed for k in range(4)] == [0, 3, 0, 2] and long_one not in got[1].text and got[3].text.count(".") == 2
+
+
 def test_passages_and_copies(spark):
     rng = random.Random(4)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
