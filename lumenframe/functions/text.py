@@ -40,10 +40,14 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(a: Column, n: int, skip: int = 0) -> Column:
-    """Runs of n tokens with `skip` tokens left out between neighbours, joined by spaces."""
-    span = (n - 1) * (skip + 1)
-    starts = F.when(F.size(a) > span, F.sequence(F.lit(0), F.size(a) - 1 - span)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(a, i + k * (skip + 1)) for k in range(n))))
+    """Runs of n tokens with `skip` tokens left out between neighbours, joined by spaces. Shifted slices are zipped, so that the tokens
+    are made once for each of the n places, not once for each run."""
+    step = skip + 1
+    size = F.greatest(F.size(a) - (n - 1) * step, F.lit(0))
+    out = F.slice(a, 1, size)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(a, 1 + k * step, size), lambda x, y: F.concat_ws(" ", x, y))
+    return F.coalesce(out, F.array().cast("array<string>"))
 
 
 def pad(a: Column, size: int, token: str) -> Column:
@@ -127,9 +131,16 @@ def skipgrams(df: DataFrame, key: str, words: str, window: int) -> DataFrame:
     if window < 1:
         raise ValueError("the window must be 1 or more")
     a = F.col(words)
-    around = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.transform(F.sequence(i - window, i + window), lambda j: F.struct(i.alias("i"), j.alias("j"))))), lambda p: (p["i"] != p["j"]) & (p["j"] >= 0) & (p["j"] < F.size(a)))
-    pairs = df.filter(F.size(a) > 0).select(F.col(key), F.col(words), F.explode(around).alias("p"))
-    return pairs.select(key, F.col("p.i").alias("pos"), F.get(a, F.col("p.i")).alias("center"), F.get(a, F.col("p.j")).alias("context"))
+
+    def apart(d: int) -> list[Column]:
+        """Pairs d positions apart, each word once as the center."""
+        size = F.greatest(F.size(a) - d, F.lit(0))
+        pairs = F.zip_with(F.slice(a, 1, size), F.slice(a, 1 + d, size), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        first = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["x"].alias("center"), p["y"].alias("context")))
+        return [first, F.transform(pairs, lambda p, i: F.struct((i + d).alias("pos"), p["y"].alias("center"), p["x"].alias("context")))]
+
+    parts = [part for d in range(1, window + 1) for part in apart(d)]
+    return df.select(F.col(key), F.explode(F.concat(*parts)).alias("p")).select(key, "p.pos", "p.center", "p.context")
 
 
 def skipgram_samples(df: DataFrame, key: str, words: str, window: int, num_skips: int, seed: int = 0) -> DataFrame:

@@ -32,7 +32,7 @@ def norm(x: Column) -> Column:
 
 def normalised(x: Column) -> Column:
     """Unit vector; null for the zero vector."""
-    return F.transform(doubles(x), lambda v: v / F.nullif(norm(x), F.lit(0.0)))
+    return F.zip_with(doubles(x), F.array_repeat(F.nullif(norm(x), F.lit(0.0)), F.size(x)), lambda v, n: v / n)  # the norm once a row
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -146,8 +146,20 @@ def mlp2(df: DataFrame, hidden: tuple[int, ...] = (20, 10), rounds: int = 100, s
     return mlp(df, hidden, rounds, seed)
 
 
-def gbdt(df: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 1) -> Model:
-    return _fit(GBTClassifier(featuresCol="__v", maxIter=rounds, maxDepth=depth, seed=seed), "gbdt", df)
+def gbdt(df: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 1, unbalanced: bool = False, calibration: str | None = None, most_calibration: int | None = None) -> Model:
+    """unbalanced: rows weigh so that both classes weigh alike. calibration: sigmoid or isotonic, over at most about most_calibration rows."""
+    stage = GBTClassifier(featuresCol="__v", maxIter=rounds, maxDepth=depth, seed=seed)
+    rows = df
+    if unbalanced:
+        n, ones = df.agg(F.count("*"), F.sum((F.col("label") > 0).cast("double"))).first()
+        stage = stage.setWeightCol("__weight")
+        rows = df.withColumn("__weight", F.when(F.col("label") > 0, n / max(1.0, 2 * (ones or 0))).otherwise(n / max(1.0, 2 * (n - (ones or 0)))))
+    model = _fit(stage, "gbdt", rows)
+    if calibration:
+        share = 1.0 if most_calibration is None else min(1.0, most_calibration / max(1, df.count()))
+        held = model.score(df.filter(draw(F.to_json(F.struct("features")), seed) < share)) if share < 1 else model.score(df)
+        model.calibrator = calibrate(held, "score", "label", calibration)
+    return model
 
 
 def gbdt_regression(df: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 1) -> Model:
@@ -176,6 +188,11 @@ TRAINERS: dict[str, Callable[..., Model]] = {
 }
 
 
+def register(name: str, trainer: Callable[..., Model]) -> None:
+    """Adds a trainer: called with a frame of label and features (and its parameters), it returns a Model or what has score(df, name)."""
+    TRAINERS[name] = trainer
+
+
 def train(kind: str, df: DataFrame, **params) -> Model:
     if kind not in TRAINERS:
         raise ValueError(f"unknown trainer {kind}; known: {', '.join(TRAINERS)}")

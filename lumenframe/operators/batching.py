@@ -50,9 +50,9 @@ def limit_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def draw(key: str | Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from the key and the seed, the same on every run and partitioning: of the CRC-32 of `seed:key`."""
+    """A number in [0, 1) from the key and the seed, the same on every run and partitioning: the first 52 bits of the MD5 of `seed:key`."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.crc32(F.concat(F.lit(f"{seed}:"), key.cast("string"))) / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:

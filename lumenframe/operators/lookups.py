@@ -24,20 +24,22 @@ def not_seen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def first_match(df: DataFrame, table: DataFrame, key: str, order: list[str | Column], columns: list[str]) -> DataFrame:
-    """df with the columns of the key's first row in the table; null where there is none."""
-    first = table.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__k = 1").select(key, *columns)
-    return df.join(first, key, "left")
+    """df with the columns of the key's first row in the table, in ascending order; null where there is none. The first row is an
+    aggregate, combined before the shuffle, so that a hot key is no task of its own."""
+    first = table.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__first"))
+    return df.join(first.select(key, "__first.*"), key, "left")
 
 
 def top_k_cosine(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """query_id, neighbor_id, rank, similarity of each query's k nearest others. queries: key and vector; they are counted, and up to
-    most_queries are broadcast; more meet the rows in keyed cells (block of queries by block of rows). Each partition keeps k a query
-    before the shuffle."""
+    """query_id, neighbor_id, rank, similarity of each query's k nearest others. queries: key and vector; they are counted and measured,
+    and up to most_queries of them, and 32 MB, are broadcast; more meet the rows in keyed cells (block of queries by block of rows). Each
+    partition keeps k a query before the shuffle."""
     asked = queries.select(F.col(key).alias("query_id"), vectors.normalised(F.col(vector)).alias("q"))
     given = df.select(F.col(key).alias("neighbor_id"), vectors.normalised(F.col(vector)).alias("v"))
     others = F.col("neighbor_id") != F.col("query_id")
-    if (n := asked.count()) > most_queries:
-        blocks = -(-n // most_queries)
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    if n > (most := max(1, min(most_queries, (32 << 20) // (8 * max(1, width))))):
+        blocks = -(-n // most)
         cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
         dealt = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")

@@ -12,20 +12,21 @@ from lumenframe.operators.staging import staged
 def auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
     """by, auc: the chance that a row with label > 0 scores above one without, ties counted half; NaN where either kind is missing.
 
-    Rows are first counted by score, so that what is sorted grows with distinct scores alone. For each group the running count is taken
-    in its own window; without groups, over ranges of the score (staged, as they are sampled), whose sizes are added up (a row a range)."""
+    Rows are first counted by score, so that what is sorted grows with distinct scores alone. The counts are dealt to ranges of group and
+    score (staged, as ranges are sampled); running counts are taken within each range and raised by those of the group's ranges before
+    it, so that no task holds a whole group."""
     y = (F.col(label) > 0).cast("long")
     counts = df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    if by:
-        below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = counts.withColumn("below", below)
-    else:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = staged(counts.repartitionByRange(parts, score).withColumn("part", F.spark_partition_id()))
-        sizes = ranged.groupBy("part").agg(F.sum("n").alias("m"))
-        before = sizes.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        own = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranged.withColumn("own", own).join(F.broadcast(before), "part").withColumn("below", F.col("own") + F.col("before"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(counts.repartitionByRange(parts, *by, score).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "part").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("part").alias("__part"), before.alias("before"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("part") == F.col("__part")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    ranked = ranged.withColumn("own", own).join(offsets, same).withColumn("below", F.col("own") + F.col("before"))
     pairs = (F.sum("p") * F.sum("n")).cast("double")
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
     return ranked.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).otherwise(F.lit(float("nan"))).alias("auc"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,32 @@ def bag(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     return df.withColumn("in_bag", draw(key, seed) < fraction)
 
 
-def bags(df: DataFrame, key: str, fraction: float, count: int, seed: int = 0) -> DataFrame:
-    """member, and the rows of each ensemble member's bag, drawn with a seed of its own."""
+def bags(df: DataFrame, key: str, fraction: float, count: int, seed: int = 0, replace: bool = False) -> DataFrame:
+    """member, and the rows of each ensemble member's bag, drawn for each by itself. replace: rows may come several times, as often as
+    drawn with replacement (Poisson with mean `fraction`); else each comes with that chance."""
     member = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    u = draw(F.concat(F.col("member").cast("string"), F.lit(":"), F.col(key).cast("string")), seed)
     held = df.withColumn("member", member)
-    u = F.crc32(F.concat(F.lit(f"{seed}:"), F.col("member").cast("string"), F.lit(":"), F.col(key).cast("string"))) / F.lit(4294967296.0)
-    return held.filter(u < fraction)
+    if not replace:
+        return held.filter(u < fraction)
+    times = sum((u >= step).cast("int") for step in poisson_steps(fraction))
+    return held.withColumn("__again", F.explode(F.array_repeat(F.lit(0), times))).drop("__again")
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """Chances that a Poisson number is at most 0, 1, 2, ..., as far as doubles tell them from 1."""
+    term = total = math.exp(-mean)
+    steps = [total]
+    while total < 1 - 1e-13 and term > 0:
+        term *= mean / len(steps)
+        total += term
+        steps.append(total)
+    return steps
 
 
 def folds(df: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:
     """df with fold 0..k-1; rows of one group share it."""
-    return df.withColumn("fold", (F.crc32(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))) % k).cast("int"))
+    return df.withColumn("fold", F.floor(draw(group, seed) * k).cast("int"))
 
 
 def ensemble_spec(names: str, counts: str, separator: str = ",") -> list[tuple[str, int]]:
@@ -36,6 +53,6 @@ def ensemble_spec(names: str, counts: str, separator: str = ",") -> list[tuple[s
 
 def weighted_sample(df: DataFrame, key: str, weight: str, k: int, distortion: float = 1.0, seed: int = 0) -> DataFrame:
     """k rows without replacement, likelier the higher weight ** distortion: those with the least -ln(u) / weight."""
-    u = (F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))) + 1) / F.lit(4294967297.0)
+    u = draw(key, seed) + F.lit(2.0**-53)
     rank: Column = -F.log(u) / F.pow(F.col(weight).cast("double"), F.lit(distortion))
     return df.filter(F.col(weight) > 0).withColumn("__rank", rank).orderBy("__rank", key).limit(k).drop("__rank")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import mathfn, text, vectors
 from lumenframe.models import registry
 from lumenframe.operators import batching, lookups, metrics, sampling, trees
+from lumenframe.operators.staging import shared_dir
 from lumenframe.sources import formats, sinks
 from lumenframe.streaming import scoring
 
@@ -30,8 +30,7 @@ class Tables:
 
     def scratch(self) -> str:
         """A new folder that executors share."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenframe-")
-        return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        return f"{shared_dir(self.spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -183,12 +182,12 @@ def record_round_trip(t: Tables) -> DataFrame:
     return rows.select(F.col("label").cast("int").alias("label"), F.get("index", F.lit(0)).alias("index"), F.round(F.get("value", F.lit(0)), 4).alias("value"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS pid, translate(substr(html, 1, 80), chr(10) || chr(13), '  ') AS content FROM pages")
+@query("SELECT CAST(page_id AS VARCHAR) AS pid, translate(html, chr(10) || chr(13), '  ') AS content FROM pages")
 def posts_round_trip(t: Tables) -> DataFrame:
     path = t.scratch()
     posts = t.pages.select(F.col("page_id").cast("string").alias("pid"), F.lit("t").alias("title"), F.col("html").alias("content"))
     sinks.append_posts(posts, path)
-    return formats.read_posts(t.spark, path).select("pid", F.substring("content", 1, 80).alias("content"))  # whole pages are written and read
+    return formats.read_posts(t.spark, path).select("pid", "content")
 
 
 # ---------------------------------------------------------------- slices and batches
@@ -221,7 +220,12 @@ def limit_rows(t: Tables) -> DataFrame:
     return batching.limit_rows(t.orders, ["o_orderdate", "o_orderkey"], 100).select("o_orderkey", "o_totalprice")
 
 
-@query()
+def draw_sql(key: str, seed: int = 0) -> str:
+    """batching.draw in SQL."""
+    return f"(CAST(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / CAST({2**52} AS DOUBLE))"
+
+
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {draw_sql('o_orderkey', 7)}, o_orderkey) - 1 AS row FROM orders")
 def shuffle_rows(t: Tables) -> DataFrame:
     return batching.shuffled(t.orders.select("o_orderkey"), "o_orderkey", 7)
 
@@ -265,24 +269,31 @@ def sparse_coo(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- joins
 
 
+def lookup_ids() -> Column:
+    """Two ids of an event, of which the table may lack some."""
+    return F.array(k_of().cast("long"), (F.col("user_id") * 7).cast("long"))
+
+
+DUCK_IDS = f"SELECT event_id, CAST({DUCK_K} AS BIGINT) AS a, user_id * 7 AS b, {DUCK_K} AS k FROM events"
+DUCK_TABLE = "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings"
+
+
 @query(f"""
-    SELECT event_id, round(CASE WHEN v.id IS NULL THEN 0 ELSE v.value * k END + coalesce(w.value * 0.5, 0), 6) AS total FROM ({DUCK_SPARSE}) s
-    LEFT JOIN (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings WHERE vec_id < 8) v ON s.a = v.id
-    LEFT JOIN (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings WHERE vec_id < 8) w ON s.b = w.id
+    SELECT event_id, round(coalesce(v.value * k, 0) + coalesce(w.value * 0.5, 0), 6) AS total FROM ({DUCK_IDS}) s
+    LEFT JOIN ({DUCK_TABLE}) v ON s.a = v.id LEFT JOIN ({DUCK_TABLE}) w ON s.b = w.id
 """)
 def sparse_dot(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", sparse_of()[0].alias("ids"), sparse_of()[1].alias("weights"))
-    table = t.embeddings.filter("vec_id < 8").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    rows = t.events.select("event_id", lookup_ids().alias("ids"), sparse_of()[1].alias("weights"))
+    table = t.embeddings.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
     return vectors.lookup_sum(rows, "event_id", "ids", table, "weights").select("event_id", r(F.col("total")).alias("total"))
 
 
 @query(f"""
-    SELECT event_id, round(avg(value), 6) AS total FROM (SELECT event_id, unnest([a, b]) AS id FROM ({DUCK_SPARSE}))
-    LEFT JOIN (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings WHERE vec_id < 8) USING (id) GROUP BY event_id
+    SELECT event_id, round(avg(value), 6) AS total FROM (SELECT event_id, unnest([a, b]) AS id FROM ({DUCK_IDS})) LEFT JOIN ({DUCK_TABLE}) USING (id) GROUP BY event_id
 """)
 def embedding_lookup_mean(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", sparse_of()[0].alias("ids"))
-    table = t.embeddings.filter("vec_id < 8").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    rows = t.events.select("event_id", lookup_ids().alias("ids"))
+    table = t.embeddings.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
     return vectors.lookup_sum(rows, "event_id", "ids", table, combiner="mean").select("event_id", r(F.col("total")).alias("total"))
 
 
@@ -298,9 +309,9 @@ def exists_flag(t: Tables) -> DataFrame:
     return lookups.exists_flag(t.events.select("event_id", "user_id"), known, "user_id")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def not_seen(t: Tables) -> DataFrame:
-    return lookups.not_seen(t.customer.select("c_custkey", "c_name"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return lookups.not_seen(t.customer.select("c_custkey", "c_name"), t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""
@@ -314,7 +325,7 @@ def first_match(t: Tables) -> DataFrame:
 
 COSINE_SQL = f"""
     WITH e AS (SELECT vec_id, {DUCK_EMB} AS v FROM embeddings),
-    s AS (SELECT q.vec_id AS query_id, d.vec_id AS neighbor_id, list_cosine_similarity(q.v, d.v) AS c FROM e q JOIN e d ON q.vec_id < 16 AND q.vec_id <> d.vec_id),
+    s AS (SELECT q.vec_id AS query_id, d.vec_id AS neighbor_id, list_cosine_similarity(q.v, d.v) AS c FROM e q JOIN e d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, neighbor_id) AS rank FROM s)
     SELECT query_id, neighbor_id, CAST(rank AS INTEGER) AS rank, round(c, 6) AS similarity FROM k WHERE rank <= 8
 """
@@ -323,7 +334,7 @@ COSINE_SQL = f"""
 @query(COSINE_SQL)
 def cosine_topk(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", "embedding")
-    return lookups.top_k_cosine(rows, "vec_id", "embedding", rows.filter("vec_id < 16"), 8).select("query_id", "neighbor_id", "rank", r(F.col("similarity")).alias("similarity"))
+    return lookups.top_k_cosine(rows, "vec_id", "embedding", rows.filter("vec_id % 20 = 0"), 8).select("query_id", "neighbor_id", "rank", r(F.col("similarity")).alias("similarity"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -596,11 +607,11 @@ def decode_ids(t: Tables) -> DataFrame:
 
 @query(f"""
     WITH d AS (SELECT {DUCK_TOKENS} AS w FROM documents), g AS (SELECT w[i + 1] || ' ' || w[i + 3] AS gram FROM (SELECT w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) > 2))
-    SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 5
+    SELECT gram, count(*) AS n FROM g GROUP BY gram
 """)
 def ngram_counts(t: Tables) -> DataFrame:
     grams = t.documents.select(F.explode(text.ngrams(text.tokens(F.col("text")), 2, 1)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 5")
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 CLEAN = "substr(trim(regexp_replace(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '\\s+', ' ', 'g')), 1, 100)"
@@ -620,59 +631,82 @@ def pad_tokens(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.array_join(text.content_vector(F.col("html")), " ").alias("padded"))
 
 
-@query("""
-    SELECT doc_id, pos, word, CAST(CASE side WHEN 0 THEN 0 ELSE 500 END + id AS INTEGER) AS id FROM (
-        SELECT doc_id, side, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (
-            SELECT doc_id, 0 AS side, [lang, source] AS w FROM documents UNION ALL SELECT doc_id, 1, [source] FROM documents))
-    JOIN (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT lang AS word FROM documents UNION SELECT DISTINCT source FROM documents)) USING (word)
+TITLE = f"list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '\\s+'), lambda w: w <> '')"
+
+
+@query(f"""
+    WITH sides AS (SELECT doc_id, 0 AS side, {TITLE} AS w FROM documents UNION ALL SELECT doc_id, 1, {DUCK_TOKENS} FROM documents),
+    words AS (SELECT doc_id, side, unnest(range(len(w))) AS pos, unnest(w) AS word FROM sides),
+    vocab AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT word FROM words))
+    SELECT doc_id, pos, word, CAST(id + side * 1000000 AS INTEGER) AS id FROM words JOIN vocab USING (word)
 """)
 def title_content_ids(t: Tables) -> DataFrame:
-    """Two id spaces in one vector: the second field's ids are shifted."""
-    words = t.documents.select(F.explode(F.array("lang", "source")).alias("word")).distinct()
-    vocab = words.withColumn("id", F.row_number().over(Window.orderBy("word")))  # languages and sources
-    a = text.encode(t.documents.select("doc_id", F.array("lang", "source").alias("w")), "doc_id", "w", vocab)
-    b = text.encode(t.documents.select("doc_id", F.array("source").alias("w")), "doc_id", "w", vocab, offset=500)
+    """Two id spaces in one vector: a title (the first line) and a content, whose ids are shifted."""
+    sides = t.documents.select("doc_id", text.tokens(F.split("text", "\n", 2)[0]).alias("title"), text.tokens(F.col("text")).alias("content"))
+    words = sides.select(F.explode(F.concat("title", "content")).alias("word")).distinct()
+    vocab = batching.numbered(words, "word").select("word", (F.col("row") + 1).cast("int").alias("id"))
+    a, b = text.encode(sides, "doc_id", "title", vocab), text.encode(sides, "doc_id", "content", vocab, offset=1_000_000)
     return a.unionByName(b).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(f"""
+    WITH p AS (SELECT doc_id, {TITLE} AS w FROM documents)
+    SELECT doc_id, array_to_string(list_concat(list_concat(list_concat(w, ['<tpad/>']), w), list_transform(range(72), lambda i: '<tcpad/>'))[1:72], ' ') AS padded FROM p
+""")
+def title_vector(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.array_join(text.title_vector(F.split("text", "\n", 2)[0]), " ").alias("padded"))
+
+
 @query("SELECT event_id, '[' || CAST(user_id AS VARCHAR) || ' ' || CAST(event_id AS VARCHAR) || ']' || event_type AS content, strftime(to_timestamp(1400000000 + event_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created FROM events")
 def format_content(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.tagged_prefix([F.col("user_id"), F.col("event_id")], F.col("event_type")).alias("content"), text.time_of(F.lit(1400000000) + F.col("event_id")).alias("created"))
 
 
-@query("SELECT doc_id, lang AS back FROM documents")
+#: Letters of the Latin blocks that the character set lacks; they come back as question marks.
+LOST = "".join(c for c in map(chr, range(0x80, 0x250)) if c.encode("gbk", "replace") == b"?")
+
+
+@query(f"SELECT doc_id, translate(text, '{LOST}', '{'?' * len(LOST)}') AS back FROM documents")
 def encoding_convert(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.decoded(text.encoded(F.col("lang"))).alias("back"))
+    return t.documents.select("doc_id", text.decoded(text.encoded(F.col("text"))).alias("back"))
 
 
 @query(f"""
-    WITH d AS (SELECT doc_id, ({DUCK_TOKENS})[1:50] AS w FROM documents), e AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d)
-    SELECT a.word AS center, b.word AS context, count(*) AS n FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 2 GROUP BY ALL HAVING count(*) >= 3
+    WITH d AS (SELECT doc_id, {DUCK_TOKENS} AS w FROM documents), e AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+    o AS (SELECT doc_id, word, pos + off AS pos FROM e, (VALUES (-2), (-1), (1), (2)) AS t(off))
+    SELECT o.word AS center, e.word AS context, count(*) AS n FROM o JOIN e USING (doc_id, pos) GROUP BY ALL
 """)
 def skipgram_pairs(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", F.slice(text.tokens(F.col("text")), 1, 50).alias("w"))  # the feature: a text's head
-    return text.skipgrams(docs, "doc_id", "w", 2).groupBy("center", "context").agg(F.count("*").alias("n")).filter("n >= 3")
+    docs = t.documents.select("doc_id", text.tokens(F.col("text")).alias("w"))
+    return text.skipgrams(docs, "doc_id", "w", 2).groupBy("center", "context").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- samples
 
 
-@query()
+@query(f"SELECT event_id, {draw_sql('event_id', 3)} < CAST(0.7 AS DOUBLE) AS in_bag FROM events")
 def bag_oob(t: Tables) -> DataFrame:
     return sampling.bag(t.events.select("event_id"), "event_id", 0.7, 3)
 
 
-@query()
+@query(f"SELECT event_id, user_id, CAST(floor({draw_sql('user_id')} * 5) AS INTEGER) AS fold FROM events")
 def group_folds(t: Tables) -> DataFrame:
     return sampling.folds(t.events.select("event_id", "user_id"), "user_id", 5)
 
 
-@query()
+BAG_STEPS = " + ".join(f"CAST(u >= CAST({step!r} AS DOUBLE) AS BIGINT)" for step in sampling.poisson_steps(0.7))
+
+
+@query(f"""
+    WITH m AS (SELECT event_id, unnest(range(5)) AS member FROM events), d AS (SELECT event_id, member, {draw_sql("CAST(member AS VARCHAR) || ':' || CAST(event_id AS VARCHAR)")} AS u FROM m)
+    SELECT CAST(member AS INTEGER) AS member, event_id, n FROM (SELECT member, event_id, {BAG_STEPS} AS n FROM d) WHERE n > 0
+""")
 def ensemble_sample(t: Tables) -> DataFrame:
-    return sampling.bags(t.events.select("event_id"), "event_id", 0.7, 5).groupBy("member").agg(F.count("*").alias("n"))
+    """Five bags drawn with replacement, and how often each row is in each."""
+    return sampling.bags(t.events.select("event_id"), "event_id", 0.7, 5, replace=True).groupBy("member", "event_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT p_partkey, p_size FROM part WHERE p_size > 0 ORDER BY -ln({draw_sql('p_partkey')} + power(CAST(2 AS DOUBLE), -53)) / p_size, p_partkey LIMIT 64")
 def negative_sampling(t: Tables) -> DataFrame:
     return sampling.weighted_sample(t.part.select("p_partkey", "p_size"), "p_partkey", "p_size", 64, 1.0)
 
@@ -765,6 +799,88 @@ def json_round_trip(t: Tables) -> DataFrame:
     return t.spark.read.schema("event_id long, user_id long, event_type string").json(path)
 
 
+SCORED_SQL = "SELECT o_orderkey, '[' || CAST(o_custkey AS VARCHAR) || ' ' || CAST(o_orderkey % 9 AS VARCHAR) || ' ' || CAST(o_orderkey % 1000 AS VARCHAR) || ' 5]' || o_orderstatus AS content, strftime(to_timestamp(1400000000 + o_orderkey) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created FROM orders"
+
+
+def scored_posts(t: Tables) -> DataFrame:
+    created = F.lit(1400000000) + F.col("o_orderkey")
+    return t.orders.select("o_orderkey", F.col("o_custkey").alias("score"), (F.col("o_orderkey") % 9).alias("num_posts"), created.alias("create_time"), (created + F.col("o_orderkey") % 1000).alias("now_time"), F.lit(5).alias("thre"), F.col("o_orderstatus").alias("content"))
+
+
+@query(SCORED_SQL)
+def scored_rows(t: Tables) -> DataFrame:
+    return sinks.scored_rows(scored_posts(t)).select("o_orderkey", "content", "created")
+
+
+@query("SELECT o_orderkey AS thread_id, o_orderkey * 10 AS post_id, CAST(o_totalprice AS DOUBLE) AS score, o_orderstatus AS title, CAST(0.5 AS DOUBLE) AS thre FROM orders")
+def scored_posts_file(t: Tables) -> DataFrame:
+    """Scored posts in fourteen columns of text, read back by their schema."""
+    path, key = t.scratch(), F.col("o_orderkey")
+    columns = [key, key * 10, F.lit(1), F.lit(2), F.lit("10.0.0.1"), F.lit(1400000000), F.col("o_totalprice"), F.col("o_orderstatus"), F.lit("text"), F.lit("forum"), F.lit("name"), F.lit(1400000100), F.lit(3), F.lit(0.5)]
+    t.orders.select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).write.option("sep", "\t").csv(path)
+    return formats.read_scored_posts(t.spark, path).select("thread_id", "post_id", "score", "title", "thre")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS thread_id, CAST(event_id + 1 AS VARCHAR) AS post_id, CAST(user_id AS VARCHAR) AS uid, '7' AS forum_id FROM events WHERE event_type = 'error'")
+def deletion_requests(t: Tables) -> DataFrame:
+    """Requests are written only when they are enabled."""
+    path = t.scratch()
+    wanted = t.events.filter("event_type = 'error'").select(F.col("event_id").alias("thread_id"), (F.col("event_id") + 1).alias("post_id"), F.col("user_id").alias("uid"), F.lit(7).alias("forum_id"))
+    for enabled in (False, True):
+        sinks.deletion_requests(wanted, path, enabled)
+    return t.spark.read.option("sep", "\t").csv(path, schema="thread_id string, post_id string, uid string, forum_id string")
+
+
+@query("SELECT event_id AS name, value AS score, user_id AS extra FROM events")
+def result_file(t: Tables) -> DataFrame:
+    path = t.scratch()
+    sinks.write_results(t.events, path, ["event_id"], ["value", "user_id"])
+    return t.spark.read.option("sep", "\t").csv(path, schema="name long, score double, extra long")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 100")
+def first_of_sorted(t: Tables) -> DataFrame:
+    return formats.first_of_sorted(t.events.select("event_id", "value"), "value", "event_id", 100)
+
+
+@query("SELECT o_orderkey AS label, o_custkey AS f0 FROM orders")
+def cached_parse(t: Tables) -> DataFrame:
+    """A file parsed once: the second call reads what the first one kept."""
+    path, kept = t.scratch(), t.scratch()
+    t.orders.select(F.concat_ws("\t", "o_orderkey", "o_custkey").alias("value")).write.text(path)
+    parse = lambda spark, source: spark.read.text(source).select(F.split("value", "\t").alias("p")).select(F.get("p", F.lit(0)).cast("long").alias("label"), F.get("p", F.lit(1)).cast("long").alias("f0"))
+    for _ in range(2):
+        found = formats.cached_parse(t.spark, path, kept, parse)
+    return found
+
+
+@query("""
+    WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(translate(text, chr(10) || chr(13), '  '), '\\s+'), lambda w: w <> '') AS w FROM conversations),
+    e AS (SELECT conv_id, turn, unnest(range(len(w))) AS k, unnest(w) AS word FROM c)
+    SELECT row_number() OVER (ORDER BY conv_id, turn, k) - 1 AS pos, word FROM e
+""")
+def read_words(t: Tables) -> DataFrame:
+    """A text file's words, numbered through; the file's order is that of turns."""
+    path = t.scratch()
+    t.conversations.orderBy("conv_id", "turn").select(text.one_line(F.col("text")).alias("value")).coalesce(1).write.text(path)
+    return formats.read_words(t.spark, path)
+
+
+@query("SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def union_rows(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).unionByName(t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
+
+
+@query("""
+    SELECT o_orderkey AS id, CAST(o_orderstatus = 'F' AS INTEGER) AS label, CAST(10 AS INTEGER) AS num_features, CAST(o_orderkey % 7 AS INTEGER) AS first_id, CAST(0.5 AS DOUBLE) AS last_weight FROM orders
+""")
+def prediction_file(t: Tables) -> DataFrame:
+    """Lines of `_id label num_features id:weight ...`."""
+    line = F.concat_ws("\t", F.concat(F.lit("_"), F.col("o_orderkey").cast("string")), (F.col("o_orderstatus") == "F").cast("int").cast("string"), F.lit("10"), F.concat((F.col("o_orderkey") % 7).cast("string"), F.lit(":1.0")), F.lit("8:0.5"))
+    found = t.orders.select(formats.parse_prediction(line).alias("p")).select("p.*")
+    return found.select(F.substring("id", 2, 20).cast("long").alias("id"), F.col("label").cast("int").alias("label"), "num_features", F.get("ids", F.lit(0)).alias("first_id"), F.get("weights", F.lit(1)).alias("last_weight"))
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -84,6 +84,12 @@ def parse_sparse(line: Column, label: int = 0, first_index: int = 0) -> Column:
     return F.struct(F.get(tokens, label).cast("double").alias("label"), F.get(tokens, label + 1).cast("int").alias("num_features"), *_pairs(tokens, label + 2, first_index))
 
 
+def parse_prediction(line: Column) -> Column:
+    """Struct of id, label, num_features, ids and weights, from `_id label n id:weight ...`."""
+    tokens = split_line(line)
+    return F.struct(F.get(tokens, 0).alias("id"), F.get(tokens, 1).cast("double").alias("label"), F.get(tokens, 2).cast("int").alias("num_features"), *_pairs(tokens, 3, 0))
+
+
 def parse_libsvm(line: Column, first_index: int = 1) -> Column:
     """Struct of label, ids (from 0) and weights, from `label id:weight ...`."""
     tokens = split_line(line)
@@ -144,12 +150,12 @@ def read_instances(spark: SparkSession, path: str, kind: str = "auto", separator
     kind = ("dense" if header else layout.kind) if kind == "auto" else kind
     if kind not in {"dense", "index_only", "sparse", "libsvm"}:
         raise ValueError(f"unknown kind {kind}")
-    if has_header:  # the one line that equals the header
+    if has_header:  # each file of a folder may start with it
         lines = lines.filter(F.col("value") != first["value"])
         sample = lines.first()
         layout = Layout(kind, True, 1 if sample and sample["value"].startswith("_") else 0)
     if max_rows is not None:
-        lines = lines.limit(max_rows)
+        lines = lines.withColumn("at", F.monotonically_increasing_id()).orderBy("at").limit(max_rows).drop("at")
     at = layout.label if label < 0 else label
     if kind == "libsvm":
         df = lines.select(parse_libsvm(F.col("value"), first_index).alias("p")).select("p.*")

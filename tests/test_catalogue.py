@@ -31,10 +31,15 @@ def test_same_as_sql(spark, sf, duck, name):
     assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want
 
 
-def test_trained_models_beat_a_floor(spark, sf):
-    for name, least in (("train_logistic", 0.9), ("train_gbt", 0.8)):
-        held = catalogue.QUERIES[name](spark, sf).filter(batching.draw("row", 1) >= 0.7)
-        assert metrics.auc(held, "label", "score").first()[0] > least, name
+@pytest.mark.parametrize(("name", "least"), [("train_logistic", 0.95), ("train_svm", 0.95), ("train_gbt", 0.95), ("train_mlp", 0.8), ("train_boosted", 0.95), ("train_ensemble", 0.95), ("model_roundtrip", 0.95)])
+def test_trained_models_beat_a_floor(spark, name, least):
+    held = catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
+    assert metrics.auc(held, "label", "score").first()[0] > least
+
+
+def test_softmax_beats_chance(spark):
+    rows = catalogue.QUERIES["train_softmax"](spark, "/root/testdata/sf0.01")
+    assert rows.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] > 0.3  # ten classes
 
 
 def test_bags_and_folds_repeat(spark, sf):

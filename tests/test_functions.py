@@ -67,3 +67,17 @@ def test_text_of_other_character_sets(spark):
 def test_pad_cuts_and_fills(spark):
     row = spark.createDataFrame([(["a", "b", "c"],)], "w array<string>")
     assert list(row.select(text.pad(F.col("w"), 2, "-"), text.pad(F.col("w"), 4, "-")).first()) == [["a", "b"], ["a", "b", "c", "-"]]
+
+
+def test_ngrams_against_slices(spark):
+    rows = [(list("abcdefg")[:n],) for n in range(8)]
+    df = spark.createDataFrame(rows, "w array<string>")
+    for n, skip in ((1, 0), (2, 0), (2, 1), (3, 2)):
+        span = (n - 1) * (skip + 1)
+        want = sorted([" ".join(w[i : i + span + 1 : skip + 1]) for i in range(len(w) - span)] for (w,) in rows)
+        assert sorted(r[0] for r in df.select(text.ngrams(F.col("w"), n, skip)).collect()) == want
+
+
+def test_unit_vectors(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0],), ([],), (None,)], "v array<double>")
+    assert [r[0] for r in df.select(vectors.normalised(F.col("v"))).collect()] == [[0.6, 0.8], [None], [], None]

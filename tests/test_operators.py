@@ -158,3 +158,38 @@ def test_posts_come_back_whole(spark, tmp_path):
     sinks.append_posts(spark.createDataFrame(rows, "pid string, title string, content string"), str(tmp_path / "posts"))
     got = {r.pid: r.content for r in formats.read_posts(spark, str(tmp_path / "posts")).collect()}
     assert got == {k: c and c.replace("\n", " ") for k, _, c in rows}
+
+
+def test_auc_of_groups_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None, "one"]), rng.randint(0, 1), rng.randint(0, 9) / 4) for _ in range(300)]
+    rows = [(g, 1 if g == "one" else y, s) for g, y, s in rows]
+    got = {r.g: r.auc for r in metrics.auc(spark.createDataFrame(rows, "g string, y int, s double").repartition(5), "y", "s", ("g",)).collect()}
+    for g in ("a", "b", None):
+        pos, neg = ([s for h, y, s in rows if h == g and y == k] for k in (1, 0))
+        assert got[g] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
+    assert math.isnan(got["one"]) and len(got) == 4
+
+
+def test_first_match_takes_the_least(spark):
+    table = spark.createDataFrame([(1, 3, "c"), (1, 2, "b"), (2, 1, "x"), (None, 0, "n")], "k int, o int, v string")
+    found = lookups.first_match(spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int"), table, "k", ["o"], ["v"])
+    assert sorted(((r.k or 0), r.v) for r in found.collect() if r.v) == [(1, "b"), (2, "x")] and found.count() == 4
+
+
+def test_bags_with_replacement(spark):
+    rows = spark.range(4000)
+    bags = sampling.bags(rows, "id", 1.0, 3, seed=2, replace=True)
+    times = bags.groupBy("member", "id").count()
+    assert {abs(r["count"] - 4000) < 250 for r in bags.groupBy("member").count().collect()} == {True}
+    assert times.filter("count > 1").count() > 2000 and abs(times.count() - 3 * 4000 * (1 - math.exp(-1))) < 250
+    assert sampling.poisson_steps(0.0) == [1.0]
+
+
+def test_trainers_can_be_added_and_balanced(spark):
+    rows = spark.range(400).select(F.col("id").alias("row"), (F.col("id") % 10 == 0).cast("int").alias("label"), F.array((F.col("id") % 10).cast("double")).alias("features"))
+    registry.register("mine", lambda df, k=1: registry.logistic(df, rounds=k))
+    assert registry.train("mine", rows, k=3).kind == "logistic"
+    model = registry.train("gbdt", rows, rounds=3, depth=2, unbalanced=True, calibration="sigmoid", most_calibration=200)
+    assert model.calibrator is not None and metrics.auc(model.score(rows), "label", "score").first()[0] > 0.99
+    del registry.TRAINERS["mine"]
