@@ -11,8 +11,8 @@ result is exact. Examples are ordered by likeness before they are cut into block
 bounds of unlike ones stay low. The share of the votes for label 1 is calibrated by a logistic fit to the examples' own leave-one-out
 shares.
 
-Defined results: null and empty texts, and all texts without a word of any example, have no neighbours and get the score of such examples. Ties in
-similarity go to the smaller id. Null labels and labels of unknown documents are ignored; of repeated labels one counts, the greatest.
+Defined results: null and empty texts, and all texts without a word of any example, have no neighbours and get the
+share of label 1 among such examples, drawn towards that among all labels as if by two examples more. Ties in similarity go to the smaller id. Null labels and labels of unknown documents are ignored; of repeated labels one counts, the greatest.
 Without labels of both classes every score is the share of label 1 (0 without any). Rows that repeat are scored each; a null doc_id is
 kept. An empty table gives no rows. Scores read the text alone.
 """
@@ -246,7 +246,8 @@ class Model:
             if len(set(labels[known])) == 2:
                 self.line = _logistic(np.array([x for x in own if x is not None]), labels[known].astype(float), self.vote[known] * scale)
             rest = ~known
-            self.prior = float(((self.vote * labels)[rest].sum() + 0.5 * self.vote.min() * shares[1]) / (self.vote[rest].sum() + 0.5 * self.vote.min()))
+            pull = 2 * self.vote.mean()  # so that one odd example doesn't decide over all texts without known words
+            self.prior = float(((self.vote * labels)[rest].sum() + pull * shares[1]) / (self.vote[rest].sum() + pull))
 
     def _vectors(self) -> Vectors:
         cuts, terms, n = self.counts
