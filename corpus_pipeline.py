@@ -3,8 +3,8 @@ benchmark passages go, personal data is replaced by tags, and what is left is to
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of documents.
 
-Defined results: null and empty texts are kept by the stages that drop documents (their toxicity is that of texts without known words,
-they are near copies of nothing and hold no passage), pass redaction unchanged and are packed as the separator alone. A null doc_id is
+Defined results: null and empty texts have the toxicity of texts without known words, which goes by the share of toxic ones among labelled
+texts of that kind; they are near copies of nothing, hold no passage, pass redaction unchanged and are packed as the separator alone. A null doc_id is
 kept and stays null. Rows that repeat an id and text get one decision each in the toxicity, decontamination and packing stages; the
 near-duplicate stage decides by id, so rows of one id stay or go together. Columns beyond doc_id and text, nulls in them included, pass
 through whatever their names, until packing, which reads these two alone. An empty table gives no rows.
