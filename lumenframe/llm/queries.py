@@ -156,4 +156,17 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.c, d.doc_id)) AS component_id, least(d.doc_id, coalesce(c.c, d.doc_id)) = d.doc_id AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
     """,
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        strings AS (SELECT doc_id, s, md5(b[s + 1 : s + 200]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 199)) AS s FROM d WHERE octet_length(b) >= 200)),
+        again AS (SELECT doc_id, s FROM strings JOIN (SELECT h FROM strings GROUP BY h HAVING count(*) > 1) USING (h)),
+        fresh AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS first FROM again),
+        numbered AS (SELECT doc_id, s, sum(first) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM fresh),
+        gone AS (SELECT doc_id, k, min(s) AS a, max(s) + 200 AS z FROM numbered GROUP BY doc_id, k),
+        cuts AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a) AS BIGINT) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+               CASE WHEN a IS NULL THEN sha256(b) ELSE sha256(unhex(array_to_string(list_transform(range(1, len(a) + 2), lambda i:
+                   hex(b[(CASE WHEN i = 1 THEN 0 ELSE z[i - 1] END) + 1 : CASE WHEN i > len(a) THEN octet_length(b) ELSE a[i] END])), ''))) END AS kept_sha256
+        FROM d LEFT JOIN cuts USING (doc_id)
+    """,
 }
