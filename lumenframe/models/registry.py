@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators.batching import draw
 from lumenframe.operators.metrics import auc
 from lumenframe.operators.sampling import ensemble_spec
+from lumenframe.operators.trees import Boosted, boost
 
 
 def vectorised(df: DataFrame, features: str = "features") -> DataFrame:
@@ -42,6 +43,8 @@ class Model:
         More classes: all probabilities, as an array."""
         if self.kind == "random":
             out = df.withColumn(name, draw(self.extra["key"], self.extra["seed"]))
+        elif self.kind == "gbdt_ranking":
+            out = Boosted.of(self.extra["boosted"]).score(_spread(df, self.width), name).drop(*_spots(self.width))
         else:
             out = self.stage.transform(vectorised(df))
             if "probability" in out.columns:
@@ -166,6 +169,21 @@ def gbdt_regression(df: DataFrame, rounds: int = 20, depth: int = 4, seed: int =
     return _fit(GBTRegressor(featuresCol="__v", maxIter=rounds, maxDepth=depth, seed=seed), "gbdt_regression", df)
 
 
+def _spots(width: int) -> list[str]:
+    return [f"__f{k}" for k in range(width)]
+
+
+def _spread(df: DataFrame, width: int) -> DataFrame:
+    return df.withColumns({f: F.get("features", F.lit(k)) for k, f in enumerate(_spots(width))})
+
+
+def gbdt_ranking(df: DataFrame, group: str = "group", key: str = "row", rounds: int = 20, depth: int = 4, rate: float = 0.1, filter_zero: bool = False, seed: int = 1) -> Model:
+    """Boosted trees that order the rows of a group by label: squared loss over the pairs of a group (trees.boost)."""
+    width = len(df.select("features").first()["features"])
+    found = boost(_spread(df, width), "label", _spots(width), key, rounds, depth, rate, seed=seed, group=group, filter_zero=filter_zero)
+    return Model("gbdt_ranking", None, width, {"boosted": found.as_dict()})
+
+
 def random_scores(df: DataFrame, key: str = "row", seed: int = 0) -> Model:
     return Model("random", None, 0, {"key": key, "seed": seed})
 
@@ -183,7 +201,7 @@ TRAINERS: dict[str, Callable[..., Model]] = {
     "mlp2": mlp2,
     "gbdt": gbdt,
     "gbdt_regression": gbdt_regression,
-    "gbdt_ranking": gbdt_regression,
+    "gbdt_ranking": gbdt_ranking,
     "random": random_scores,
 }
 

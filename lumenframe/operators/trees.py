@@ -37,6 +37,21 @@ def residual(label: Column, score: Column) -> Column:
     return label.cast("double") - score.cast("double")
 
 
+def pair_residual(df: DataFrame, group: str, column: str = "residual") -> DataFrame:
+    """df with the gradient of the squared loss over a group's pairs, averaged over a row's partners, in place of the rows' own residuals.
+
+    The loss of a pair is ((s - t) - (y - z))^2 for scores s, t and labels y, z; summed over all partners its gradient is n times a row's
+    residual less the mean of its group's. So no pairs are made: one mean a group is joined back. Rows without a group are one group."""
+    means = df.groupBy(F.col(group).alias("__group")).agg(F.avg(column).alias("__mean"))
+    return df.join(means, F.col(group).eqNullSafe(F.col("__group"))).withColumn(column, F.col(column) - F.col("__mean")).drop("__group", "__mean")
+
+
+def with_order(df: DataFrame, group: str, label: str) -> DataFrame:
+    """Rows of groups with more than one label: the others have no pair to put in order."""
+    told = df.groupBy(F.col(group).alias("__group")).agg((F.min(label) < F.max(label)).alias("__told")).filter("__told")
+    return df.join(told, F.col(group).eqNullSafe(F.col("__group")), "left_semi")
+
+
 def leaf_step(output: Column, rate: float, most: float) -> Column:
     """A leaf's output times the learning rate, within +-most."""
     return F.least(F.greatest(output * rate, F.lit(-most)), F.lit(most))
@@ -139,13 +154,26 @@ class Boosted:
             total = total + tree.column()
         return self.binned(df).withColumn(name, total).drop(*(f"{f}__bin" for f in self.features))
 
+    def as_dict(self) -> dict:
+        return {"features": self.features, "bounds": self.bounds, "start": self.start, "trees": [tree.as_dict() for tree in self.trees]}
+
+    @staticmethod
+    def of(d: dict) -> Boosted:
+        return Boosted(d["features"], d["bounds"], d["start"], [Node.of(tree) for tree in d["trees"]])
 
-def boost(df: DataFrame, label: str, features: list[str], key: str, rounds: int = 10, depth: int = 3, rate: float = 0.1, bins: int = 255, most_output: float = 100.0, bag_fraction: float = 1.0, smoothing: float = 0.0, seed: int = 0) -> Boosted:
+
+def boost(df: DataFrame, label: str, features: list[str], key: str, rounds: int = 10, depth: int = 3, rate: float = 0.1, bins: int = 255, most_output: float = 100.0, bag_fraction: float = 1.0, smoothing: float = 0.0, seed: int = 0, active: list[bool] | None = None, group: str | None = None, filter_zero: bool = False) -> Boosted:
     """Squared-loss boosting on binned features. Scores are a function of the trees so far, not of the rounds' lineage, so the plan of a
-    round stays short; what reaches the driver is one split a node. The binned table is cached for the rounds."""
+    round stays short; what reaches the driver is one split a node. The binned table is cached for the rounds.
+
+    active: which features may be used. group: rank within groups, by the squared loss over a group's pairs; scores of different groups
+    then don't compare. filter_zero: leave out groups without a pair of different labels."""
+    features = [f for f, on in zip(features, active or [True] * len(features), strict=True) if on]
+    if group and filter_zero:
+        df = with_order(df, group, label)
     model = Boosted(features, {f: bin_bounds(df, f, bins) for f in features}, float(df.agg(F.avg(label)).first()[0] or 0.0))
     names = [f"{f}__bin" for f in features]
-    held = model.binned(df).select(key, F.col(label).cast("double").alias("label"), *names).persist()
+    held = model.binned(df).select(key, F.col(label).cast("double").alias("label"), *names, *([F.col(group).alias("group")] if group else [])).persist()
     try:
         for k in range(rounds):
             total = F.lit(model.start)
@@ -154,6 +182,8 @@ def boost(df: DataFrame, label: str, features: list[str], key: str, rounds: int
             rows = held.withColumn("residual", residual(F.col("label"), total))
             if bag_fraction < 1:
                 rows = rows.filter(draw(key, seed + k) < bag_fraction)
+            if group:
+                rows = pair_residual(rows, "group")
             root = _grow(rows, names, depth)
             if smoothing:
                 root.smoothed(smoothing)

@@ -767,6 +767,23 @@ def leaf_smooth(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "leaf int, output double").withColumn("output", r(F.col("output")))
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 24 THEN 1.75 WHEN l_linenumber <= 3 THEN -0.5 ELSE 4.25 END AS score FROM lineitem")
+def leaf_delta(t: Tables) -> DataFrame:
+    tree = trees.Node(0, 0.0, "l_quantity", 24, trees.Node(0, 1.5), trees.Node(0, 0.0, "l_linenumber", 3, trees.Node(0, -0.75), trees.Node(0, 4.0)))
+    tree.shifted(0.25)
+    return t.lineitem.select("l_orderkey", "l_linenumber", tree.column().alias("score"))
+
+
+@query("""
+    WITH g AS (SELECT o_orderkey, o_custkey, sqrt(o_totalprice) - 3 AS d, min(o_totalprice) OVER w AS a, max(o_totalprice) OVER w AS z FROM orders WINDOW w AS (PARTITION BY o_custkey))
+    SELECT o_orderkey, round(d - avg(d) OVER (PARTITION BY o_custkey), 6) AS gradient FROM g WHERE a < z
+""")
+def ranking_gradient(t: Tables) -> DataFrame:
+    told = trees.with_order(t.orders, "o_custkey", "o_totalprice")
+    rows = told.select("o_orderkey", "o_custkey", trees.residual(F.sqrt("o_totalprice"), F.lit(3)).alias("residual"))
+    return trees.pair_residual(rows, "o_custkey").select("o_orderkey", r(F.col("residual")).alias("gradient"))
+
+
 # ---------------------------------------------------------------- sinks
 
 
@@ -955,6 +972,13 @@ def train_boosted(t: Tables) -> DataFrame:
     return model.score(rows).select("row", "label", "score")
 
 
+@query()
+def train_ranking(t: Tables) -> DataFrame:
+    rows = quality_rows(t).join(t.documents.select(F.col("doc_id").alias("row"), F.col("source").alias("group")), "row")
+    train = rows.filter(batching.draw("row", 1) < 0.7)
+    return registry.train("gbdt_ranking", train, rounds=6, depth=3, rate=0.5, filter_zero=True).score(rows).select("row", "group", "label", "score")
+
+
 @query()
 def train_ensemble(t: Tables) -> DataFrame:
     rows = quality_rows(t)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, StringType
 from pyspark.sql.utils import AnalysisException
 
 from lumenframe.functions.text import one_line, tagged_prefix, time_of
@@ -22,9 +23,19 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def insert_ignore(df: DataFrame, path: str, key: list[str]) -> None:
-    """Appends rows whose key the target lacks, once each: running it again adds nothing."""
+    """Appends rows whose key the target lacks, once each: running it again adds nothing. Only keys within the range of the new ones'
+    first column are read from the target, so that a batch of recent keys skips the files of old ones."""
     new, there = df.dropDuplicates(key), read_or_none(df.sparkSession, path)
-    (new if there is None else new.join(there.select(*key).distinct(), key, "left_anti")).write.mode("append").parquet(path)
+    (new if there is None else new.join(_between(there, df, key[0]).select(*key).distinct(), key, "left_anti")).write.mode("append").parquet(path)
+
+
+def _between(there: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """Rows of `there` that may equal one of df in the column; a filter that reaches the scan, where both have one type that orders."""
+    kind = df.select(column).schema[0].dataType
+    if not isinstance(kind, (DateType, IntegralType, StringType)) or there.select(column).schema[0].dataType != kind:
+        return there
+    least, most = df.agg(F.min(column), F.max(column)).first()
+    return there.filter(F.col(column).between(F.lit(least), F.lit(most)))
 
 
 def insert_ignore_jdbc(df: DataFrame, url: str, table: str, key: list[str], properties: dict[str, str]) -> None:

@@ -37,6 +37,13 @@ def test_trained_models_beat_a_floor(spark, name, least):
     assert metrics.auc(held, "label", "score").first()[0] > least
 
 
+def test_ranking_orders_rows_of_a_group(spark):
+    held = catalogue.QUERIES["train_ranking"](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
+    found = [r["auc"] for r in metrics.auc(held, "label", "score", by=("group",)).collect()]
+    found = [x for x in found if x == x]
+    assert found and sum(found) / len(found) > 0.9
+
+
 def test_softmax_beats_chance(spark):
     rows = catalogue.QUERIES["train_softmax"](spark, "/root/testdata/sf0.01")
     assert rows.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] > 0.3  # ten classes

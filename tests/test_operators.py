@@ -61,6 +61,29 @@ def test_smoothing_and_weighted_outputs_agree():
     assert math.isnan(trees.Node(0, 0.0, "f", 1, trees.Node(0, 1.0), trees.Node(0, 2.0)).weighted())
 
 
+def test_ranking_gradient_equals_that_of_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["a", "b", None]), rng.random()) for k in range(30)] + [(30, "alone", 2.0)]
+    want = {i: sum(x - y for _, h, y in rows if h == g) / sum(h == g for _, h, _ in rows) for i, g, x in rows}
+    df = spark.createDataFrame(rows, "id int, g string, residual double")
+    assert {r.id: r.residual for r in trees.pair_residual(df, "g").collect()} == pytest.approx(want)
+    assert {r.g for r in trees.with_order(df, "g", "residual").collect()} == {"a", "b", None}
+
+
+def test_ranking_follows_order_within_groups_and_saves(spark, tmp_path):
+    # Groups differ in level, which the features don't tell; within each the second feature alone orders the rows.
+    rows = [(k, k % 4, float(100 * (k % 4) + k // 4), [float(k * 7 % 11), float(k // 4)]) for k in range(80)]
+    df = spark.createDataFrame(rows, "row int, group int, label double, features array<double>")
+    model = registry.train("gbdt_ranking", df, rounds=8, depth=3, rate=0.7)
+    model.save(str(tmp_path / "m"))
+    got = {r.row: r.score for r in registry.Model.load(str(tmp_path / "m")).score(df).collect()}
+    pairs = [(a, b) for a in range(80) for b in range(a % 4, a - 3, 4)]
+    assert sum(got[a] > got[b] for a, b in pairs) > 0.85 * len(pairs) and len(model.score(df).columns) == 5
+    with pytest.raises(ValueError):
+        trees.boost(df, "label", ["row"], "row", rounds=1, active=[True, False])
+    assert trees.boost(df, "label", ["row", "group"], "row", rounds=1, depth=2, bins=8, active=[False, True]).features == ["group"]
+
+
 def test_boosting_lowers_the_error(spark):
     rows = spark.range(400).select("id", (F.xxhash64("id") % 100).cast("double").alias("a"), (F.xxhash64("id", F.lit(1)) % 100).cast("double").alias("b")).withColumn("y", F.when(F.col("a") > 10, 5.0).otherwise(-2.0) + F.when(F.col("b") > 0, 1.0).otherwise(0.0))
     model = trees.boost(rows, "y", ["a", "b"], "id", rounds=3, depth=2, rate=0.9, bins=64)
