@@ -11,16 +11,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions import mathfn, vectors
 from lumenframe.operators.batching import draw
 from lumenframe.operators.metrics import auc
 from lumenframe.operators.sampling import ensemble_spec
+from lumenframe.operators.staging import staged
 from lumenframe.operators.trees import Boosted, boost
 
 
@@ -43,6 +48,8 @@ class Model:
         More classes: all probabilities, as an array."""
         if self.kind == "random":
             out = df.withColumn(name, draw(self.extra["key"], self.extra["seed"]))
+        elif self.kind == "gradient":
+            out = df.withColumn(name, mathfn.sigmoid(vectors.dot(F.col("features"), F.lit(self.extra["weights"])) + self.extra["bias"]))
         elif self.kind == "gbdt_ranking":
             out = Boosted.of(self.extra["boosted"]).score(_spread(df, self.width), name).drop(*_spots(self.width))
         else:
@@ -122,6 +129,61 @@ def logistic(df: DataFrame, reg: float = 0.0, bias: bool = True, rounds: int = 1
     return _fit(LogisticRegression(featuresCol="__v", regParam=reg, fitIntercept=bias, maxIter=rounds), "logistic", df)
 
 
+@dataclass
+class Optimiser:
+    """One step of plain descent, Adagrad or Adam for a vector of weights."""
+
+    kind: str
+    rate: float
+    steps: int = 0
+    first: Any = 0.0
+    second: Any = 0.0
+
+    def step(self, weights: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        self.steps += 1
+        if self.kind == "descent":
+            return weights - self.rate * gradient
+        if self.kind == "adagrad":
+            self.second = (self.second if self.steps > 1 else 0.1) + gradient**2
+            return weights - self.rate * gradient / np.sqrt(self.second)
+        self.first, self.second = 0.9 * self.first + 0.1 * gradient, 0.999 * self.second + 0.001 * gradient**2
+        mean, spread = self.first / (1 - 0.9**self.steps), self.second / (1 - 0.999**self.steps)
+        return weights - self.rate * mean / (np.sqrt(spread) + 1e-8)
+
+
+def gradient_logistic(df: DataFrame, optimiser: str = "adagrad", rate: float = 0.1, rounds: int = 50, bias: bool = True, standardise: bool = True) -> Model:
+    """Logistic regression by an optimiser of choice (descent, adagrad, adam), each step on the gradient over all rows: partitions add up
+    their own, and one vector of the model's size comes back. Rows without a label or features take no part. standardise: steps are
+    taken on features of unit deviation (and, with a bias, of mean 0); the weights returned are those of the features as they are."""
+    if optimiser not in ("descent", "adagrad", "adam"):
+        raise ValueError(f"unknown optimiser {optimiser}")
+    rows = staged(df.select(F.col("label").cast("double").alias("label"), F.col("features").cast("array<double>").alias("features")).dropna())
+    width, n = len(rows.select("features").first()["features"]), rows.count()
+    weights, steps = np.zeros(width + 1), Optimiser(optimiser, rate)
+    mean, spread = np.zeros(width), np.ones(width)
+    if standardise:
+        found = vectorised(rows).agg(Summarizer.metrics("mean", "std").summary(F.col("__v")).alias("s")).first()["s"]
+        spread = np.where(found["std"].toArray() > 0, found["std"].toArray(), 1.0)
+        mean = found["mean"].toArray() if bias else mean
+    for _ in range(rounds):
+        now = rows.sparkSession.sparkContext.broadcast(weights)
+
+        def part(it, now=now):
+            total, w = np.zeros(width + 1), now.value
+            for b in it:
+                x = (b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - mean) / spread
+                over = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - b.column("label").to_numpy(zero_copy_only=False)
+                total += np.r_[over @ x, over.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], names=["at", "slope"])
+
+        sums = rows.mapInArrow(part, "at long, slope double").groupBy("at").agg(F.sum("slope").alias("slope")).toArrow().sort_by("at")
+        slope = sums["slope"].to_numpy() / n
+        weights = steps.step(weights, slope if bias else np.r_[slope[:-1], 0.0])
+        now.unpersist()
+    own = weights[:-1] / spread
+    return Model("gradient", None, width, {"weights": own.tolist(), "bias": float(weights[-1] - own @ mean)})
+
+
 def softmax(df: DataFrame, reg: float = 0.0, rounds: int = 100) -> Model:
     classes = int(df.agg(F.max("label")).first()[0]) + 1
     return _fit(LogisticRegression(featuresCol="__v", family="multinomial", regParam=reg, maxIter=rounds), "softmax", df, classes=classes if classes > 2 else 2)
@@ -191,6 +253,7 @@ def random_scores(df: DataFrame, key: str = "row", seed: int = 0) -> Model:
 #: Trainers by name; several names of other toolkits lead to the nearest that Spark has.
 TRAINERS: dict[str, Callable[..., Model]] = {
     "logistic": logistic,
+    "gradient": gradient_logistic,
     "softmax": softmax,
     "linear_svm": linear_svm,
     "sofia": linear_svm,

@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import mathfn, text, vectors
-from lumenframe.models import registry
+from lumenframe.models import registry, textcnn
 from lumenframe.operators import batching, lookups, metrics, sampling, trees
 from lumenframe.operators.staging import shared_dir
 from lumenframe.sources import formats, sinks
@@ -144,6 +145,15 @@ def parse_sparse(t: Tables) -> DataFrame:
     return rows.select("event_id", "p.label", "p.num_features", F.size("p.ids").alias("n"), F.get("p.ids", F.lit(0)).alias("first_id"), F.get("p.weights", F.lit(1)).alias("last_weight"))
 
 
+@query(f"""
+    SELECT event_id, CAST(p[1] AS DOUBLE) AS label, CAST(p[2] AS INTEGER) AS num_features, array_to_string(p[3:], '|') AS tokens
+    FROM (SELECT event_id, regexp_split_to_array(line, '\\s+') AS p FROM ({DUCK_LINES}) WHERE event_type = 'view')
+""")
+def parse_raw(t: Tables) -> DataFrame:
+    rows = t.events.filter("event_type = 'view'").select("event_id", formats.parse_raw(event_lines()).alias("p"))
+    return rows.select("event_id", "p.label", "p.num_features", F.array_join("p.tokens", "|").alias("tokens"))
+
+
 @query("""
     SELECT CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority AS name, o_totalprice AS f0,
            (CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END) || ' 1:' || CAST(o_orderkey % 7 AS VARCHAR) || ' 5:2' AS line, CAST(2 AS INTEGER) AS n, CAST(0 AS INTEGER) AS first_id FROM orders
@@ -597,6 +607,41 @@ def encode_unk(t: Tables) -> DataFrame:
     return ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == 1000).alias("unk"), F.sum("id").alias("total"))
 
 
+def small_cnn() -> textcnn.TextCnn:
+    """Filters of widths 3, 5 and 7, two each, over words of four numbers; all weights are quarters or eighths, so that sums are exact."""
+
+    def filters(w: int) -> np.ndarray:
+        o, j, f = np.meshgrid(np.arange(w), np.arange(4), np.arange(2), indexing="ij")
+        return ((o * 3 + j * 5 + f * 7 + w) % 5 - 2) / 4
+
+    out = [(w + 2 * f) % 3 - 1.0 for w in (3, 5, 7) for f in (0, 1)]
+    return textcnn.TextCnn([(filters(w), np.array([0.0, 0.125])) for w in (3, 5, 7)], np.array(out), 0.125)
+
+
+def word_vectors(t: Tables) -> DataFrame:
+    return t.spark.range(16).select("id", F.array(*((F.pmod(F.col("id") * 5 + j * 3, F.lit(7)) - 3) / 4 for j in range(4))).alias("vector"))
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, list_transform({DUCK_TOKENS}, lambda w: length(w)) AS ids FROM documents),
+    p AS (SELECT doc_id, CASE WHEN len(ids) < 7 THEN list_resize(ids, 7, -1) ELSE ids END AS ids FROM d),
+    h AS (SELECT doc_id, w, f, list_max(list_transform(range(len(ids) - w + 1), lambda i: greatest(0.0, f / 8.0 + list_sum(list_transform(range(w * 4), lambda q:
+        CASE WHEN ids[i + q // 4 + 1] NOT BETWEEN 0 AND 15 THEN 0.0
+             ELSE (((ids[i + q // 4 + 1] * 5 + (q % 4) * 3) % 7) - 3) / 4.0 * ((((q // 4) * 3 + (q % 4) * 5 + f * 7 + w) % 5) - 2) / 4.0 END))))) AS best
+        FROM p, (VALUES (3), (5), (7)) AS a(w), (VALUES (0), (1)) AS b(f))
+    SELECT doc_id, CAST(0.125 + sum(best * ((w + 2 * f) % 3 - 1)) AS DOUBLE) AS score FROM h GROUP BY doc_id
+""")
+def text_cnn(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", F.transform(text.tokens(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    return small_cnn().score(docs, "doc_id", "ids", word_vectors(t)).select("doc_id", "score")
+
+
+@query("SELECT vec_id, list_max(list_transform(range(len(v) - 2), lambda i: greatest(0.0, 0.25 + v[i + 1] * 0.5 - v[i + 2] + v[i + 3] * 2.0))) AS best FROM (SELECT vec_id, list_transform(embedding, lambda x: round(x * 64) / 64.0) AS v FROM embeddings)")
+def convolution(t: Tables) -> DataFrame:
+    whole = F.transform(emb(), lambda x: F.round(x * 64) / 64)  # sums of these are exact
+    return t.embeddings.select("vec_id", textcnn.conv_max(whole, [0.5, -1.0, 2.0], 0.25).alias("best"))
+
+
 @query(f"SELECT v.id, v.word, count(*) AS n FROM ({WORDS}) JOIN ({VOCAB}) v USING (word) GROUP BY v.id, v.word")
 def decode_ids(t: Tables) -> DataFrame:
     vocab = text.vocabulary(t.documents, "text", 200)
@@ -965,6 +1010,27 @@ def train_softmax(t: Tables) -> DataFrame:
     return registry.train("softmax", rows, rounds=30).score(rows).select("row", "label", vectors.argmax(F.col("score")).alias("predicted"))
 
 
+@query()
+def train_gradient(t: Tables) -> DataFrame:
+    rows = quality_rows(t)
+    return registry.train("gradient", rows.filter(batching.draw("row", 1) < 0.7), optimiser="adam", rounds=40).score(rows).select("row", "label", "score")
+
+
+@query(f"""
+    WITH g AS (SELECT CAST(event_type = 'purchase' AS INTEGER) AS y, {DUCK_LOGIT} * s.step AS z, s.step FROM events, (VALUES (1), (2)) AS s(step)),
+    m AS (SELECT step, avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS loss, avg(CAST((z > 0) = (y = 1) AS INTEGER)) AS accuracy FROM g GROUP BY step)
+    SELECT step, 'loss' AS name, round(loss, 6) AS value FROM m UNION ALL SELECT step, 'accuracy', round(accuracy, 6) FROM m
+""")
+def summaries(t: Tables) -> DataFrame:
+    path = t.scratch()
+    rows = t.events.select((F.col("event_type") == "purchase").cast("int").alias("y"), logit().alias("z"))
+    for step in (1, 2):
+        z = F.col("z") * step
+        hit = ((z > 0) == (F.col("y") == 1)).cast("int")
+        sinks.append_summary(rows.agg(F.avg(metrics.logit_loss(z, F.col("y"))).alias("loss"), F.avg(hit).alias("accuracy")), path, step)
+    return t.spark.read.parquet(path).select("step", "name", r(F.col("value")).alias("value"))
+
+
 @query()
 def train_boosted(t: Tables) -> DataFrame:
     rows = quality_rows(t).select("row", "label", *(F.get("features", F.lit(k)).alias(f"f{k}") for k in range(3)))

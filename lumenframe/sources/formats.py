@@ -84,6 +84,13 @@ def parse_sparse(line: Column, label: int = 0, first_index: int = 0) -> Column:
     return F.struct(F.get(tokens, label).cast("double").alias("label"), F.get(tokens, label + 1).cast("int").alias("num_features"), *_pairs(tokens, label + 2, first_index))
 
 
+def parse_raw(line: Column, label: int = 0) -> Column:
+    """Struct of label, num_features and tokens, from `label n id:weight ...`, the tokens as they stand."""
+    tokens = split_line(line)
+    rest = F.slice(tokens, label + 3, F.greatest(F.size(tokens) - label - 2, F.lit(0)))
+    return F.struct(F.get(tokens, label).cast("double").alias("label"), F.get(tokens, label + 1).cast("int").alias("num_features"), rest.alias("tokens"))
+
+
 def parse_prediction(line: Column) -> Column:
     """Struct of id, label, num_features, ids and weights, from `_id label n id:weight ...`."""
     tokens = split_line(line)

@@ -70,6 +70,12 @@ def label_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.select((F.col(label) > 0).cast("int").alias("label"), F.col(score).alias("score"))
 
 
+def append_summary(df: DataFrame, path: str, step: int) -> None:
+    """Appends the metrics of a step (a frame of one row, a column for each) as rows of step, name and value."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c in df.columns)))
+    df.select(F.lit(step).alias("step"), pairs.alias("m")).select("step", "m.*").write.mode("append").parquet(path)
+
+
 def append_posts(df: DataFrame, path: str) -> None:
     df.select("pid", one_line(F.col("title")).alias("title"), one_line(F.col("content")).alias("content")).write.mode("append").options(**POST_CSV).csv(path)
 

@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.models import registry
+from lumenframe.models import registry, textcnn
 from lumenframe.operators import batching, lookups, metrics, sampling, trees
 from lumenframe.sources import formats, sinks
 from lumenframe.streaming import scoring
@@ -216,3 +217,47 @@ def test_trainers_can_be_added_and_balanced(spark):
     model = registry.train("gbdt", rows, rounds=3, depth=2, unbalanced=True, calibration="sigmoid", most_calibration=200)
     assert model.calibrator is not None and metrics.auc(model.score(rows), "label", "score").first()[0] > 0.99
     del registry.TRAINERS["mine"]
+
+
+def test_text_cnn_by_table_and_by_join(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    model = textcnn.TextCnn([(rng.normal(size=(w, 3, 4)), rng.normal(size=4)) for w in (2, 5)], rng.normal(size=8), 0.5)
+    words = {k: rng.normal(size=3) for k in range(6)}
+    texts = [None, [], [1], [9, 9], [0, None, 2], [int(x) for x in rng.integers(0, 8, 6000)], *([int(x) for x in rng.integers(0, 8, n)] for n in range(2, 12))]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in words.items()], "id long, vector array<double>")
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, ids array<long>")
+
+    def plain(ids):
+        x = [words.get(i, np.zeros(3)) for i in ids] + [np.zeros(3)] * (5 - len(ids))
+        best = [max(0.0, *(b[f] + sum(x[i + o] @ w[o, :, f] for o in range(len(w))) for i in range(len(x) - len(w) + 1))) for w, b in model.filters for f in range(4)]
+        return float(np.dot(best, model.out) + model.bias)
+
+    want = [None if t is None else pytest.approx(plain(t)) for t in texts]
+    got = lambda m: [r["score"] for r in m.score(df, "row", "ids", table).orderBy("row").collect()]
+    assert got(model) == want
+    model.save(spark, str(tmp_path / "cnn"))
+    monkeypatch.setattr(textcnn, "BROADCAST_BYTES", 0)
+    assert got(textcnn.TextCnn.load(spark, str(tmp_path / "cnn"))) == want
+
+
+@pytest.mark.parametrize("kind", ["descent", "adagrad", "adam"])
+def test_optimisers_against_plain_steps(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] - x[:, 1] > 0.2).astype(float)
+    model = registry.gradient_logistic(spark.createDataFrame([(float(b), a.tolist()) for a, b in zip(x, y, strict=True)], "label double, features array<double>").repartition(3), kind, 0.2, 3, standardise=False)
+    w, m, v = np.zeros(4), np.zeros(4), np.zeros(4)
+    if kind == "adagrad":
+        v += 0.1
+    ones = np.c_[x, np.ones(60)]
+    for t in (1, 2, 3):
+        g = ones.T @ (1 / (1 + np.exp(-ones @ w)) - y) / 60
+        if kind == "descent":
+            w = w - 0.2 * g
+        elif kind == "adagrad":
+            v = v + g * g
+            w = w - 0.2 * g / np.sqrt(v)
+        else:
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert [*model.extra["weights"], model.extra["bias"]] == pytest.approx(list(w))
