@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -14,7 +15,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import Bucketizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.stat import Summarizer
@@ -101,8 +102,13 @@ class Calibrator:
         x = F.col(name)
         if self.kind == "sigmoid":
             return df.withColumn(name, 1 / (1 + F.exp(-(F.lit(self.line[0]) + F.lit(self.line[1]) * x))))
-        at = F.size(F.filter(F.array(*(F.lit(b) for b in self.bounds)), lambda b: b <= x))
-        return df.withColumn(name, F.element_at(F.array(*(F.lit(v) for v in self.values)), F.greatest(at, F.lit(1))))
+        last = dict(zip(self.bounds, self.values, strict=True))  # of equal bounds the last
+        splits = [-math.inf, *(b for b in last if b > -math.inf), math.inf]
+        # Bucketizer searches by halves; what is not a number lies above all bounds, as in any ordering of Spark's.
+        placed = Bucketizer(splits=splits, inputCol="__x", outputCol="__at", handleInvalid="keep").transform(df.withColumn("__x", x.cast("double")))
+        values = [self.values[0], *(v for b, v in last.items() if b > -math.inf)]
+        at = F.least(F.col("__at").cast("int"), F.lit(len(values) - 1))
+        return placed.withColumn(name, F.when(F.col("__x").isNotNull(), F.get(F.lit(values), at))).drop("__x", "__at")
 
     def as_dict(self) -> dict:
         return {"kind": self.kind, "line": self.line, "bounds": self.bounds, "values": self.values}

@@ -955,6 +955,7 @@ def _stream(t: Tables, table: str) -> DataFrame:
 @query("SELECT DISTINCT user_id FROM events WHERE value > 20")
 def dedup_stream(t: Tables) -> DataFrame:
     path = t.scratch()
+    # No watermark: files of the past come in any order, and rows behind a watermark would be dropped. State grows with the users alone.
     source = _stream(t, "events").filter("value > 20").select("user_id", F.lit(1.0).alias("score"))
     scoring.score_stream(source, None, lambda df: df, 0.5, "user_id", f"{path}/out", f"{path}/state").awaitTermination()
     return t.spark.read.parquet(f"{path}/out").select("user_id")

@@ -142,10 +142,11 @@ def select_features(names: list[str], include: str | None = None, exclude: str |
     return [n for k, n in kept if exclude is None or not any(fits(r, k, n) for r in exclude.split(","))]
 
 
-def read_instances(spark: SparkSession, path: str, kind: str = "auto", separator: str | None = None, header: bool | None = None, label: int = -1, weight: int = -1, names: tuple[int, ...] = (), attrs: tuple[int, ...] = (), group: tuple[int, ...] = (), rank_test: bool = False, name_separator: str = "|", include: str | None = None, exclude: str | None = None, first_index: int = 1, max_rows: int | None = None) -> Dataset:
+def read_instances(spark: SparkSession, path: str, kind: str = "auto", separator: str | None = None, header: bool | None = None, label: int = -1, weight: int = -1, names: tuple[int, ...] = (), attrs: tuple[int, ...] = (), group: tuple[int, ...] = (), rank_test: bool = False, name_separator: str = "|", include: str | None = None, exclude: str | None = None, first_index: int = 1, max_rows: int | None = None, feature_names: list[str] | None = None) -> Dataset:
     """Reads a feature file. kind: auto, dense, index_only, sparse or libsvm. Columns are given by position: label, weight, names (joined
     into `name`), attrs (carried as `attr`, not features) and group (also joined; for a rank test without one it is column 0). Dense rows
-    must all be as long. max_rows: the first rows in the file's order."""
+    must all be as long. max_rows: the first rows in the file's order. feature_names: of the feature columns of a dense file, in order
+    (read_names reads them), instead of those of a header."""
     if rank_test and not group:
         group = (0,)
     lines = spark.read.text(path).filter(F.trim("value") != "")
@@ -180,8 +181,12 @@ def read_instances(spark: SparkSession, path: str, kind: str = "auto", separator
     width = len(re.split(r"\s+", first["value"].strip()) if separator is None else first["value"].split(SEPARATORS.get(separator, separator)))
     titles = re.split(r"\s+", first["value"].strip().lstrip("#")) if has_header and separator is None else [f"f{k}" for k in range(width)]
     special = {at, weight, *names, *attrs, *group} | ({0} if layout.label == 1 and label < 0 else set())
-    feature_names = select_features([titles[k] for k in range(width) if k not in special], include, exclude)
-    spots = [titles.index(n) for n in feature_names]
+    own = [k for k in range(width) if k not in special]
+    if feature_names is not None and len(feature_names) != len(own):
+        raise ValueError(f"{len(feature_names)} names for the {len(own)} features of {path}")
+    named = dict(zip(feature_names or [titles[k] for k in own], own, strict=False))
+    feature_names = select_features(list(named), include, exclude)
+    spots = [named[n] for n in feature_names]
     joined = lambda cols: F.concat_ws(name_separator, *(F.get(tokens, k) for k in cols))
     columns = [F.get(tokens, at).cast("double").alias("label"), F.array(*(F.get(tokens, k).cast("double") for k in spots)).alias("features"), F.size(tokens).alias("__width")]
     columns += [joined(cols).alias(n) for n, cols in (("name", names), ("attr", attrs), ("group", group)) if cols]
@@ -195,6 +200,12 @@ def read_instances(spark: SparkSession, path: str, kind: str = "auto", separator
     return Dataset(df, kind, len(spots), len(spots), _classes(df), False, tuple(feature_names))
 
 
+def read_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of a feature name file, one a line; as few as a line of data has columns."""
+    numbered = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    return [r["value"].strip() for r in numbered.orderBy("at").collect()]
+
+
 def _classes(df: DataFrame) -> int:
     return int((df.agg(F.max("label")).first()[0] or 0) + 1)
 

@@ -15,7 +15,8 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def deduplicated(source: DataFrame, key: str, time: str | None = None, watermark: str | None = None) -> DataFrame:
-    """Each key once. With a time column and a watermark, state is dropped after it; else it grows with the keys."""
+    """Each key once. With a time column and a watermark, state is dropped after it, and so are rows that come later than that;
+    without, no row is lost and state grows with the keys."""
     if time and watermark:
         return source.withWatermark(time, watermark).dropDuplicatesWithinWatermark([key])
     return source.dropDuplicates([key])

@@ -261,3 +261,24 @@ def test_optimisers_against_plain_steps(spark, kind):
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     assert [*model.extra["weights"], model.extra["bias"]] == pytest.approx(list(w))
+
+
+def test_isotonic_steps_against_a_plain_search(spark):
+    bounds, values = [0.1, 0.3, 0.3, 0.7], [0.0, 0.2, 0.4, 0.9]
+    xs = [-1.0, 0.1, 0.2, 0.3, 0.5, 0.7, 2.0, math.nan, math.inf, -math.inf, None]
+    df = spark.createDataFrame(list(enumerate(xs)), "row int, score double")
+    got = [r["score"] for r in registry.Calibrator("isotonic", bounds=bounds, values=values).apply(df, "score").orderBy("row").collect()]
+    assert got == [None if x is None else values[max(0, sum(b <= x or x != x for b in bounds) - 1)] for x in xs]
+    one = registry.Calibrator("isotonic", bounds=[0.5], values=[0.25]).apply(df, "score")
+    assert {r["score"] for r in one.filter("row < 10").collect()} == {0.25}
+
+
+def test_feature_name_file(spark, tmp_path):
+    (tmp_path / "rows.txt").write_text("1\t2.5\t3\n0\t1.5\t4\n")
+    (tmp_path / "names.txt").write_text("height\n\nweight\n")
+    names = formats.read_names(spark, str(tmp_path / "names.txt"))
+    found = formats.read_instances(spark, str(tmp_path / "rows.txt"), feature_names=names, exclude="e:height")
+    assert names == ["height", "weight"] and found.names == ("weight",)
+    assert sorted(tuple(r["features"]) for r in found.df.collect()) == [(3.0,), (4.0,)]
+    with pytest.raises(ValueError, match="names"):
+        formats.read_instances(spark, str(tmp_path / "rows.txt"), feature_names=["one"])
