@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenframe.llm import decontaminate, neardup, packing, pii, quality, spans, substrings, topk, toxicity, urls
+from lumenframe.llm import alignment, decontaminate, neardup, packing, phrases, pieces, pii, quality, spans, substrings, topk, toxicity, urls
 from lumenframe.llm.common import table
 
 
@@ -78,6 +78,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    csv = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(csv, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_sentence_spans": op2_sentence_spans,
@@ -89,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_phrases": op12_phrases,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -169,4 +187,23 @@ ORACLES: dict[str, str] = {
                    hex(b[(CASE WHEN i = 1 THEN 0 ELSE z[i - 1] END) + 1 : CASE WHEN i > len(a) THEN octet_length(b) ELSE a[i] END])), ''))) END AS kept_sha256
         FROM d LEFT JOIN cuts USING (doc_id)
     """,
+    "op12_phrases": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        f AS (
+            SELECT lang, k, w[i : i + k - 1] AS run, count(*) AS f FROM starts, (VALUES (1), (2), (3)) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, run, f AS a FROM f WHERE k > 1 AND f >= 10),
+        cuts AS (
+            SELECT c.lang, c.run, c.a, cut, x.f AS l, y.f AS r, CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x ON x.lang = c.lang AND x.run = c.run[1 : cut] JOIN f y ON y.lang = c.lang AND y.run = c.run[cut + 1 : c.k]),
+        worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, run ORDER BY score, cut) AS o FROM cuts) WHERE o = 1),
+        inside AS (SELECT lang, run, max(a) AS held FROM (SELECT lang, a, unnest([run[1:2], run[2:3]]) AS run FROM c WHERE k = 3) GROUP BY lang, run),
+        kept AS (SELECT worst.* FROM worst LEFT JOIN inside USING (lang, run) WHERE held IS NULL OR 100 * held < 50 * a),
+        ranked AS (SELECT lang, array_to_string(run, ' ') AS phrase, a, l, r, score FROM kept),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM ranked)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }
