@@ -4,11 +4,11 @@ Where tokens of both end, a text is cut into groups; tokens of one group are lin
 B) are few beside their occurrences. So groups are interned, each distinct one is expanded into its links once, and what the links are
 worth is looked up by group:
 
-1. Each task interns its groups and counts, for each id pair, the documents that hold it linked, and for each group its uses; sums by
-   pair and by group are shuffled, not documents.
+1. Each document is tokenized once and written as its groups. From these, each task interns the distinct groups it meets and counts, for
+   each id pair, the documents that hold it linked, and for each group its uses; sums by pair and by group are shuffled, not documents.
 2. A pair's count and its A id's highest count are joined to the links of the distinct groups, and summed up by group.
 3. Workers hold the groups' values, most used first, up to `most_bytes`; for groups beyond, documents send (row, group, uses) to a join
-   and get back sums. Documents' texts are not shuffled.
+   and get back sums. Texts are not shuffled.
 
 Texts are tokenized by chunks, which no token of either crosses and which both see alike wherever they stand (blanks before a word, and
 between ASCII letters, digits and signs); a worker remembers the chunks it has met. Tokenizers of other kinds take a text as one chunk.
@@ -31,14 +31,18 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import batches, small, stage
 from lumenframe.llm.lookup import packed, split
+from lumenframe.llm.packing import encode
 
-LONG, MOST_HELD = 64, 150_000  # characters of a chunk that is remembered; entries of a worker's dictionaries
+LONG, MOST_HELD = 64, 200_000  # characters of a chunk that is remembered; entries of a worker's dictionaries
 
 _L, _D, _O = "A-Za-zÀ-ÖØ-öø-ſ", "0-9", r"!-&(-/:-@\[-`{-~"
 #: Blanks with letters, digits or signs, where what follows parts them for both tokenizers; a line feed before such; else all up to the next
 #: blank that stands behind no white space.
 _CHUNK = re.compile(rf" *[{_L}]+(?![^ \n{_O}{_D}'])| *[{_D}]+(?![^ \n{_O}{_L}'])| *[{_O}]+(?![^ \n{_L}{_D}])|(?<=[{_L}{_D}{_O}])\n(?=[{_L}{_D}{_O}])| *[^ ]+(?:(?<=[\s▁\x1c-\x1f]) +[^ ]+)*(?:(?<=[\s▁\x1c-\x1f]) +\Z)?| +\Z")
 
+#: The neighbours between which texts are cut.
+_PARTED = re.compile(rf"[{_L}][\n{_O}{_D}']|[{_D}][\n{_O}{_L}']|[{_O}][\n{_L}{_D}]|\n[{_L}{_D}{_O}]")
+
 
 @lru_cache(maxsize=1)
 def _byte_values() -> dict[str, int]:
@@ -58,8 +62,8 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.bpe_json, self.held, self.before = bpe_json, {}, {}
         self.a = Tokenizer.from_file(bpe_json or public_tokenizers.path("byte_bpe_50k.json"))
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=model or public_tokenizers.path("piece_bpe_32k.model"))
         letters = _byte_values()
         self.a_bytes = {k: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, k in self.a.get_vocab().items()}
@@ -68,9 +72,11 @@ class Aligner:
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         bare = [p.lstrip("▁") for k in range(self.b.get_piece_size()) if len(p := self.b.id_to_piece(k)) > 1 and not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
-        mixed = any("▁" in p or re.search(r"[\x00-\x1f!-@\[-`{-\x7f]", p) and re.search(r"[^\x00-\x1f!-@\[-`{-\x7f]", p) or re.search("[0-9\n]", p) and len(p) > 1 for p in bare)
+        mixed = any("▁" in p or _PARTED.search(p) for p in bare)
+        self.lossless = plain and set(letters) <= set(self.a.get_vocab())
+        self.a_names, self.b_names = {k: str(k) for k in self.a_bytes}, [str(k) for k in range(len(self.b_bytes))]
+        self.a_sizes, self.b_sizes = {k: len(t) for k, t in self.a_bytes.items()}, [len(t) for t in self.b_bytes]
         self.cut = plain and not mixed and self.b.encode("a\nb") == [*self.b.encode("a"), *self._b("\n"), *self._b("b")]
-        self.lead = self.b.encode("\n")
 
     def _b(self, chunk: str) -> list[int]:
         """B's ids of a chunk of a text with a blank before it."""
@@ -81,24 +87,49 @@ class Aligner:
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(" " + text) if self.cut else [" " + text]
 
-    def groups(self, chunk: str) -> list[str] | None:
-        """The groups `a1,a2|b1` of a chunk; None where its tokens don't give it back."""
-        own, a, b = chunk.encode(), self.a.encode(chunk, add_special_tokens=False).ids, self._b(chunk)
-        a_bytes, b_bytes = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(a_bytes) != own or b"".join(b_bytes) != own:
+    def groups(self, chunk: str) -> str | None:
+        """The groups of a chunk as `a1,a2|b1;a3|b2,b3`; None where its tokens don't give it back."""
+        own, a, b = chunk.encode(), encode(chunk, self.bpe_json, special=False), self._b(chunk)
+        if b"".join([self.b_bytes[k] for k in b]) != own or not self.lossless and b"".join([self.a_bytes[k] for k in a]) != own:
             return None
-        a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
-        out, i, j, first_a, first_b = [], 0, 0, 0, 0
-        while i < len(a) and j < len(b):
-            if a_ends[i] == b_ends[j]:
-                out.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
+        left, right = [self.a_names[k] for k in a], [self.b_names[k] for k in b]
+        if len(a) == 1 or len(b) == 1:
+            return f"{','.join(left)}|{','.join(right)}"
+        sizes, other = self.a_sizes, self.b_sizes
+        out, i, j, first_a, first_b, at_a, at_b = [], 1, 1, 0, 0, sizes[a[0]], other[b[0]]
+        while True:
+            if at_a == at_b:
+                out.append(f"{left[first_a]}|{right[first_b]}" if i - first_a == j - first_b == 1 else f"{','.join(left[first_a:i])}|{','.join(right[first_b:j])}")
+                if i == len(a):
+                    return ";".join(out)
                 first_a, first_b = i, j
-            elif a_ends[i] < b_ends[j]:
+            if at_a <= at_b:
+                step_b = at_a == at_b
+                at_a += sizes[a[i]]
                 i += 1
-            else:
-                j += 1
-        return out
+                if not step_b:
+                    continue
+            at_b += other[b[j]]
+            j += 1
+
+    def of_text(self, text: str | None) -> str | None:
+        """The groups of a text; null where it has no tokens. What short chunks gave is remembered, whatever the task."""
+        if not text:
+            return None
+        parts, held = [], self.held
+        for chunk in self.chunks(text):
+            found = held.get(chunk)
+            if found is None:
+                found = self.before.pop(chunk, None) or self.groups(chunk)
+                if found is None:
+                    return None
+                if len(chunk) <= LONG:
+                    held[chunk] = found
+                    if len(held) >= MOST_HELD:  # what wasn't asked for since the last change of generations goes
+                        self.before, self.held = held, {}
+                        held = self.held
+            parts.append(found)
+        return ";".join(parts)
 
 
 @lru_cache(maxsize=1)
@@ -113,73 +144,55 @@ def links_of(group: str) -> dict[tuple[int, int], int]:
     return {(x, y): n * m for x, n in left.items() for y, m in right.items()}
 
 
-def _counted(docs: DataFrame, bpe_json: str | None, model: str | None) -> DataFrame:
-    """key, docs, uses: documents in which the id pair `a|b` is linked, and uses of the group of this name."""
+def _tokenized(docs: DataFrame, bpe_json: str | None, model: str | None) -> DataFrame:
+    """doc_id, groups of every row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(bpe_json, model)
-        chunk_groups: dict[str, tuple[int, ...] | None] = {}
-        numbers: dict[str, int] = {}  # of groups
-        uses: list[int] = []
-        pairs_of: list[tuple[int, ...]] = []
-        pair_numbers: dict[tuple[int, int], int] = {}
-        held_by: list[int] = []
+        for batch in batches(it, 128):
+            yield pa.record_batch([batch.column(0), pa.array([aligner.of_text(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "groups"])
 
-        def intern(chunk: str) -> tuple[int, ...] | None:
-            groups = aligner.groups(chunk)
-            if groups is None:
-                return None
-            out = []
-            for g in groups:
-                k = numbers.get(g)
-                if k is None:
-                    k = numbers[g] = len(uses)
-                    uses.append(0)
-                    own = []
-                    for pair in links_of(g):
-                        p = pair_numbers.setdefault(pair, len(held_by))
-                        if p == len(held_by):
-                            held_by.append(0)
-                        own.append(p)
-                    pairs_of.append(tuple(own))
-                out.append(k)
-            return tuple(out)
+    return docs.mapInArrow(run, "doc_id long, groups string")
+
+
+def _counted(made: DataFrame) -> DataFrame:
+    """key, docs, uses: documents in which the id pair `a|b` is linked, and uses of the group of this name."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses: Counter = Counter()
+        pairs_of: dict[str, tuple[int, ...]] = {}
+        numbers: dict[str, int] = {}  # of pairs
+        held_by: list[int] = []
 
         def told() -> Iterator[pa.RecordBatch]:
-            keys = [*numbers, *(f"{a}|{b}" for a, b in pair_numbers)]
-            counts = [*([0] * len(numbers)), *held_by], [*uses, *([0] * len(pair_numbers))]
+            keys = [*uses, *numbers]
+            docs, used = [*([0] * len(uses)), *held_by], [*uses.values(), *([0] * len(numbers))]
             for at in range(0, len(keys), 50_000):
                 part = slice(at, at + 50_000)
-                yield pa.record_batch([pa.array(keys[part], pa.string()), pa.array(counts[0][part], pa.int64()), pa.array(counts[1][part], pa.int64())], names=["key", "docs", "uses"])
-            for x in (chunk_groups, numbers, uses, pairs_of, pair_numbers, held_by):
+                yield pa.record_batch([pa.array(keys[part], pa.string()), pa.array(docs[part], pa.int64()), pa.array(used[part], pa.int64())], names=["key", "docs", "uses"])
+            for x in (uses, pairs_of, numbers, held_by):
                 x.clear()
 
-        for batch in batches(it):
-            for text in batch.column(0).to_pylist():
-                if not text:
+        for batch in batches(it, 128):
+            for groups in batch.column(0).to_pylist():
+                if groups is None:
                     continue
-                found: Counter = Counter()
-                for chunk, n in Counter(aligner.chunks(text)).items():
-                    try:
-                        groups = chunk_groups[chunk]
-                    except KeyError:
-                        groups = intern(chunk)
-                        if len(chunk) <= LONG:
-                            chunk_groups[chunk] = groups
-                    if groups is None:
-                        break
-                    for g in groups:
-                        found[g] += n
-                else:
-                    for g, n in found.items():
-                        uses[g] += n
-                    for p in set().union(*(pairs_of[g] for g in found)):
-                        held_by[p] += 1
-                if len(chunk_groups) > MOST_HELD or len(numbers) + len(pair_numbers) > 2 * MOST_HELD:
+                found = Counter(groups.split(";"))
+                uses.update(found)
+                held = set()
+                for g in found:
+                    own = pairs_of.get(g)
+                    if own is None:
+                        own = pairs_of[g] = tuple(numbers.setdefault(f"{a}|{b}", len(numbers)) for a, b in links_of(g))
+                        held_by.extend([0] * (len(numbers) - len(held_by)))
+                    held.update(own)
+                for p in held:
+                    held_by[p] += 1
+                if len(uses) + len(numbers) > 2 * MOST_HELD:
                     yield from told()
         yield from told()
 
-    return docs.select("text").mapInArrow(run, "key string, docs long, uses long").groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
+    return made.select("groups").mapInArrow(run, "key string, docs long, uses long").groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
 
 
 def _expanded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +218,8 @@ def pair_counts(keys: DataFrame) -> DataFrame:
 def align(docs: DataFrame, bpe_json: str | None = None, model: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (`a1,a2|b1;a3|b2,b3`, null without tokens) of every row of docs."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = stage(_counted(given, bpe_json, model), "groups-and-pairs")
+    made = stage(_tokenized(given, bpe_json, model), "aligned")
+    keys = stage(_counted(made), "groups-and-pairs")
     links = keys.filter("uses > 0").select("key").mapInArrow(_expanded, "key string, a int, b int, links long")
     pairs = stage(pair_counts(keys), "pairs")
     worth = links.join(small(pairs), ["a", "b"]).groupBy("key").agg(F.sum(F.col("links") * F.col("best").cast("long")).alias("n_best"), F.sum(F.col("links") * F.col("docs")).alias("count_sum"))
@@ -216,51 +230,35 @@ def align(docs: DataFrame, bpe_json: str | None = None, model: str | None = None
     fields = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups", pa.string()), ("rest", pa.map_(pa.string(), pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, known = _aligner(bpe_json, model), table.value
-        held: dict[str, tuple | None] = {}
-
-        def of(chunk: str) -> tuple | None:
-            """(groups, n_a, n_b, n_groups, n_links, n_best, count_sum, groups to be joined) of a chunk."""
-            groups = aligner.groups(chunk)
-            found = None
-            if groups is not None:
-                sums, rest = np.zeros(6, np.int64), []
-                for g in groups:
-                    left, _, right = g.partition("|")
-                    n, m = left.count(",") + 1, right.count(",") + 1
-                    worth = known.get(g)
-                    if worth is None:
-                        rest.append(g)
-                        worth = (0, 0)
-                    sums += (n, m, 1, n * m, *worth)
-                found = (";".join(groups), sums.tolist(), rest)
-            if len(chunk) <= LONG:
-                if len(held) > MOST_HELD:
-                    held.clear()
-                held[chunk] = found
+        known, held = table.value, {}
+
+        def of(g: str) -> tuple[list[int], bool]:
+            """n_a, n_b, n_groups, n_links, n_best, count_sum of a group, and whether the latter two are known."""
+            left, _, right = g.partition("|")
+            n, m, worth = left.count(",") + 1, right.count(",") + 1, known.get(g)
+            if len(held) > MOST_HELD:
+                held.clear()
+            held[g] = found = ([n, m, 1, n * m, *((0, 0) if worth is None else worth.tolist())], worth is not None)
             return found
 
         for batch in batches(it, 128):
             out: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts, sums, rest = [], [0] * 6, Counter()
-                for chunk in aligner.chunks(text) if text else ():
-                    found = held[chunk] if chunk in held else of(chunk)
-                    if found is None:
-                        parts, sums, rest = [], [0] * 6, Counter()
-                        break
-                    parts.append(found[0])
-                    sums = [x + y for x, y in zip(sums, found[1], strict=True)]
-                    if found[2]:
-                        rest.update(found[2])
-                for to, value in zip(out, [doc, *sums, ";".join(parts) if parts else None, list(rest.items()) or None], strict=True):
+            for doc, groups in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums, rest = [0] * 6, []
+                for g, times in (Counter(groups.split(";")) if groups is not None else {}).items():
+                    own, whole = held.get(g) or of(g)
+                    for k, x in enumerate(own):
+                        sums[k] += x * times
+                    if not whole:
+                        rest.append((g, times))
+                for to, value in zip(out, [doc, *sums, groups, rest or None], strict=True):
                     to.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, fields, strict=True)], schema=fields)
 
-    made = given.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, rest map<string,long>")
+    made = made.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, rest map<string,long>")
     if tail is None:
         return made.drop("rest")
-    made = stage(made.withColumn("row", F.monotonically_increasing_id()), "aligned")  # once written, a row keeps its number
+    made = stage(made.withColumn("row", F.monotonically_increasing_id()), "numbered")  # once written, a row keeps its number
     asked = made.filter("rest is not null").select("row", F.explode("rest").alias("key", "n"))
     more = asked.join(tail.select("key", "worth"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("worth")[0]).alias("best_more"), F.sum(F.col("n") * F.col("worth")[1]).alias("sum_more"))
     summed = made.join(more, "row", "left")

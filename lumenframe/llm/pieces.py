@@ -1,8 +1,8 @@
 """Encoding and decoding by a sentencepiece model through a table of distinct chunks.
 
 No piece of the model crosses a white-space marker, so a text's ids are those of its marked words, one after another. The same holds
-between letters and ASCII characters that are no letters, if no piece holds both; chunks are then shorter and fewer (Cuts looks at the
-model for both, and refuses one whose pieces cross markers). Each distinct chunk of the corpus is segmented and decoded once, and the
+between letters and signs, if no piece holds both; chunks are then shorter and fewer distinct ones (cuts() looks at the model for both,
+and refuses one whose pieces cross markers). Each distinct chunk of the corpus is segmented and decoded once, and the
 ids are joined back by position.
 
 Size: a task sums up its own chunks before the shuffle, so a common word costs one row a task. The table is held by every worker up to
@@ -17,6 +17,7 @@ others, whatever their names, pass through. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,6 @@ from lumenframe.llm.common import batches, stage
 from lumenframe.llm.lookup import Packed, packed, split
 
 MARK = "▁"
-_OTHER = "".join(re.escape(chr(c)) for c in range(128) if not chr(c).isalpha() and c != 0x20)
 #: A worker's own dictionaries are given out or forgotten at this many entries.
 MOST_HELD = 400_000
 LONG = 256  # characters; longer chunks aren't remembered by a worker
@@ -53,9 +53,12 @@ def cuts(model: str | None) -> re.Pattern:
     bare = [p.lstrip(MARK) for p in inner]
     if any(MARK in p for p in bare) or sp.encode("a  b \t") != [*sp.encode("a"), *_marked(sp, "  b"), *_marked(sp, " \t")]:
         raise ValueError("pieces of this model cross white-space markers, or it changes white space")
-    if any(p and re.search(f"[{_OTHER}]", p) and re.search(f"[^{_OTHER}]", p) for p in bare):
+    joined = {*map(chr, range(128)), *"".join(p for p in bare if len(p) > 1)} - {" ", MARK}  # what joins nothing may go to either side
+    signs = {c for c in joined if not c.isalpha() and unicodedata.category(c)[0] != "M"}
+    if any(p and 0 < len(signs & set(p)) < len(set(p)) for p in bare):
         return re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
-    return re.compile(f"[ {MARK}]*[^ {MARK}{_OTHER}]+|[ {MARK}]*[{_OTHER}]+|[ {MARK}]+")
+    other = "".join(re.escape(c) for c in sorted(signs))
+    return re.compile(f"[ {MARK}]*[^ {MARK}{other}]+|[ {MARK}]*[{other}]+|[ {MARK}]+")
 
 
 def _marked(sp, chunk: str) -> list[int]:

@@ -68,20 +68,25 @@ def test_large_plans_come_close_to_the_bound():
 
 def test_both_encoders_agree_where_the_faster_is_used():
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    bare = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    bare.encode_special_tokens = True
     plain = [chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x180)]]
     rng = random.Random(6)
     texts = ["".join(rng.choice(plain if k % 2 else plain[:99] + [" ", "\n", "'s"] * 20) for _ in range(200)) for k in range(300)]
     texts += ["\n".join(plain), " ".join(plain), "".join(plain), "a  b \n\n c ", "<|endoftext|> it's", ""]
     assert all(not packing._PLAIN.search(t) for t in texts)
+    texts += ["a<|endoftext|>b", "<|endoftext|><|endoftext|> x", "<|endoftext|", "é<|endoftext|>中"]
     assert all(packing.encode(t) == slow.encode(t, add_special_tokens=False).ids for t in texts)
+    assert all(packing.encode(t, special=False) == bare.encode(t, add_special_tokens=False).ids for t in texts)
+    assert packing.encode("a<|endoftext|>b") == [64, 50256, 65]
     other = "中文 \u00a0\u2009 x \u0663"
     assert packing.encode(other) == slow.encode(other, add_special_tokens=False).ids
 
 
-def test_pieces_and_places(odd, odd_rows):
+def test_pieces_and_places(spark, odd, odd_rows):
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    odd_rows = [*odd_rows, (900, "one<|endoftext|>two <|endoftext|>", "en", "s", 1, 1, "x")]
+    odd = odd.unionByName(spark.createDataFrame(odd_rows[-1:], odd.schema))
     got = packing.pack(odd, keep_ids=True).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
