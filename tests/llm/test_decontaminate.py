@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -41,10 +42,28 @@ def test_against_brute_force(spark, odd, odd_rows, none):
     assert d.decontaminate(odd, table.limit(0)).filter("contaminated").count() == 0
 
 
-@pytest.mark.parametrize("vocab", [["a", "b", "c", "dd", "e1"], ["É", "é", "ß", "İ", "i", "\u212a", "k", "ΟΔΟΣ", "οδος", "A", "a"]])
-def test_random_spans_are_never_missed(spark, vocab):
+@pytest.mark.parametrize("vocab", [["a", "b", "c", "dd", "e1"], ["É", "é", "ß", "İ", "i", "I", "\u212a", "k", "ΟΔΟΣ", "οδος", "οδοσ", "ΣΑΣ", "A", "a"]])
+@pytest.mark.parametrize("between", [" ", ".", "'", ":", "\u00ad ", ", "])
+def test_random_spans_are_never_missed(spark, vocab, between):
+    """What stands between words may differ in the item; a capital sigma's small form depends on it."""
     rng = random.Random(10)
-    docs = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60)))) for k in range(40)]
-    items = [(k, " ".join(docs[rng.randrange(40)][1].split()[rng.randint(0, 20) :][: rng.randint(1, 25)])) for k in range(25)]
+    docs = [(k, "".join(rng.choice(vocab) + rng.choice([" ", between]) for _ in range(rng.randint(0, 60)))) for k in range(40)]
+    items = [(k, " ".join(words(docs[rng.randrange(40)][1])[rng.randint(0, 20) :][: rng.randint(1, 25)])) for k in range(25)]
     got = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=repr) == brute(docs, items)
+
+
+def test_a_sigma_before_a_stop(spark):
+    text = ["ΟΔΟΣ", "ΑΒΓ", "ΛΟΓΟΣ", "ΣΑΣ", *"abcdef"]
+    docs = spark.createDataFrame([(1, ".".join(text)), (2, " ".join(text)), (3, "'".join(text)), (4, ". ".join(text[:9]))], "doc_id long, text string")
+    found = {r.doc_id: r.n_hit for r in d.decontaminate(docs, spark.createDataFrame([(1, " ".join(text))], "item_id long, text string")).collect()}
+    assert found == {1: 10, 2: 10, 3: 10, 4: 0}
+
+
+def test_work_is_linear_in_texts_that_repeat_themselves(spark):
+    docs = [(1, "ab " * 20_000), (2, "ab cd " * 10_000), (3, "x " + "ab " * 15 + "y"), (4, "ab " * 9)]
+    items = [(1, "ab " * 400), (2, "ab cd " * 200), (3, "cd " * 9)]
+    began = time.time()
+    got = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert time.time() - began < 60
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == [(1, 20_000, 20_000, ["1"]), (2, 20_000, 20_000, ["2"]), (3, 17, 15, ["1"]), (4, 9, 0, [])]
