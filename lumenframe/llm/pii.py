@@ -34,7 +34,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _USERINFO = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
-_IBAN = re.compile(r"[\s:#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[\s:#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _NUMBER = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|#))?\s?[:=#]?\s?([0-9]{6,17})(?![0-9A-Za-z])", re.IGNORECASE)
 _VALUE = re.compile(r"\s?[:=]\s?[\"']?([^\s\"']{8,})")
 _KEY_ID = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
@@ -64,9 +72,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban(found: str) -> bool:
+def _iban(found: str, after: str) -> str | None:
+    """The account number at the start of what was found, as long as its country's are (of an unknown country, all of it), if its check
+    digits hold and no letter or digit follows."""
+    size, n = IBAN_LENGTHS.get(found[:2]), 0
+    for end, c in enumerate(found, 1):
+        n += c != " "
+        if n == size:
+            found, after = found[:end], found[end:] or after
+            break
     packed = found.replace(" ", "")
-    return 15 <= len(packed) <= 34 and int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+    whole = len(packed) == size if size else 15 <= len(packed) <= 34
+    good = whole and not after[:1].isalnum() and int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+    return found if good else None
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -74,7 +92,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     out: list[tuple[str, int, int]] = []
-    email = ip = card = phone = 0  # where the next match of each kind may start
+    email = ip = card = phone = secret = 0  # where the next match of each kind may start
     for last, (size, kind) in _anchors().iter(text):
         at, after = last - size + 1, last + 1
         if kind == "digit":
@@ -111,13 +129,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         elif at and text[at - 1].isalnum():
             continue  # a cue within a word
         elif kind == "iban":
-            if (m := _IBAN.match(text, after)) and _iban(m[1]):
-                out.append(("account", *m.span(1)))
+            if (m := _IBAN.match(text, after)) and (number := _iban(m[1], text[m.end() : m.end() + 1])):
+                out.append(("account", m.start(1), m.start(1) + len(number)))
         elif kind == "account":
             if m := _NUMBER.match(text, after):
                 out.append(("account", *m.span(1)))
         elif kind == "secret":
-            if m := _VALUE.match(text, after):
+            if at >= secret and (m := _VALUE.match(text, after)):  # a cue within a value is part of it
+                secret = m.end(1)
                 out.append(("secret", *m.span(1)))
         elif m := _KEY_ID.match(text, after):
             out.append(("secret", at, m.end()))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,23 @@ def test_added_kinds_and_clean_text():
     assert pii.find("IBAN DE89 3704 0044 0532 0130 01 discount 123456789 https://example.com/a token of thanks") == []
 
 
+def test_account_numbers_end_where_their_country_says():
+    for tail in [" EUR", " 1234 5678", ".", "", "\n", " A"]:
+        text = f"IBAN: DE89 3704 0044 0532 0130 00{tail}"
+        assert ("account", 6, 33) in pii.find(text), tail
+    assert not [s for s in pii.find("IBAN: DE89 3704 0044 0532 0130 00X") if s[0] == "account"]
+    assert [s[0] for s in pii.find("IBAN GB82WEST12345698765432")] == ["account"]
+    assert not pii.find("IBAN DE89 3704 0044 0532")
+
+
+def test_runs_of_cues_take_linear_time():
+    for cue in ["token=", "password: ", "a@", "://x:", "+1", "1.2.", "IBAN: DE89 3704 ", "account 12345", "AKIA"]:
+        began = time.process_time()
+        found = pii.find(cue * 20_000)
+        assert time.process_time() - began < 2, cue
+        assert cue != "token=" or found == [("secret", 6, 120_000)]
+
+
 def test_frames(odd, odd_rows, none):
     got = pii.with_spans(odd)
     want = {r[0]: base(r[1]) for r in odd_rows}
