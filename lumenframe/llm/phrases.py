@@ -2,9 +2,11 @@
 
 1. Texts are cut into pieces at punctuation; identical pieces of a language become one with a multiplicity (each task sums up its own
    before the shuffle), so copied lines and passages are taken apart once.
-2. Each task counts the weighted runs of 1 to `longest` words of its pieces, and each hash bucket of runs adds up what the tasks found,
-   in duckdb, which goes to its disk scratch beyond `memory`. The scratch belongs to one task and goes with it; another attempt starts
-   anew. Only runs of `least` occurrences leave a bucket: the parts of such a run occur as often at least.
+2. Runs are counted by length, 1 to `longest`. A run that occurs `least` times has only parts that do, so a longer run is counted only
+   where the two runs in it, one word shorter, passed; which passed is told by a bitmap of fixed size (`filter_bits`) that every worker
+   holds. It lets some through that didn't pass, never the other way, and their counts are exact all the same. Each task sums up the
+   weighted runs of its pieces, each hash bucket of runs adds up what the tasks found, both in duckdb, which goes to disk scratch beyond
+   `memory`. The scratch belongs to one task and goes with it; another attempt starts anew.
 3. A candidate asks for the counts of its parts: one request for each part, joined by part (Spark splits a part that many ask for), and
    the least score of its cuts is a grouped minimum. Scores are integers of any size, exact.
 4. A candidate goes if a longer one that holds its words has `share` percent of its count: longer ones send their count to the runs
@@ -22,13 +24,17 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import batches, small, stage
+from lumenframe.llm.common import batches, mixed, small, stage
 
 _CUT = re.compile(rb"[.,;:!?\n-\r]")
 #: A task gives out its sums at so many bytes of distinct pieces.
@@ -77,28 +83,118 @@ def _in_duckdb(given: Iterator[pa.RecordBatch], schema: pa.Schema, query: str, m
     """The rows of a query over the stream `given`, out of core."""
     with tempfile.TemporaryDirectory(prefix="runs-") as scratch, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": scratch, "preserve_insertion_order": False}) as con:
         con.register("given", pa.RecordBatchReader.from_batches(schema, given))
-        for batch in con.execute(query).to_arrow_reader(50_000):
-            yield batch.cast(_RUNS)
+        yield from con.execute(query).to_arrow_reader(50_000)
+
+
+def _word_hash(lang: str, word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), xxhash.xxh64_intdigest(lang.encode()))
+
+
+def _longer_hash(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a run with one more word."""
+    return mixed(run * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+class _Words:
+    """The words of a task's pieces as numbers, by language."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[str, str], int] = {}
+        self.hashes = np.empty(0, np.uint64)
+
+    def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words of a batch of lang, piece, n: their numbers, their pieces' rows, their pieces' counts."""
+        lists = pc.split_pattern(batch.column(1), " ")
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        words, langs = lists.flatten().dictionary_encode(), batch.column(0).dictionary_encode()
+        pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False)
+        found, at = np.unique(pair, return_inverse=True)
+        lang_names, word_names = langs.dictionary.to_pylist(), words.dictionary.to_pylist()
+        own, new = np.empty(len(found), np.int32), []
+        for k, x in enumerate(found.tolist()):
+            key = (lang_names[x // len(word_names)], word_names[x % len(word_names)])
+            number = self.numbers.get(key)
+            if number is None:
+                number = self.numbers[key] = len(self.numbers)
+                new.append(_word_hash(*key))
+            own[k] = number
+        self.hashes = np.r_[self.hashes, np.array(new, np.uint64)]
+        return own[at], row, batch.column(2).to_numpy(zero_copy_only=False)[row]
+
+
+def _runs_of(words: _Words, batch: pa.RecordBatch, size: int, passed: np.ndarray | None) -> pa.RecordBatch:
+    """w0, w1, ..., n: each place of a batch at which a run of `size` words may occur often enough."""
+    number, row, n = words.of(batch)
+    starts = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :])
+    if passed is not None:
+        run = words.hashes[number]
+        for k in range(1, size - 1):
+            run = _longer_hash(run[:-1], words.hashes[number[k:]])
+        slot = run & np.uint64(64 * len(passed) - 1)
+        fits = (passed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+        starts = starts[fits[starts] & fits[starts + 1]]
+    return pa.RecordBatch.from_arrays([*(pa.array(number[starts + k]) for k in range(size)), pa.array(n[starts])], names=[*(f"w{k}" for k in range(size)), "n"])
+
+
+def _counted(pieces: DataFrame, size: int, passed, least: int, memory: str) -> DataFrame:
+    """lang, run, words, n of the runs of `size` words that occur `least` times; with those of one word a row of 0 words for all words of
+    a language."""
+    columns = [f"w{k}" for k in range(size)]
+    schema = pa.schema([*((c, pa.int32()) for c in columns), ("n", pa.int64())])
+
+    def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = _Words(), None if passed is None else passed.value
+        placed = (_runs_of(words, part, size, bits) for part in batches(it, 20_000))
+        langs = names = None
+        totals: Counter = Counter()
+        for found in _in_duckdb(placed, schema, f"SELECT {', '.join(columns)}, sum(n)::BIGINT AS n FROM given GROUP BY ALL", memory):
+            if names is None:  # all batches have been read
+                langs, names = (pa.array([key[k] for key in words.numbers], pa.string()) for k in (0, 1))
+            parts = [names.take(found.column(k)) for k in range(size)]
+            lang = langs.take(found.column(0))
+            run = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+            yield pa.record_batch([lang, run, pa.array([size] * len(run), pa.int32()), found.column(size)], schema=_RUNS)
+            if size == 1:
+                by_lang = pa.table([lang, found.column(size)], names=["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
+                totals.update(dict(zip(by_lang["lang"].to_pylist(), by_lang["n_sum"].to_pylist(), strict=True)))
+        yield pa.record_batch([pa.array(totals.keys(), pa.string()), pa.array([""] * len(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array(totals.values(), pa.int64())], schema=_RUNS)
 
-
-def run_counts(pieces: DataFrame, longest: int, least: int, memory: str) -> DataFrame:
-    """lang, run, words, n of the runs of up to `longest` words that occur `least` times, and a row of 0 words for all words of a language."""
-    words = [f"w{k}" for k in range(longest)]
-    sliced = ", ".join(f"unnest({'w' if k == 0 else f'w[{k + 1}:]'}) AS w{k}" for k in range(longest))
-    levels = " UNION ALL ".join(f"SELECT lang, {'||chr(32)||'.join(words[:k])} AS run, {k}::INTEGER AS words, sum(n)::BIGINT AS n FROM runs WHERE {words[k - 1]} IS NOT NULL GROUP BY lang, {', '.join(words[:k])}" for k in range(1, longest + 1))
-    own = f"""
-        WITH placed AS (SELECT lang, n, {sliced} FROM (SELECT lang, n, string_split(piece, ' ') AS w FROM given)),
-        runs AS MATERIALIZED (SELECT lang, {', '.join(words)}, sum(n) AS n FROM placed GROUP BY ALL),
-        levels AS MATERIALIZED ({levels})
-        FROM levels UNION ALL SELECT lang, '' AS run, 0::INTEGER AS words, sum(n)::BIGINT AS n FROM levels WHERE words = 1 GROUP BY lang
-    """
     summed = f"SELECT lang, run, any_value(words)::INTEGER AS words, sum(n)::BIGINT AS n FROM given GROUP BY lang, run HAVING sum(n) >= {int(least)} OR run = ''"
-    given = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("n", pa.int64())])
-    found = pieces.mapInArrow(lambda it: _in_duckdb(it, given, own, memory), _RUN_TYPE)
-    buckets = found.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "run")
+    buckets = pieces.mapInArrow(own, _RUN_TYPE).repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "run")
     return buckets.mapInArrow(lambda it: _in_duckdb(it, _RUNS, summed, memory), _RUN_TYPE)
 
 
+def _bitmap(runs: DataFrame, filter_bits: int) -> np.ndarray:
+    """2**filter_bits bits, of which those that the hashes of runs choose are set."""
+
+    def slots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 20_000):
+            out = []
+            for lang, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.array([[_word_hash(lang, w)] for w in run.split(" ")], np.uint64)
+                found = words[0]
+                for w in words[1:]:
+                    found = _longer_hash(found, w)
+                out.append(int(found[0]) & ((1 << filter_bits) - 1))
+            yield pa.record_batch([pa.array(out, pa.int64())], names=["slot"])
+
+    bit = F.expr("shiftleft(1L, cast(slot % 64 AS INT))")
+    words = runs.select("lang", "run").mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**filter_bits / 64 rows at most
+    found = np.zeros(1 << (filter_bits - 6), np.uint64)
+    found[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return found
+
+
+def run_counts(pieces: DataFrame, longest: int, least: int, memory: str, filter_bits: int = 26) -> DataFrame:
+    """lang, run, words, n of the runs of up to `longest` words that occur `least` times, and a row of 0 words for all words of a language."""
+    counts, passed = [], None
+    for size in range(1, longest + 1):
+        counts.append(stage(_counted(pieces, size, passed, least, memory), f"runs-{size}"))
+        if size < longest:
+            passed = pieces.sparkSession.sparkContext.broadcast(_bitmap(counts[-1].filter(F.col("words") == size), filter_bits))
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         a, left, rest = (b.column(c).to_pylist() for c in ("a", "l", "r"))
@@ -108,7 +204,7 @@ def _scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int | None = 2000, slices: int = 64, memory: str = "256MB") -> DataFrame:
     """lang, rank, phrase, a (its count), l and r (its parts' at the cut of the least score), n (all words of the language), score."""
-    counts = stage(run_counts(distinct_pieces(docs), longest, least, memory), "runs")
+    counts = run_counts(stage(distinct_pieces(docs), "pieces"), longest, least, memory)
     candidates = counts.filter(f"words >= 2 and n >= {int(least)}").select("lang", F.col("run").alias("phrase"), F.col("n").alias("a"), F.split("run", " ").alias("w"))
     cut = candidates.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     part = lambda start, size: F.concat_ws(" ", F.slice("w", start, size))
