@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from lumenframe.llm.common import batches, small, stage
 from lumenframe.llm.lookup import packed, split
 from lumenframe.llm.packing import encode
 
-LONG, MOST_HELD = 64, 200_000  # characters of a chunk that is remembered; entries of a worker's dictionaries
+LONG, MOST_HELD = 64, 100_000  # characters of a chunk that is remembered; entries of a worker's dictionaries
 
 _L, _D, _O = "A-Za-zÀ-ÖØ-öø-ſ", "0-9", r"!-&(-/:-@\[-`{-~"
 #: Blanks with letters, digits or signs, where what follows parts them for both tokenizers; a line feed before such; else all up to the next
@@ -145,14 +146,21 @@ def links_of(group: str) -> dict[tuple[int, int], int]:
 
 
 def _tokenized(docs: DataFrame, bpe_json: str | None, model: str | None) -> DataFrame:
-    """doc_id, groups of every row."""
+    """doc_id, groups (their names, compressed: they would fill several times the text's memory in what Spark sends a worker at once)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(bpe_json, model)
-        for batch in batches(it, 128):
-            yield pa.record_batch([batch.column(0), pa.array([aligner.of_text(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "groups"])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches(it, 64):
+            found = (aligner.of_text(t) for t in batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array([None if g is None else pack(g.encode()) for g in found], pa.binary())], names=["doc_id", "groups"])
+
+    return docs.mapInArrow(run, "doc_id long, groups binary")
 
-    return docs.mapInArrow(run, "doc_id long, groups string")
+
+def _named(column: pa.Array) -> Iterator[str | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (None if g is None else unpack(g).decode() for g in column.to_pylist())
 
 
 def _counted(made: DataFrame) -> DataFrame:
@@ -174,7 +182,7 @@ def _counted(made: DataFrame) -> DataFrame:
                 x.clear()
 
         for batch in batches(it, 128):
-            for groups in batch.column(0).to_pylist():
+            for groups in _named(batch.column(0)):
                 if groups is None:
                     continue
                 found = Counter(groups.split(";"))
@@ -241,9 +249,9 @@ def align(docs: DataFrame, bpe_json: str | None = None, model: str | None = None
             held[g] = found = ([n, m, 1, n * m, *((0, 0) if worth is None else worth.tolist())], worth is not None)
             return found
 
-        for batch in batches(it, 128):
+        for batch in batches(it, 64):
             out: list[list] = [[] for _ in fields]
-            for doc, groups in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, groups in zip(batch.column(0).to_pylist(), _named(batch.column(1)), strict=True):
                 sums, rest = [0] * 6, []
                 for g, times in (Counter(groups.split(";")) if groups is not None else {}).items():
                     own, whole = held.get(g) or of(g)
