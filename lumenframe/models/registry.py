@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import mathfn, vectors
+from lumenframe.models.descent import Checkpoints, Optimiser, descend, hidden_loss, logistic_loss, matrix, softmax_loss
 from lumenframe.operators.batching import draw
 from lumenframe.operators.metrics import auc
 from lumenframe.operators.sampling import ensemble_spec
@@ -51,6 +52,8 @@ class Model:
             out = df.withColumn(name, draw(self.extra["key"], self.extra["seed"]))
         elif self.kind == "gradient":
             out = df.withColumn(name, mathfn.sigmoid(vectors.dot(F.col("features"), F.lit(self.extra["weights"])) + self.extra["bias"]))
+        elif self.kind == "layers":
+            out = self._layers(df, name)
         elif self.kind == "gbdt_ranking":
             out = Boosted.of(self.extra["boosted"]).score(_spread(df, self.width), name).drop(*_spots(self.width))
         else:
@@ -65,6 +68,16 @@ class Model:
             out = out.drop("__v", "rawPrediction", "probability", "prediction")
         return out if self.calibrator is None else self.calibrator.apply(out, name)
 
+    def _layers(self, df: DataFrame, name: str) -> DataFrame:
+        """Each layer is a projection of its own, so that no expression holds another's many times over."""
+        x = F.zip_with(F.zip_with(F.col("features").cast("array<double>"), F.lit(self.extra["mean"]), lambda x, m: x - m), F.lit(self.extra["spread"]), lambda x, d: x / d)
+        out = df.withColumn("__x", x)
+        for k, (rows, bias) in enumerate(self.extra["layers"]):
+            of = F.array(*(vectors.dot(F.col("__x"), F.lit(row)) + b for row, b in zip(rows, bias, strict=True)))
+            out = out.withColumn("__x", of if k == len(self.extra["layers"]) - 1 else F.transform(of, F.tanh))
+        odds = mathfn.softmax(F.col("__x"))
+        return out.withColumn(name, F.get(odds, 1) if self.extra["classes"] == 2 else odds).drop("__x")
+
     def save(self, path: str) -> None:
         """A folder with the stage and what else is needed; an older one at this path is overwritten by its parts alone."""
         spark = self.stage._java_obj and _session() if self.stage is not None else _session()
@@ -135,34 +148,11 @@ def logistic(df: DataFrame, reg: float = 0.0, bias: bool = True, rounds: int = 1
     return _fit(LogisticRegression(featuresCol="__v", regParam=reg, fitIntercept=bias, maxIter=rounds), "logistic", df)
 
 
-@dataclass
-class Optimiser:
-    """One step of plain descent, Adagrad or Adam for a vector of weights."""
-
-    kind: str
-    rate: float
-    steps: int = 0
-    first: Any = 0.0
-    second: Any = 0.0
-
-    def step(self, weights: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        self.steps += 1
-        if self.kind == "descent":
-            return weights - self.rate * gradient
-        if self.kind == "adagrad":
-            self.second = (self.second if self.steps > 1 else 0.1) + gradient**2
-            return weights - self.rate * gradient / np.sqrt(self.second)
-        self.first, self.second = 0.9 * self.first + 0.1 * gradient, 0.999 * self.second + 0.001 * gradient**2
-        mean, spread = self.first / (1 - 0.9**self.steps), self.second / (1 - 0.999**self.steps)
-        return weights - self.rate * mean / (np.sqrt(spread) + 1e-8)
-
-
-def gradient_logistic(df: DataFrame, optimiser: str = "adagrad", rate: float = 0.1, rounds: int = 50, bias: bool = True, standardise: bool = True) -> Model:
+def gradient_logistic(df: DataFrame, optimiser: str = "adagrad", rate: float = 0.1, rounds: int = 50, bias: bool = True, standardise: bool = True, checkpoint: Checkpoints | None = None) -> Model:
     """Logistic regression by an optimiser of choice (descent, adagrad, adam), each step on the gradient over all rows: partitions add up
     their own, and one vector of the model's size comes back. Rows without a label or features take no part. standardise: steps are
-    taken on features of unit deviation (and, with a bias, of mean 0); the weights returned are those of the features as they are."""
-    if optimiser not in ("descent", "adagrad", "adam"):
-        raise ValueError(f"unknown optimiser {optimiser}")
+    taken on features of unit deviation (and, with a bias, of mean 0); the weights returned are those of the features as they are.
+    checkpoint: where each step's weights and sums are kept; a folder with steps is continued."""
     rows = staged(df.select(F.col("label").cast("double").alias("label"), F.col("features").cast("array<double>").alias("features")).dropna())
     width, n = len(rows.select("features").first()["features"]), rows.count()
     weights, steps = np.zeros(width + 1), Optimiser(optimiser, rate)
@@ -171,13 +161,17 @@ def gradient_logistic(df: DataFrame, optimiser: str = "adagrad", rate: float = 0
         found = vectorised(rows).agg(Summarizer.metrics("mean", "std").summary(F.col("__v")).alias("s")).first()["s"]
         spread = np.where(found["std"].toArray() > 0, found["std"].toArray(), 1.0)
         mean = found["mean"].toArray() if bias else mean
-    for _ in range(rounds):
+    first = 0
+    if checkpoint is not None and (kept := checkpoint.latest()) is not None:
+        first, arrays, _ = kept
+        weights, steps = arrays["weights"], steps.with_sums(arrays["sums"])
+    for k in range(first, rounds):
         now = rows.sparkSession.sparkContext.broadcast(weights)
 
         def part(it, now=now):
             total, w = np.zeros(width + 1), now.value
             for b in it:
-                x = (b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - mean) / spread
+                x = (matrix(b.column("features"), width) - mean) / spread
                 over = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - b.column("label").to_numpy(zero_copy_only=False)
                 total += np.r_[over @ x, over.sum()]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], names=["at", "slope"])
@@ -186,10 +180,42 @@ def gradient_logistic(df: DataFrame, optimiser: str = "adagrad", rate: float = 0
         slope = sums["slope"].to_numpy() / n
         weights = steps.step(weights, slope if bias else np.r_[slope[:-1], 0.0])
         now.unpersist()
+        if checkpoint is not None:
+            checkpoint.save(k + 1, {"weights": weights, "sums": steps.sums(width + 1)})
     own = weights[:-1] / spread
     return Model("gradient", None, width, {"weights": own.tolist(), "bias": float(weights[-1] - own @ mean)})
 
 
+def _standardised(df: DataFrame, key: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """key, features of mean 0 and deviation 1, label; and the means and deviations."""
+    rows = df.select(key, F.col("features").cast("array<double>").alias("features"), F.col("label").cast("double").alias("label")).dropna()
+    found = vectorised(rows).agg(Summarizer.metrics("mean", "std").summary(F.col("__v")).alias("s")).first()["s"]
+    mean, spread = found["mean"].toArray(), found["std"].toArray()
+    spread = np.where(spread > 0, spread, 1.0)
+    ratio = F.zip_with(F.zip_with("features", F.lit(mean.tolist()), lambda x, m: x - m), F.lit(spread.tolist()), lambda x, d: x / d)
+    return rows.withColumn("features", ratio), mean, spread
+
+
+def logistic_sgd(df: DataFrame, key: str = "row", seed: int = 0, **steps) -> Model:
+    """Logistic regression by mini-batches in partitions (descent.descend, which takes `steps`), on standardised features."""
+    rows, mean, spread = _standardised(df, key)
+    w = descend(rows, logistic_loss, {"w": np.zeros(len(mean)), "b": np.zeros(1)}, key=key, seed=seed, **steps).weights
+    own = w["w"] / spread
+    return Model("gradient", None, len(mean), {"weights": own.tolist(), "bias": float(w["b"][0] - own @ mean)})
+
+
+def softmax_sgd(df: DataFrame, key: str = "row", hidden: int = 0, seed: int = 0, **steps) -> Model:
+    """Softmax regression over labels 0, 1, ..., or one hidden layer of tanh units below it, by mini-batches in partitions."""
+    rows, mean, spread = _standardised(df, key)
+    classes, rng = max(2, int(rows.agg(F.max("label")).first()[0]) + 1), np.random.default_rng(seed)
+    top = {"w": np.zeros((hidden or len(mean), classes)), "b": np.zeros(classes)}
+    below = math.sqrt(6 / (len(mean) + hidden))
+    first = {"w0": rng.uniform(-below, below, (len(mean), hidden)), "b0": np.zeros(hidden)} if hidden else {}
+    w = descend(rows, hidden_loss if hidden else softmax_loss, first | top, key=key, seed=seed, **steps).weights
+    layers = [(w["w0"], w["b0"])] if hidden else []
+    return Model("layers", None, len(mean), {"mean": mean.tolist(), "spread": spread.tolist(), "classes": classes, "layers": [[a.T.tolist(), b.tolist()] for a, b in [*layers, (w["w"], w["b"])]]})
+
+
 def softmax(df: DataFrame, reg: float = 0.0, rounds: int = 100) -> Model:
     classes = int(df.agg(F.max("label")).first()[0]) + 1
     return _fit(LogisticRegression(featuresCol="__v", family="multinomial", regParam=reg, maxIter=rounds), "softmax", df, classes=classes if classes > 2 else 2)
@@ -260,7 +286,9 @@ def random_scores(df: DataFrame, key: str = "row", seed: int = 0) -> Model:
 TRAINERS: dict[str, Callable[..., Model]] = {
     "logistic": logistic,
     "gradient": gradient_logistic,
+    "logistic_sgd": logistic_sgd,
     "softmax": softmax,
+    "softmax_sgd": softmax_sgd,
     "linear_svm": linear_svm,
     "sofia": linear_svm,
     "liblinear": logistic,

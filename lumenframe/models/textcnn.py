@@ -1,9 +1,10 @@
-"""Scoring of a text convolution network: embedded words, filters of several widths, the best place of each, and a linear layer.
+"""A text convolution network: embedded words, filters of several widths, the best place of each, and a linear layer.
 
-Training is left to others; weights come from outside and are kept as a folder of Parquet.
+Weights come from fit(), or from outside, and are kept as a folder of Parquet. fit() trains words and filters together by mini-batches in
+partitions (descent): the loss reaches a filter, and the words under it, through the place at which it was greatest, and no other.
 
 Defined results: null ids give a null score. Words without a vector, and what is missing to the widest filter, count as zeros. Texts of any
-length are read whole.
+length are read whole. Rows with null ids or label take no part in training; an id beyond the vocabulary counts as a word without a vector.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.models.descent import Checkpoints, Descended, Weights, descend, softplus
+
 #: The most bytes of word vectors that are broadcast; larger tables are joined.
 BROADCAST_BYTES = 64 << 20
 _BLOCK = 4096  # places of a text that are handled at once
@@ -107,6 +111,72 @@ class TextCnn:
         return TextCnn([(np.reshape(r["weights"], r["shape"]), np.array(r["bias"])) for r in rest], np.array(out["weights"]), float(out["bias"][0]))
 
 
+def _places(words: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each filter the greatest filter . words + bias, and the first place where it stands."""
+    width, places = len(filters), len(words) - len(filters) + 1
+    best, where = np.full(filters.shape[2], -np.inf), np.zeros(filters.shape[2], np.int64)
+    for low in range(0, places, _BLOCK):
+        high = min(places, low + _BLOCK)
+        found = sum(words[low + o : high + o] @ filters[o] for o in range(width)) + bias
+        top = found.argmax(axis=0)
+        value = found[top, np.arange(len(top))]
+        better = value > best
+        best[better], where[better] = value[better], top[better] + low
+    return best, where
+
+
+def loss_of(widths: tuple[int, ...], keep: float = 1.0):
+    """The logistic loss and its slopes for rows of ids and label (0 or 1). weights: words (a vector for each id), f<width> and b<width>
+    (filters and biases of each width), out and bias. keep: the chance that a filter's output is kept in training (dropout)."""
+
+    def loss(weights: Weights, rows: pa.Table, rng: np.random.Generator) -> tuple[float, Weights]:
+        vectors, total = weights["words"], 0.0
+        slopes = {k: np.zeros_like(w) for k, w in weights.items()}
+        counts = [weights[f"b{w}"].size for w in widths]
+        for ids, label in zip(rows["ids"].to_pylist(), rows["label"].to_pylist(), strict=True):
+            ids = np.array([-1 if x is None else x for x in ids] + [-1] * max(0, max(widths) - len(ids)), np.int64)
+            known = (ids >= 0) & (ids < len(vectors))
+            words = np.where(known[:, None], vectors[np.where(known, ids, 0)], 0.0)
+            found = [_places(words, weights[f"f{w}"], weights[f"b{w}"]) for w in widths]
+            kept = (rng.random(sum(counts)) < keep) / keep if keep < 1 else np.ones(sum(counts))
+            pooled_all = np.maximum(np.concatenate([best for best, _ in found]), 0) * kept
+            z = float(pooled_all @ weights["out"] + weights["bias"][0])
+            total += float(softplus(np.array(z)) - label * z)
+            over = 1 / (1 + np.exp(-z)) - label
+            slopes["out"] += over * pooled_all
+            slopes["bias"] += over
+            back = np.split(over * weights["out"] * kept, np.cumsum(counts)[:-1])
+            touched = np.zeros_like(words)
+            for width, (best, where), slope in zip(widths, found, back, strict=True):
+                live = np.flatnonzero((best > 0) & (slope != 0))
+                slopes[f"b{width}"][live] += slope[live]
+                for o in range(width):
+                    at = where[live] + o
+                    slopes[f"f{width}"][o][:, live] += (words[at] * slope[live, None]).T
+                    np.add.at(touched, at, slope[live, None] * weights[f"f{width}"][o][:, live].T)
+            np.add.at(slopes["words"], ids[known], touched[known])
+        return total, slopes
+
+    return loss
+
+
+def first_weights(words: int, dim: int, widths: tuple[int, ...], filters: int, seed: int = 0) -> Weights:
+    """Words uniform within +-0.5 / dim, filters and the last layer normal with deviation 0.1, biases 0.1."""
+    rng = np.random.default_rng(seed)
+    found = {"words": rng.uniform(-0.5 / dim, 0.5 / dim, (words, dim))}
+    for w in widths:
+        found |= {f"f{w}": rng.normal(0, 0.1, (w, dim, filters)), f"b{w}": np.full(filters, 0.1)}
+    return found | {"out": rng.normal(0, 0.1, filters * len(widths)), "bias": np.array([0.1])}
+
+
+def fit(df: DataFrame, words: int, dim: int = 16, widths: tuple[int, ...] = (3, 4, 5), filters: int = 16, keep: float = 1.0, key: str = "row", seed: int = 0, checkpoint: Checkpoints | None = None, **steps) -> tuple[TextCnn, DataFrame, Descended]:
+    """The network and its word vectors (id, vector), from rows of ids (0 to words - 1) and label (0 or 1). steps: what descend() takes."""
+    found = descend(df.select(key, "ids", F.col("label").cast("double").alias("label")), loss_of(widths, keep), first_weights(words, dim, widths, filters, seed), key=key, seed=seed, checkpoint=checkpoint, **steps)
+    w = found.weights
+    table = pa.table({"id": pa.array(np.arange(words)), "vector": pa.array(list(w["words"]), pa.list_(pa.float64()))})
+    return TextCnn([(w[f"f{n}"], w[f"b{n}"]) for n in widths], w["out"], float(w["bias"][0])), df.sparkSession.createDataFrame(table), found
+
+
 def conv_max(x: Column, weights: list[float], bias: float = 0.0) -> Column:
     """One filter over an array of numbers, JVM-side: the greatest relu(weights . window + bias); null for arrays that are too short."""
     width, x = len(weights), x.cast("array<double>")

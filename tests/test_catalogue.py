@@ -31,7 +31,7 @@ def test_same_as_sql(spark, sf, duck, name):
     assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize(("name", "least"), [("train_logistic", 0.95), ("train_svm", 0.95), ("train_gbt", 0.95), ("train_gradient", 0.95), ("train_mlp", 0.8), ("train_boosted", 0.95), ("train_ensemble", 0.95), ("model_roundtrip", 0.95)])
+@pytest.mark.parametrize(("name", "least"), [("train_logistic", 0.95), ("train_svm", 0.95), ("train_gbt", 0.95), ("train_gradient", 0.95), ("train_mlp", 0.8), ("train_mlp2", 0.8), ("train_no_bias", 0.8), ("train_minibatch", 0.95), ("train_text_cnn", 0.9), ("train_boosted", 0.95), ("train_ensemble", 0.95), ("model_roundtrip", 0.95)])
 def test_trained_models_beat_a_floor(spark, name, least):
     held = catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
     assert metrics.auc(held, "label", "score").first()[0] > least
@@ -44,6 +44,11 @@ def test_ranking_orders_rows_of_a_group(spark):
     assert found and sum(found) / len(found) > 0.9
 
 
+def test_languages_of_held_out_documents(spark):
+    rows = catalogue.QUERIES["train_softmax_sgd"](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
+    assert rows.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] > 0.8
+
+
 def test_softmax_beats_chance(spark):
     rows = catalogue.QUERIES["train_softmax"](spark, "/root/testdata/sf0.01")
     assert rows.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] > 0.3  # ten classes
