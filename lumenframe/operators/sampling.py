@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,38 @@ def weighted_sample(df: DataFrame, key: str, weight: str, k: int, distortion: fl
     u = draw(key, seed) + F.lit(2.0**-53)
     rank: Column = -F.log(u) / F.pow(F.col(weight).cast("double"), F.lit(distortion))
     return df.filter(F.col(weight) > 0).withColumn("__rank", rank).orderBy("__rank", key).limit(k).drop("__rank")
+
+
+@dataclass
+class AliasTable:
+    """Draws of 0, 1, ... by fixed chances, each in constant time: a place is drawn evenly, and kept or exchanged for its alias."""
+
+    chances: np.ndarray
+    kept: np.ndarray
+    alias: np.ndarray
+
+    @staticmethod
+    def of(weights: np.ndarray, distortion: float = 1.0) -> AliasTable:
+        """Chances are in proportion to weights ** distortion; what has weight 0 is never drawn."""
+        weights = np.asarray(weights, np.float64)
+        powers = np.where(weights > 0, np.power(np.maximum(weights, 1e-300), distortion), 0.0)
+        if not len(powers) or powers.sum() <= 0 or not np.isfinite(powers).all():
+            raise ValueError("some weight must be above 0, and all finite")
+        chances = powers / powers.sum()
+        kept, alias = np.ones(len(chances)), np.arange(len(chances))
+        left = chances * len(chances)
+        low, high = [int(k) for k in np.flatnonzero(left < 1)], [int(k) for k in np.flatnonzero(left >= 1)]
+        while low and high:
+            small, large = low.pop(), high[-1]
+            kept[small], alias[small] = left[small], large
+            left[large] -= 1 - left[small]
+            if left[large] < 1:
+                low.append(high.pop())
+        for small in low:  # what rounding has left; a chance of 0 still goes to the likeliest
+            kept[small], alias[small] = (1.0, small) if chances[small] > 0 else (0.0, int(chances.argmax()))
+        return AliasTable(chances, kept, alias)
+
+    def draw(self, place: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """Numbers drawn by two uniform numbers in [0, 1) each."""
+        at = np.minimum((place * len(self.kept)).astype(np.int64), len(self.kept) - 1)
+        return np.where(keep < self.kept[at], at, self.alias[at])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import mathfn, text, vectors
-from lumenframe.models import registry, textcnn
+from lumenframe.models import cbow, nce, registry, textcnn
 from lumenframe.operators import batching, lookups, metrics, sampling, trees
 from lumenframe.operators.staging import shared_dir
 from lumenframe.sources import formats, sinks
@@ -1039,6 +1039,62 @@ def train_text_cnn(t: Tables) -> DataFrame:
     return model.score(rows, "row", "ids", words).select("row", "label", "score")
 
 
+NCE_WORDS, NCE_DRAWS = 300, 12
+
+
+@query(f"""
+    WITH w AS (SELECT conv_id * 1000 + turn AS row, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS a FROM conversations),
+    c AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(a) AS word FROM w) GROUP BY word),
+    top AS (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) AS id FROM c QUALIFY id < {NCE_WORDS}),
+    vocab AS (SELECT word, id, cnt FROM top UNION ALL SELECT 'UNK', 0, (SELECT coalesce(sum(cnt), 0) FROM c) - (SELECT coalesce(sum(cnt), 0) FROM top)),
+    drawn AS (SELECT CAST(floor({draw_sql("'noise' || k", 3)} * (SELECT count(*) FROM vocab)) AS BIGINT) AS id FROM range({NCE_DRAWS}) t(k)),
+    v AS (
+        SELECT id, list_transform(range(4), lambda j: {draw_sql("'u' || id || ':' || j", 1)} - 0.5) AS u, list_transform(range(4), lambda j: {draw_sql("'v' || id || ':' || j", 1)} - 0.5) AS v,
+               {draw_sql("'b' || id", 1)} - 0.5 AS bias, cnt / (SELECT sum(cnt) FROM vocab) AS chance FROM vocab),
+    k AS (SELECT id, u, v, bias - ln({NCE_DRAWS} * chance) AS lift FROM v),
+    ids AS (SELECT row, pos, coalesce(vocab.id, 0) AS id FROM (SELECT row, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM w) x LEFT JOIN vocab ON vocab.word = x.word AND vocab.id > 0),
+    p AS (SELECT x.id AS center, y.id AS context, count(*) AS n FROM ids x JOIN ids y ON x.row = y.row AND abs(x.pos - y.pos) = 1 GROUP BY ALL),
+    dots AS (SELECT center, n, list_sum(list_transform(range(1, 5), lambda j: a.u[j] * b.v[j])) + b.lift AS s FROM p JOIN k a ON a.id = center JOIN k b ON b.id = context),
+    pos AS (SELECT center, sum(n) AS pairs, sum(n * (greatest(-s, 0) + ln(1 + exp(-abs(s))))) AS loss FROM dots GROUP BY center),
+    neg AS (SELECT a.id AS center, sum(greatest(x, 0) + ln(1 + exp(-abs(x)))) AS against
+            FROM (SELECT a.id, list_sum(list_transform(range(1, 5), lambda j: a.u[j] * b.v[j])) + b.lift AS x FROM k a, drawn JOIN k b USING (id)) a GROUP BY a.id)
+    SELECT center, CAST(pairs AS BIGINT) AS pairs, round(loss / pairs + against, 6) AS loss FROM pos JOIN neg USING (center)
+""")
+def nce_loss(t: Tables) -> DataFrame:
+    """The sampled loss of fixed vectors and fixed draws, by center."""
+    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "text", text.tokens(F.col("text")).alias("words"))
+    vocab = text.vocabulary(rows, "text", NCE_WORDS)
+    n, total = vocab.agg(F.count("*"), F.sum("cnt")).first()
+    fixed = lambda kind: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: batching.draw(F.concat(F.lit(kind), F.col("id").cast("string"), F.lit(":"), j.cast("string")), 1) - 0.5)
+    known = vocab.select("id", fixed("u").alias("center"), fixed("v").alias("context"), (batching.draw(F.concat(F.lit("b"), F.col("id").cast("string")), 1) - 0.5).alias("bias"), (F.col("cnt") / total).alias("chance"))
+    drawn = t.spark.range(NCE_DRAWS).select(F.floor(batching.draw(F.concat(F.lit("noise"), F.col("id").cast("string")), 3) * n).cast("int").alias("id"))
+    ids = text.encode(rows, "row", "words", vocab).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    pairs = text.skipgrams(ids, "row", "ids", 1).groupBy("center", "context").agg(F.count("*").alias("n"))
+    lost = nce.losses(pairs, drawn, known).join(pairs, ["center", "context"])
+    return lost.groupBy(F.col("center").cast("long").alias("center")).agg(F.sum("n").alias("pairs"), r(F.sum(F.col("n") * F.col("loss")) / F.sum("n")).alias("loss"))
+
+
+@query()
+def train_nce(t: Tables) -> DataFrame:
+    """Each frequent word's nearest other by vectors trained on all documents."""
+    rows = t.documents.select(F.col("doc_id").alias("row"), "text", text.tokens(F.col("text")).alias("words"))
+    vocab = text.vocabulary(rows, "text", 500).persist()
+    ids = text.encode(rows, "row", "words", vocab).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: F.when(x["id"] > 0, x["id"])).alias("ids"))
+    found, _ = nce.fit(ids, vocab, size=12, window=2, draws=32, optimiser="adam", rate=0.05, batch=8, epochs=4, parts=4)
+    near = lookups.top_k_cosine(found.filter("id > 0"), "id", "vector", found.filter("id > 0"), 1)
+    named = vocab.select("id", "word")
+    return near.join(named, near["query_id"] == named["id"]).select("neighbor_id", "word", "similarity").join(named.select(F.col("id").alias("neighbor_id"), F.col("word").alias("neighbor")), "neighbor_id").select("word", "neighbor", "similarity")
+
+
+@query()
+def train_cbow(t: Tables) -> DataFrame:
+    rows, vocab = quality_ids(t, 5000)
+    rows = rows.persist()
+    train = rows.filter(batching.draw("row", 1) < 0.7)
+    model = cbow.fit(train, vocab.select("id"), dim=8, rate=0.1, epochs=4, batches=2)
+    return model.score(rows).select("row", "label", "score")
+
+
 @query()
 def train_gradient(t: Tables) -> DataFrame:
     rows = quality_rows(t)

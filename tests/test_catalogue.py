@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lumenframe.functions import text
 from lumenframe.operators import batching, metrics
 from lumenframe.plans import catalogue
 
@@ -31,7 +32,7 @@ def test_same_as_sql(spark, sf, duck, name):
     assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize(("name", "least"), [("train_logistic", 0.95), ("train_svm", 0.95), ("train_gbt", 0.95), ("train_gradient", 0.95), ("train_mlp", 0.8), ("train_mlp2", 0.8), ("train_no_bias", 0.8), ("train_minibatch", 0.95), ("train_text_cnn", 0.9), ("train_boosted", 0.95), ("train_ensemble", 0.95), ("model_roundtrip", 0.95)])
+@pytest.mark.parametrize(("name", "least"), [("train_logistic", 0.95), ("train_svm", 0.95), ("train_gbt", 0.95), ("train_gradient", 0.95), ("train_mlp", 0.8), ("train_mlp2", 0.8), ("train_no_bias", 0.8), ("train_minibatch", 0.95), ("train_text_cnn", 0.9), ("train_cbow", 0.9), ("train_boosted", 0.95), ("train_ensemble", 0.95), ("model_roundtrip", 0.95)])
 def test_trained_models_beat_a_floor(spark, name, least):
     held = catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
     assert metrics.auc(held, "label", "score").first()[0] > least
@@ -49,6 +50,18 @@ def test_languages_of_held_out_documents(spark):
     assert rows.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] > 0.8
 
 
+def test_neighbours_are_of_one_language(spark):
+    """Words of different languages never meet, so neighbours by vectors should share one; by chance one in two or three would."""
+    folder = "/root/testdata/sf0.01"
+    near = catalogue.QUERIES["train_nce"](spark, folder).persist()
+    words = spark.read.parquet(f"{folder}/documents.parquet").select("lang", F.explode(text.tokens(F.col("text"))).alias("word"))
+    home = words.groupBy("word", "lang").agg(F.count("*").alias("n")).groupBy("word").agg(F.max_by("lang", "n").alias("lang"), (F.max("n") / F.sum("n")).alias("share")).filter("share > 0.9")
+    met = near.join(home, "word").join(home.select(F.col("word").alias("neighbor"), F.col("lang").alias("other")), "neighbor").persist()
+    n, same = met.agg(F.count("*"), F.avg((F.col("lang") == F.col("other")).cast("double"))).first()
+    chance = sum((r["n"] / n) ** 2 for r in met.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    assert n > 200 and same > max(0.8, chance + 0.2), (n, same, chance)
+
+
 def test_softmax_beats_chance(spark):
     rows = catalogue.QUERIES["train_softmax"](spark, "/root/testdata/sf0.01")
     assert rows.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] > 0.3  # ten classes

@@ -7,8 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.models import descent, registry, textcnn
-from lumenframe.operators import batching
+from lumenframe.models import cbow, descent, nce, registry, textcnn
+from lumenframe.operators import batching, sampling
 
 
 def slopes_hold(loss, weights, rows, within=1e-5):
@@ -146,3 +146,84 @@ def test_layers_score_as_numpy_does(spark, tmp_path):
     model.save(str(tmp_path / "m"))
     again = registry.Model.load(str(tmp_path / "m"))
     assert {r.row: r.score for r in again.score(df).collect()} == got
+
+
+def test_alias_draws_have_their_chances():
+    weights = np.array([0, 5, 1, 0, 0.5, 100, 3, 3])
+    found = sampling.AliasTable.of(weights, 0.75)
+    assert np.allclose(found.chances, weights**0.75 / (weights**0.75).sum())
+    exact = np.zeros(8)  # over an even grid of both numbers
+    for k in range(8):
+        exact[k] += found.kept[k] / 8
+        exact[found.alias[k]] += (1 - found.kept[k]) / 8
+    assert np.allclose(exact, found.chances)
+    rng = np.random.default_rng(1)
+    drawn = np.bincount(found.draw(rng.random(200_000), rng.random(200_000)), minlength=8) / 200_000
+    assert np.abs(drawn - found.chances).max() < 0.005 and not drawn[[0, 3, 4]][:2].any()
+    assert found.draw(np.array([0.999999999999]), np.array([0.0])).tolist()[0] < 8
+    with pytest.raises(ValueError, match="above 0"):
+        sampling.AliasTable.of(np.zeros(3))
+
+
+def test_slopes_of_the_noise_loss():
+    noise = sampling.AliasTable.of(np.array([4.0, 3, 2, 2, 1, 1]))
+    rng = np.random.default_rng(3)
+    weights = {"center": rng.normal(size=(6, 3)), "context": rng.normal(size=(6, 3)), "bias": rng.normal(size=6)}
+    slopes_hold(nce.loss_of(noise, 2, 5), weights, pa.table({"ids": [[0, 1, 2, 1, 5], [3], [], [4, None, 4, 9, 0, 0]]}))
+
+
+def test_pairs_of_neighbours():
+    center, context = nce.pairs_of([0, 1, None, 2, 3, 9, 3], 2, 5)
+    assert sorted(zip(center.tolist(), context.tolist(), strict=True)) == [(0, 1), (1, 0), (2, 3), (3, 2)]
+    assert len(nce.pairs_of([1], 3, 5)[0]) == len(nce.pairs_of([], 3, 5)[0]) == 0
+
+
+def test_noise_losses_by_pair(spark):
+    rng = np.random.default_rng(6)
+    u, v, b, p = rng.normal(size=(5, 3)), rng.normal(size=(5, 3)), rng.normal(size=5), np.array([0.4, 0.3, 0.1, 0.1, 0.1])
+    words = spark.createDataFrame([(k, u[k].tolist(), v[k].tolist(), float(b[k]), float(p[k])) for k in range(5)], "id int, center array<double>, context array<double>, bias double, chance double")
+    pairs, drawn = [(0, 1), (1, 0), (4, 4), (2, 3)], [1, 1, 4]
+    got = {(r.center, r.context): r.loss for r in nce.losses(spark.createDataFrame(pairs, "center int, context int"), spark.createDataFrame([(d,) for d in drawn], "id int"), words).collect()}
+    lift = b - np.log(3 * p)
+    for c, o in pairs:
+        assert got[c, o] == pytest.approx(np.logaddexp(0, -(u[c] @ v[o] + lift[o])) + sum(np.logaddexp(0, u[c] @ v[d] + lift[d]) for d in drawn))
+
+
+def test_a_step_of_words_and_layer(spark):
+    rng = np.random.default_rng(7)
+    texts = [(k, rng.integers(0, 9, rng.integers(0, 12)).tolist(), int(k % 2)) for k in range(20)] + [(20, [], 1), (21, [77, None], 0), (22, [3, 3, 3, 77], 1)]
+    dim, w, b, sums = 3, rng.normal(size=3), 0.2, np.array([0.1, 0.2, 0.3, 0.4])
+    table = cbow.first_table(spark.range(10).select("id"), dim, 5, 0.1)
+    start = {r.id: np.array([r.v0, r.v1, r.v2]) for r in table.collect()}
+    rows = spark.createDataFrame(texts, "row long, ids array<long>, label int").repartition(4)
+    touched, w2, b2, sums2, loss = cbow.step(cbow.Cbow(dim, table, w, b), rows, 0.5, sums)
+    slope_w, slope_b, slope_v, total = np.zeros(3), 0.0, {}, 0.0
+    for _, ids, y in texts:
+        known = [i for i in ids if i is not None and i < 10]
+        m = np.mean([start[i] for i in known], axis=0) if known else np.zeros(3)
+        z = m @ w + b
+        over = 1 / (1 + np.exp(-z)) - y
+        total += np.logaddexp(0, z) - y * z
+        slope_w, slope_b = slope_w + over * m, slope_b + over
+        for i in known:
+            slope_v[i] = slope_v.get(i, 0) + over * w / len(known)
+    n = len(texts)
+    slope = np.r_[slope_w, slope_b] / n
+    assert loss == pytest.approx(total / n) and np.allclose(sums2, sums + slope**2)
+    assert np.allclose(np.r_[w2, b2], np.r_[w, b] - 0.5 * slope / np.sqrt(sums + slope**2))
+    got = {r.id: r for r in touched.collect()}
+    assert set(got) == set(slope_v) and 9 not in got  # only words of the rows are written
+    for i, s in slope_v.items():
+        s = s / n
+        assert np.allclose([got[i].v0, got[i].v1, got[i].v2], start[i] - 0.5 * s / np.sqrt(0.1 + s**2)) and np.allclose([got[i].g0, got[i].g2], [0.1 + s[0] ** 2, 0.1 + s[2] ** 2])
+    model = cbow.Cbow(dim, table, w, b)
+    scores = {r.row: r.score for r in model.score(spark.createDataFrame([*texts, (23, None, 0)], "row long, ids array<long>, label int")).collect()}
+    assert scores[23] is None and scores[20] == pytest.approx(1 / (1 + np.exp(-b))) and len(scores) == 24
+
+
+def test_versions_of_the_table(spark):
+    a = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 0.0)], "id long, v0 double")
+    b, c = spark.createDataFrame([(2, 5.0)], "id long, v0 double"), spark.createDataFrame([(2, 6.0), (3, 7.0)], "id long, v0 double")
+    assert sorted(tuple(r) for r in cbow._latest([a, b, c]).collect()) == [(1, 0.0), (2, 6.0), (3, 7.0)]
+    empty = cbow.fit(spark.createDataFrame([], "row long, ids array<long>, label int"), spark.range(3), dim=2, epochs=1, batches=1)
+    assert empty.table.count() == 3 and empty.bias == 0
