@@ -28,7 +28,7 @@ from lumenframe.operators.batching import draw
 from lumenframe.operators.metrics import auc
 from lumenframe.operators.sampling import ensemble_spec
 from lumenframe.operators.staging import staged
-from lumenframe.operators.trees import Boosted, boost
+from lumenframe.operators.trees import LOSSES, Boosted, Hooks, Loss, boost
 
 
 def vectorised(df: DataFrame, features: str = "features") -> DataFrame:
@@ -54,7 +54,7 @@ class Model:
             out = df.withColumn(name, mathfn.sigmoid(vectors.dot(F.col("features"), F.lit(self.extra["weights"])) + self.extra["bias"]))
         elif self.kind == "layers":
             out = self._layers(df, name)
-        elif self.kind == "gbdt_ranking":
+        elif self.kind == "boosted":
             out = Boosted.of(self.extra["boosted"]).score(_spread(df, self.width), name).drop(*_spots(self.width))
         else:
             out = self.stage.transform(vectorised(df))
@@ -271,11 +271,19 @@ def _spread(df: DataFrame, width: int) -> DataFrame:
     return df.withColumns({f: F.get("features", F.lit(k)) for k, f in enumerate(_spots(width))})
 
 
-def gbdt_ranking(df: DataFrame, group: str = "group", key: str = "row", rounds: int = 20, depth: int = 4, rate: float = 0.1, filter_zero: bool = False, seed: int = 1) -> Model:
-    """Boosted trees that order the rows of a group by label: squared loss over the pairs of a group (trees.boost)."""
+def gbdt_ranking(df: DataFrame, group: str = "group", key: str = "row", rounds: int = 20, depth: int = 4, rate: float = 0.1, filter_zero: bool = False, seed: int = 1, first: int | None = None) -> Model:
+    """Boosted trees that order the rows of a group by label: by squared loss over the pairs of a group, or, with `first`, by the
+    discounted gain of that many places (trees.boost)."""
     width = len(df.select("features").first()["features"])
-    found = boost(_spread(df, width), "label", _spots(width), key, rounds, depth, rate, seed=seed, group=group, filter_zero=filter_zero)
-    return Model("gbdt_ranking", None, width, {"boosted": found.as_dict()})
+    found = boost(_spread(df, width), "label", _spots(width), key, rounds, depth, rate, seed=seed, group=group, filter_zero=filter_zero, first=first)
+    return Model("boosted", None, width, {"boosted": found.as_dict()})
+
+
+def gbdt_newton(df: DataFrame, loss: str | Loss = "logistic", key: str = "row", rounds: int = 20, depth: int = 4, rate: float = 0.3, ridge: float = 1.0, seed: int = 1, hooks: Hooks | None = None, **more) -> Model:
+    """Second-order boosted trees for a loss by name (trees.LOSSES) or one's own, with hooks (trees.Hooks)."""
+    width = len(df.select("features").first()["features"])
+    found = boost(_spread(df, width), "label", _spots(width), key, rounds, depth, rate, seed=seed, loss=LOSSES[loss] if isinstance(loss, str) else loss, ridge=ridge, hooks=hooks, **more)
+    return Model("boosted", None, width, {"boosted": found.as_dict()})
 
 
 def random_scores(df: DataFrame, key: str = "row", seed: int = 0) -> Model:
@@ -299,6 +307,7 @@ TRAINERS: dict[str, Callable[..., Model]] = {
     "gbdt": gbdt,
     "gbdt_regression": gbdt_regression,
     "gbdt_ranking": gbdt_ranking,
+    "gbdt_newton": gbdt_newton,
     "random": random_scores,
 }
 

@@ -1130,6 +1130,69 @@ def train_ranking(t: Tables) -> DataFrame:
     return registry.train("gbdt_ranking", train, rounds=6, depth=3, rate=0.5, filter_zero=True).score(rows).select("row", "group", "label", "score")
 
 
+@query()
+def train_lambdarank(t: Tables) -> DataFrame:
+    rows = quality_rows(t).join(t.documents.select(F.col("doc_id").alias("row"), F.col("source").alias("group")), "row")
+    train = rows.filter(batching.draw("row", 1) < 0.7)
+    return registry.train("gbdt_ranking", train, rounds=4, depth=3, rate=0.5, first=20).score(rows).select("row", "group", "label", "score")
+
+
+@query()
+def train_newton(t: Tables) -> DataFrame:
+    rows = quality_rows(t)
+    train = rows.filter(batching.draw("row", 1) < 0.7)
+    return registry.train("gbdt_newton", train, rounds=5, depth=3).score(rows).select("row", "label", "score")
+
+
+def ranked_documents(t: Tables) -> DataFrame:
+    """Labelled documents as rows of ranking groups, with labels 0 to 2 and a fixed score."""
+    held = t.labels.groupBy("doc_id").agg(F.max(F.col("quality") + F.col("quality") * (1 - F.col("toxic"))).alias("label"))
+    return t.documents.join(held, "doc_id").select("doc_id", F.concat_ws("/", "source", "lang").alias("group"), "label", (F.floor(F.col("n_chars") / 100) / 50.0).alias("score"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, max(quality + quality * (1 - toxic)) AS y FROM labels GROUP BY doc_id),
+    d AS (SELECT doc_id, concat_ws('/', source, lang) AS g, y, floor(n_chars / 100) / 50.0 AS s FROM documents JOIN l USING (doc_id)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, doc_id) AS rank, row_number() OVER (PARTITION BY g ORDER BY y DESC, doc_id) AS best FROM d),
+    p AS (SELECT *, CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END AS dis FROM k),
+    i AS (SELECT g, sum((pow(2, y) - 1) / log2(best + 1.0)) AS ideal FROM k WHERE best <= 10 GROUP BY g),
+    pairs AS (
+        SELECT a.g, a.doc_id AS up, b.doc_id AS down, 1 / (1 + exp(a.s - b.s)) AS wrong, abs(pow(2, a.y) - pow(2, b.y)) * abs(a.dis - b.dis) / ideal AS change
+        FROM p a JOIN p b ON a.g = b.g AND a.y > b.y JOIN i ON i.g = a.g),
+    sums AS (
+        SELECT doc_id, sum(pull) AS pull, sum(bend) AS bend
+        FROM (SELECT up AS doc_id, wrong * change AS pull, wrong * (1 - wrong) * change AS bend FROM pairs UNION ALL SELECT down, -wrong * change, wrong * (1 - wrong) * change FROM pairs) GROUP BY doc_id)
+    SELECT doc_id, round(coalesce(pull, 0), 6) + 0.0 AS residual, round(coalesce(bend, 0), 6) AS curvature FROM d LEFT JOIN sums USING (doc_id)
+""")
+def lambda_slopes(t: Tables) -> DataFrame:
+    found = trees.lambda_slopes(ranked_documents(t), "group", "doc_id", "label", "score", 10)
+    return found.select("doc_id", (r(F.col("residual")) + 0.0).alias("residual"), r(F.col("curvature")).alias("curvature"))
+
+
+@query("""
+    WITH e AS (SELECT CAST(event_type = 'purchase' AS INTEGER) AS y, CAST(least(floor(value / 20), 20) AS INTEGER) AS a, CAST(date_part('hour', ts) AS INTEGER) AS b FROM events WHERE value IS NOT NULL),
+    q AS (SELECT y, a, b, avg(y) OVER () AS p FROM e),
+    g AS (SELECT a, b, y - p AS r, p * (1 - p) AS h FROM q),
+    u AS (SELECT 1 AS f, a AS bin, r, h FROM g UNION ALL SELECT 2, b, r, h FROM g),
+    s AS (SELECT f, bin, sum(r) AS r, sum(h) AS h, count(*) AS n FROM u GROUP BY f, bin),
+    c AS (SELECT f, bin, sum(r) OVER x AS rl, sum(h) OVER x AS hl, sum(n) OVER x AS nl, sum(r) OVER y AS ra, sum(h) OVER y AS ha, sum(n) OVER y AS na FROM s WINDOW x AS (PARTITION BY f ORDER BY bin), y AS (PARTITION BY f)),
+    gains AS (SELECT *, rl * rl / (hl + 1) + (ra - rl) * (ra - rl) / (ha - hl + 1) - ra * ra / (ha + 1) AS gain FROM c WHERE nl < na),
+    best AS (SELECT * FROM gains ORDER BY round(gain, 9) DESC, f, bin LIMIT 1)
+    SELECT CASE f WHEN 1 THEN 'a' ELSE 'b' END AS feature, bin, round(gain, 6) AS gain, round(rl / (hl + 1), 6) AS low, round((ra - rl) / (ha - hl + 1), 6) AS high, CAST(nl AS BIGINT) AS docs FROM best
+""")
+def newton_split(t: Tables) -> DataFrame:
+    """The first split of second-order boosting by logistic loss, and its leaves."""
+    given = t.events.filter("value is not null").select((F.col("event_type") == "purchase").cast("int").alias("label"), F.least(F.floor(F.col("value") / 20), F.lit(20)).cast("int").alias("a"), F.hour("ts").alias("b"))
+    start = F.lit(trees.LOGISTIC.start(given.agg(F.avg("label")).first()[0]))
+    rows = given.select(F.lit("0").alias("node"), "a", "b", trees.LOGISTIC.slope(F.col("label"), start).alias("residual"), trees.LOGISTIC.curvature(F.col("label"), start).alias("curvature"))
+    split = trees.best_splits(rows, ["a", "b"], curvature="curvature", ridge=1.0)
+    left = F.when(F.col("feature") == "a", F.col("a") <= F.col("bin")).otherwise(F.col("b") <= F.col("bin"))
+    met = rows.join(F.broadcast(split), "node")  # one row
+    side = lambda c, on: F.sum(F.when(left == on, F.col(c)).otherwise(0.0))
+    leaf = lambda on: r(side("residual", on) / (side("curvature", on) + 1.0))
+    return met.groupBy("feature", "bin", r(F.col("gain")).alias("gain")).agg(leaf(True).alias("low"), leaf(False).alias("high"), F.count(F.when(left, 1)).alias("docs"))
+
+
 @query()
 def train_ensemble(t: Tables) -> DataFrame:
     rows = quality_rows(t)

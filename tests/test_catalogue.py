@@ -32,14 +32,15 @@ def test_same_as_sql(spark, sf, duck, name):
     assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize(("name", "least"), [("train_logistic", 0.95), ("train_svm", 0.95), ("train_gbt", 0.95), ("train_gradient", 0.95), ("train_mlp", 0.8), ("train_mlp2", 0.8), ("train_no_bias", 0.8), ("train_minibatch", 0.95), ("train_text_cnn", 0.9), ("train_cbow", 0.9), ("train_boosted", 0.95), ("train_ensemble", 0.95), ("model_roundtrip", 0.95)])
+@pytest.mark.parametrize(("name", "least"), [("train_logistic", 0.95), ("train_svm", 0.95), ("train_gbt", 0.95), ("train_gradient", 0.95), ("train_mlp", 0.8), ("train_mlp2", 0.8), ("train_no_bias", 0.8), ("train_minibatch", 0.95), ("train_text_cnn", 0.9), ("train_cbow", 0.9), ("train_newton", 0.95), ("train_boosted", 0.95), ("train_ensemble", 0.95), ("model_roundtrip", 0.95)])
 def test_trained_models_beat_a_floor(spark, name, least):
     held = catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
     assert metrics.auc(held, "label", "score").first()[0] > least
 
 
-def test_ranking_orders_rows_of_a_group(spark):
-    held = catalogue.QUERIES["train_ranking"](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
+@pytest.mark.parametrize("name", ["train_ranking", "train_lambdarank"])
+def test_ranking_orders_rows_of_a_group(spark, name):
+    held = catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").filter(batching.draw("row", 1) >= 0.7)
     found = [r["auc"] for r in metrics.auc(held, "label", "score", by=("group",)).collect()]
     found = [x for x in found if x == x]
     assert found and sum(found) / len(found) > 0.9
