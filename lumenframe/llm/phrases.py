@@ -28,9 +28,9 @@ from functools import reduce
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +83,26 @@ def _in_duckdb(given: Iterator[pa.RecordBatch], schema: pa.Schema, query: str, m
     """The rows of a query over the stream `given`, out of core."""
     with tempfile.TemporaryDirectory(prefix="runs-") as scratch, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": scratch, "preserve_insertion_order": False}) as con:
         con.register("given", pa.RecordBatchReader.from_batches(schema, given))
-        yield from con.execute(query).to_arrow_reader(50_000)
+        yield from con.sql(query).to_arrow_reader(50_000)
 
 
-def _word_hash(lang: str, word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode(), xxhash.xxh64_intdigest(lang.encode()))
+def _gathered(it: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Larger batches, of about `most` bytes: what they share is looked up once."""
+    held, size = [], 0
+    for batch in it:
+        held.append(batch)
+        size += batch.get_total_buffer_size() if batch.num_rows else 0
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word in its language."""
+    own = lambda x: pd.util.hash_array(x.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    return _longer_hash(own(langs), own(words))
 
 
 def _longer_hash(run: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -99,40 +114,46 @@ class _Words:
     """The words of a task's pieces as numbers, by language."""
 
     def __init__(self) -> None:
-        self.numbers: dict[tuple[str, str], int] = {}
+        self.keys = self.langs = self.words = pa.array([], pa.string())
         self.hashes = np.empty(0, np.uint64)
 
     def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words of a batch of lang, piece, n: their numbers, their pieces' rows, their pieces' counts."""
+        """The numbers of a batch's distinct words; and for each word of its pieces (of lang, piece, n) its place among those, and its
+        piece's row."""
         lists = pc.split_pattern(batch.column(1), " ")
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         words, langs = lists.flatten().dictionary_encode(), batch.column(0).dictionary_encode()
-        pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False)
+        size = max(1, len(words.dictionary))
+        pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + words.indices.to_numpy(zero_copy_only=False)
         found, at = np.unique(pair, return_inverse=True)
-        lang_names, word_names = langs.dictionary.to_pylist(), words.dictionary.to_pylist()
-        own, new = np.empty(len(found), np.int32), []
-        for k, x in enumerate(found.tolist()):
-            key = (lang_names[x // len(word_names)], word_names[x % len(word_names)])
-            number = self.numbers.get(key)
-            if number is None:
-                number = self.numbers[key] = len(self.numbers)
-                new.append(_word_hash(*key))
-            own[k] = number
-        self.hashes = np.r_[self.hashes, np.array(new, np.uint64)]
-        return own[at], row, batch.column(2).to_numpy(zero_copy_only=False)[row]
+        lang, word = langs.dictionary.take(pa.array(found // size)), words.dictionary.take(pa.array(found % size))
+        key = pc.binary_join_element_wise(pc.utf8_length(lang).cast(pa.string()), lang, word, ":")  # the length tells where the language ends
+        number = pc.index_in(key, value_set=self.keys).to_numpy(zero_copy_only=False).astype(np.float64)
+        new = np.flatnonzero(np.isnan(number))
+        number[new] = len(self.keys) + np.arange(len(new))
+        fresh = pa.array(new)
+        lang, word = lang.take(fresh), word.take(fresh)
+        self.keys, self.langs, self.words = (pa.concat_arrays(x) for x in ((self.keys, key.take(fresh)), (self.langs, lang), (self.words, word)))
+        self.hashes = np.r_[self.hashes, _hashes(lang, word)]
+        return number.astype(np.int32), at, row
 
 
 def _runs_of(words: _Words, batch: pa.RecordBatch, size: int, passed: np.ndarray | None) -> pa.RecordBatch:
-    """w0, w1, ..., n: each place of a batch at which a run of `size` words may occur often enough."""
-    number, row, n = words.of(batch)
+    """w0, w1, ..., n: each place of a batch at which a run of `size` words may occur often enough; single words summed up."""
+    own, at, row = words.of(batch)
+    n = batch.column(2).to_numpy(zero_copy_only=False)[row]
+    if size == 1:
+        sums = np.zeros(len(own), np.int64)
+        np.add.at(sums, at, n)
+        return pa.record_batch([pa.array(own), pa.array(sums)], names=["w0", "n"])
+    number = own[at]
     starts = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :])
-    if passed is not None:
-        run = words.hashes[number]
-        for k in range(1, size - 1):
-            run = _longer_hash(run[:-1], words.hashes[number[k:]])
-        slot = run & np.uint64(64 * len(passed) - 1)
-        fits = (passed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-        starts = starts[fits[starts] & fits[starts + 1]]
+    run = words.hashes[number]
+    for k in range(1, size - 1):
+        run = _longer_hash(run[:-1], words.hashes[number[k:]])
+    slot = run & np.uint64(64 * len(passed) - 1)
+    fits = (passed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    starts = starts[fits[starts] & fits[starts + 1]]
     return pa.RecordBatch.from_arrays([*(pa.array(number[starts + k]) for k in range(size)), pa.array(n[starts])], names=[*(f"w{k}" for k in range(size)), "n"])
 
 
@@ -144,14 +165,11 @@ def _counted(pieces: DataFrame, size: int, passed, least: int, memory: str) -> D
 
     def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bits = _Words(), None if passed is None else passed.value
-        placed = (_runs_of(words, part, size, bits) for part in batches(it, 20_000))
-        langs = names = None
+        placed = (_runs_of(words, part, size, bits) for part in _gathered(it))
         totals: Counter = Counter()
         for found in _in_duckdb(placed, schema, f"SELECT {', '.join(columns)}, sum(n)::BIGINT AS n FROM given GROUP BY ALL", memory):
-            if names is None:  # all batches have been read
-                langs, names = (pa.array([key[k] for key in words.numbers], pa.string()) for k in (0, 1))
-            parts = [names.take(found.column(k)) for k in range(size)]
-            lang = langs.take(found.column(0))
+            parts = [words.words.take(found.column(k)) for k in range(size)]  # all batches have been read
+            lang = words.langs.take(found.column(0))
             run = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
             yield pa.record_batch([lang, run, pa.array([size] * len(run), pa.int32()), found.column(size)], schema=_RUNS)
             if size == 1:
@@ -168,15 +186,16 @@ def _bitmap(runs: DataFrame, filter_bits: int) -> np.ndarray:
     """2**filter_bits bits, of which those that the hashes of runs choose are set."""
 
     def slots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 20_000):
-            out = []
-            for lang, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = np.array([[_word_hash(lang, w)] for w in run.split(" ")], np.uint64)
-                found = words[0]
-                for w in words[1:]:
-                    found = _longer_hash(found, w)
-                out.append(int(found[0]) & ((1 << filter_bits) - 1))
-            yield pa.record_batch([pa.array(out, pa.int64())], names=["slot"])
+        for batch in it:
+            lists = pc.split_pattern(batch.column(1), " ")
+            size, cuts, each = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), size)
+            hashes, first = _hashes(batch.column(0).take(pa.array(row)), each), cuts[:-1] - cuts[0]
+            found = hashes[first]
+            for k in range(1, int(size.max(initial=0))):
+                more = np.flatnonzero(size > k)
+                found[more] = _longer_hash(found[more], hashes[first[more] + k])
+            yield pa.record_batch([pa.array((found & np.uint64((1 << filter_bits) - 1)).astype(np.int64))], names=["slot"])
 
     bit = F.expr("shiftleft(1L, cast(slot % 64 AS INT))")
     words = runs.select("lang", "run").mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**filter_bits / 64 rows at most
