@@ -17,8 +17,9 @@ probability 8e-6, while a pair of similarity 0.5 meets with probability 0.22, on
 3. Components of all links. Nothing is dropped, whatever a bucket's size.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing. A null doc_id has a null
-component and is kept. Rows that repeat an id must repeat its text; each gets that id's result. An empty table gives no rows. Only
-doc_id and the text are read; other columns, whatever their names, pass through one_of_each.
+component and is kept. Rows of one id are one document, which is linked with all that any of its texts is linked with; a row of it without
+words stays by itself, but one_of_each keeps or drops all rows of an id together. An empty table gives no rows. Only doc_id and the
+text are read; other columns, whatever their names, pass through one_of_each.
 """
 
 from __future__ import annotations
@@ -139,77 +140,87 @@ def connecting_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, r
 
 
 def sketch(docs: DataFrame, words: int, bands: int, rows: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes, null for an empty set) and bands of every row."""
-    fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_key, n_shingles, set_key (16 bytes, null for an empty set) and bands of every row."""
+    fields = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             sizes, keys, banded = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 found = shingle_set(t, words)
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 banded.append(band_keys(registers(found, bands * rows), bands) if len(found) else None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], schema=fields)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], schema=fields)
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return _texts(docs, text).withColumnRenamed("rep", "doc_id").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>")
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+#: A class goes by the least of its rows: its id, and its text's hash, since an id may come with several texts.
+_CLASS = ["rep", "text_key"]
+
+
 def _texts(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    """rep (the id), text_key, text of every row."""
+    given = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    return given.select("rep", F.xxhash64("text").alias("text_key"), "text")
 
 
 def _met(banded: DataFrame) -> DataFrame:
-    """rep, hub: the least class of each bucket that the class is in, where that is another."""
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return banded.join(hubs, "band").filter("rep <> hub").select("rep", "hub").distinct()
+    """rep, text_key, hub, hub_key: the least class of each bucket that the class is in, where that is another."""
+    hubs = banded.groupBy("band").agg(F.min(F.struct(*_CLASS)).alias("h"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("h.rep").alias("hub"), F.col("h.text_key").alias("hub_key"))
+    return banded.join(hubs, "band").filter("rep <> hub or text_key <> hub_key").select(*_CLASS, "hub", "hub_key").distinct()
 
 
 def star_links(docs: DataFrame, met: DataFrame, words: int, percent: int, cell: int, text: str) -> DataFrame:
-    """a, b: the pairs of met (rep, hub; staged) that are true links. A hub's classes are dealt to cells; its own text goes to each."""
-    cells = met.groupBy("hub").agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks"))
-    pairs = met.join(cells, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-    heads = cells.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    """a, b: the ids of the pairs of met (staged) that are true links. A hub's classes are dealt to cells; its own text goes to each."""
+    hub = ["hub", "hub_key"]
+    cells = met.groupBy(*hub).agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks"))
+    pairs = met.join(cells, hub).select(*_CLASS, *hub, F.pmod(F.xxhash64(*_CLASS), F.col("chunks")).cast("int").alias("chunk"))
+    heads = cells.select(F.col("hub").alias("rep"), F.col("hub_key").alias("text_key"), *hub, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     wanted = stage(pairs.unionByName(heads), "pairs")
-    given = _texts(docs, text).join(small(wanted), "rep")
+    given = _texts(docs, text).join(small(wanted), _CLASS)
 
     def compare(key: tuple, held: pa.Table) -> pa.Table:
-        hub, texts = key[0].as_py(), dict(zip(held["rep"].to_pylist(), held["text"].to_pylist(), strict=True))  # once, if rows repeat
-        head = shingle_set(texts.pop(hub), words)
-        found = [rep for rep, t in texts.items() if linked(shingle_set(t, words), head, percent)]
-        return pa.table([pa.array(found, pa.int64()), pa.array([hub] * len(found), pa.int64())], schema=_LINKS)
+        head, texts = (key[0].as_py(), key[1].as_py()), dict(zip(zip(held["rep"].to_pylist(), held["text_key"].to_pylist(), strict=True), held["text"].to_pylist(), strict=True))  # once, if rows repeat
+        own = shingle_set(texts.pop(head), words)
+        found = [rep for (rep, _), t in texts.items() if linked(shingle_set(t, words), own, percent)]
+        return pa.table([pa.array(found, pa.int64()), pa.array([head[0]] * len(found), pa.int64())], schema=_LINKS)
 
-    return given.groupBy("hub", "chunk").applyInArrow(compare, "a long, b long")
+    return given.groupBy(*hub, "chunk").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, cell: int = 512, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to) and kept (doc_id = component_id) of every row of docs."""
     sketched = stage(sketch(docs, words, bands, rows, text), "sketches")
-    classes = stage(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    every = classes.select("rep", F.explode("bands").alias("band"))
+    known_rows = sketched.filter("set_key is not null and doc_id is not null")
+    least = F.min(F.struct(F.col("doc_id").alias("rep"), "text_key"))
+    classes = stage(known_rows.groupBy("set_key").agg(least.alias("c"), F.first("bands").alias("bands")).select("set_key", "c.*", "bands"), "classes")
+    several = known_rows.groupBy("doc_id").agg((F.min("set_key") < F.max("set_key")).alias("several")).filter("several").select("doc_id")
+    of_one_id = stage(known_rows.select("doc_id", "set_key").join(several, "doc_id").join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links-of-one-id")
+    every = classes.select(*_CLASS, F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     banded = stage(every.join(shared, "band"), "bands")
-    stars = stage(star_links(docs, stage(_met(banded), "met"), words, percent, cell, text), "star-links")
+    stars = stage(star_links(docs, stage(_met(banded), "met"), words, percent, cell, text).unionByName(of_one_id), "star-links")
     joined = stage(components(stars), "star-components")
 
-    named_bands = banded.join(small(joined), F.col("rep") == F.col("node"), "left").select("rep", "band", F.coalesce("component", "rep").alias("known"))
+    named_bands = banded.join(small(joined), F.col("rep") == F.col("node"), "left").select(*_CLASS, "band", F.coalesce("component", "rep").alias("known"))
     open_bands = named_bands.groupBy("band").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select("band")
     left = stage(named_bands.join(open_bands, "band"), "open-bands")
-    of_family = stage(components(_met(left.select("rep", "band")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
+    of_family = stage(components(_met(left.select(*_CLASS, "band")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
     sizes = of_family.groupBy("family").agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks"))
-    labels = left.select("rep", "known").distinct()
-    chunked = stage(of_family.join(sizes, "family").join(labels, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")), "chunks")
+    labels = left.select(*_CLASS, "known").distinct()
+    chunked = stage(of_family.join(sizes, "family").join(labels, "rep").withColumn("chunk", F.pmod(F.xxhash64(*_CLASS), F.col("chunks")).cast("int")), "chunks")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = _texts(docs, text).join(small(chunked), "rep").withColumn("other", other).select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "known", "text")
+    cells = _texts(docs, text).join(small(chunked), _CLASS).withColumn("other", other).select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", *_CLASS, "known", "text")
     count = bands * rows
 
     def compare(key: tuple, held: pa.Table) -> pa.Table:
-        own = dict(zip(held["rep"].to_pylist(), zip(held["chunk"].to_pylist(), held["known"].to_pylist(), held["text"].to_pylist(), strict=True), strict=True))  # once, if rows repeat
-        ids, chunk, known = list(own), np.array([c for c, _, _ in own.values()]), np.array([k for _, k, _ in own.values()])
+        own = dict(zip(zip(held["rep"].to_pylist(), held["text_key"].to_pylist(), strict=True), zip(held["chunk"].to_pylist(), held["known"].to_pylist(), held["text"].to_pylist(), strict=True), strict=True))  # once, if rows repeat
+        ids, chunk, known = [rep for rep, _ in own], np.array([c for c, _, _ in own.values()]), np.array([k for _, k, _ in own.values()])
         sets = [shingle_set(t, words) for _, _, t in own.values()]
         found = connecting_links(ids, sets, chunk == key[1].as_py(), chunk == key[2].as_py(), percent, count, known) if len(ids) > 1 else []
         return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_LINKS)

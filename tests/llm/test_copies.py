@@ -61,6 +61,20 @@ def test_odd_rows(odd, odd_rows, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_an_id_with_several_texts(spark):
+    """Rows of one id are one document; the result doesn't depend on the order of rows."""
+    rng = random.Random(12)
+    a, b, c, d = ((t, t.replace(t.split()[50], "changed")) for t in (family(rng, 1)[0] for _ in range(4)))
+    rows = [(5, a[0]), (5, b[0]), (2, a[1]), (9, b[1]), (7, c[0]), (7, c[0]), (8, c[1]), (3, d[0]), (8, d[1]), (5, ""), (8, None), (20, "alone"), (20, "apart")]
+    want = {5: 2, 2: 2, 9: 2, 7: 3, 8: 3, 3: 3, 20: 20}
+    for _ in range(4):
+        rng.shuffle(rows)
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=4).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.component_id, r.kept) == ((want[r.doc_id], want[r.doc_id] == r.doc_id) if r.n_shingles else (r.doc_id, True)), r
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for shared, own in ((400, 50), (40, 5), (900, 300)):
