@@ -147,5 +147,5 @@ def skipgram_samples(df: DataFrame, key: str, words: str, window: int, num_skips
     """skipgrams, of which each center keeps num_skips contexts, drawn by hash."""
     if num_skips > 2 * window:
         raise ValueError("num_skips must be at most 2 * window")
-    pairs = skipgrams(df, key, words, window).withColumn("draw", F.xxhash64(key, "pos", "context", F.lit(seed)))
-    return pairs.withColumn("k", F.row_number().over(Window.partitionBy(key, "pos").orderBy("draw", "context"))).filter(F.col("k") <= num_skips).drop("k", "draw")
+    pairs = skipgrams(df, key, words, window).withColumn("__draw", F.xxhash64(key, "pos", "context", F.lit(seed)))
+    return pairs.withColumn("__place", F.row_number().over(Window.partitionBy(key, "pos").orderBy("__draw", "context"))).filter(F.col("__place") <= num_skips).drop("__place", "__draw")

@@ -7,15 +7,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import mathfn, text, vectors
-from lumenframe.models import cbow, nce, registry, textcnn
+from lumenframe.models import cbow, histogram, nce, registry, textcnn
 from lumenframe.operators import batching, lookups, metrics, sampling, trees
 from lumenframe.operators.staging import shared_dir
-from lumenframe.sources import formats, sinks
-from lumenframe.streaming import scoring
+from lumenframe.sources import formats, sinks, sorted_set, tfrecord
+from lumenframe.streaming import scoring, seen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -572,9 +573,12 @@ def running_ratio(t: Tables) -> DataFrame:
 
 @query("SELECT event_id // 200 AS poll, count(*) FILTER (k = 1) AS num_new, count(*) FILTER (k > 1) AS num_old FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY 1")
 def poll_counts(t: Tables) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    seen = t.events.select("event_id", first.alias("k"))
-    return seen.groupBy(F.floor(F.col("event_id") / 200).cast("long").alias("poll")).agg(F.count_if(F.col("k") == 1).alias("num_new"), F.count_if(F.col("k") > 1).alias("num_old"))
+    """A key is new in the poll of its first event alone: a grouped minimum, whatever a key's number of events."""
+    poll = lambda c: F.floor(F.col(c) / 200).cast("long").alias("poll")
+    new = t.events.groupBy("user_id").agg(F.min("event_id").alias("first")).groupBy(poll("first")).agg(F.count("*").alias("num_new"))
+    every = t.events.groupBy(poll("event_id")).agg(F.count("*").alias("n"))
+    n_new = F.coalesce("num_new", F.lit(0)).cast("long")
+    return every.join(new, "poll", "left").select("poll", n_new.alias("num_new"), (F.col("n") - n_new).alias("num_old"))
 
 
 @query("SELECT event_id // 2000 AS period, round(avg(value), 6) AS average FROM events GROUP BY 1")
@@ -924,10 +928,87 @@ def cached_parse(t: Tables) -> DataFrame:
 def read_words(t: Tables) -> DataFrame:
     """A text file's words, numbered through; the file's order is that of turns."""
     path = t.scratch()
-    t.conversations.orderBy("conv_id", "turn").select(text.one_line(F.col("text")).alias("value")).coalesce(1).write.text(path)
+    t.conversations.orderBy("conv_id", "turn").select(text.one_line(F.col("text")).alias("value")).write.text(path)  # parts in order
     return formats.read_words(t.spark, path)
 
 
+@query("SELECT label, vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, round(CAST(embedding[3] AS DOUBLE), 6) AS third, 'v' || vec_id AS name FROM embeddings")
+def tfrecord_round_trip(t: Tables) -> DataFrame:
+    tfrecord.register(t.spark)
+    path, schema = t.scratch(), "label bigint, vec_id bigint, index array<bigint>, value array<float>, name string"
+    index = F.transform("embedding", lambda x, i: i.cast("long"))
+    given = t.embeddings.select(F.col("label").cast("long").alias("label"), "vec_id", index.alias("index"), F.col("embedding").alias("value"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"))
+    given.repartition(4, "vec_id").write.format("tfrecord").mode("append").option("path", path).save()
+    found = t.spark.read.format("tfrecord").schema(schema).option("path", path).load()
+    total = F.aggregate("value", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    third = F.element_at(F.map_from_arrays("index", "value"), F.lit(2).cast("long")).cast("double")
+    return found.select(F.col("label").cast("int").alias("label"), "vec_id", F.size("index").cast("long").alias("n"), r(total, 4).alias("total"), r(third).alias("third"), "name")
+
+
+POLLS = 3
+
+
+@query(f"""
+    WITH n AS (SELECT max(event_id) + 1 AS n FROM events),
+    e AS (SELECT event_id, user_id, value, event_type, CAST(event_id * {POLLS} // n AS INTEGER) AS part FROM events, n WHERE value IS NOT NULL),
+    polls AS (SELECT unnest(range({POLLS})) AS p),
+    last AS (SELECT p, user_id, arg_max(value, event_id) AS score, arg_max(event_type, event_id) AS kind FROM polls JOIN e ON part <= p GROUP BY ALL),
+    ranked AS (SELECT p, CAST(user_id AS VARCHAR) AS member, score, row_number() OVER (PARTITION BY p ORDER BY score, CAST(user_id AS VARCHAR)) AS rank FROM last WHERE kind <> 'error')
+    SELECT 'changes-' || p AS poll, CAST(rank AS INTEGER) AS rank, member, score FROM ranked WHERE rank <= 40
+""")
+def polled_set(t: Tables) -> DataFrame:
+    """Users by their last value, taken out by an error: polled as changes come, each time by a stream started again."""
+    sorted_set.register(t.spark)
+    folder, out, state = t.scratch(), t.scratch(), t.scratch()
+    n = t.events.agg(F.max("event_id") + 1).first()[0]
+    what = F.when(F.col("event_type") == "error", "remove").otherwise("add")
+    part = F.floor(F.col("event_id") * POLLS / n).cast("int")
+    changes = t.events.filter("value is not null").select("event_id", what.alias("what"), F.col("value").alias("score"), F.col("user_id").alias("member"), part.alias("part"), F.concat(F.lit("changes-"), part.cast("string")).alias("file"))
+    for k in range(POLLS):
+        sorted_set.append_changes(changes.filter(F.col("part") == k), folder, "file", "event_id")
+        source = t.spark.readStream.format("sorted_set").option("path", folder).option("size", 40).load()
+        keep = lambda batch, _: insert_polls(sorted_set.rows(batch, 40), out)
+        source.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select("poll", "rank", "member", "score")
+
+
+def insert_polls(polls: DataFrame, path: str) -> None:
+    """Adds polls to a table, once each."""
+    sinks.insert_ignore(polls, path, ["poll", "rank"])
+
+
+@query()
+def seen_capacity(t: Tables) -> DataFrame:
+    """Users of a stream of events, let through once until the set of the seen is full."""
+    name, path = f"seen_{uuid.uuid4().hex}", t.scratch()
+    kept = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    seen.with_store(t.spark)
+    passed = seen.unseen(_stream(t, "events").select("event_id", "user_id"), "user_id", "event_id", 80, 4)
+    passed.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).queryName(name).start().awaitTermination()
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    return t.spark.read.schema("event_id long, user_id long").parquet(f"{path}/out")
+
+
+@query(f"""
+    WITH s AS (SELECT 1 / (1 + exp(-{DUCK_LOGIT})) AS p, CAST(event_type = 'purchase' AS INTEGER) AS y FROM events)
+    SELECT CAST(least(greatest(floor(round(p, 9) * 64), 0), 63) AS INTEGER) AS bin, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM s WHERE p IS NOT NULL GROUP BY 1
+""")
+def calibration_bins(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", F.round(mathfn.sigmoid(logit()), 9).alias("p"), (F.col("event_type") == "purchase").cast("int").alias("y"))
+    return histogram.merged(*(histogram.histogram(rows.filter(F.col("event_id") % 3 == k), "p", "y", bins=64) for k in range(3)))
+
+
+@query()
+def train_online(t: Tables) -> DataFrame:
+    """Scores calibrated by a histogram that took them in day by day."""
+    rows = quality_rows(t)
+    scored = registry.train("logistic", rows.filter(batching.draw("row", 1) < 0.35), rounds=50).score(rows).persist()
+    online = histogram.Online(bins=64)
+    for day in range(3):
+        online.add(scored.filter((batching.draw("row", 1) >= 0.35) & (batching.draw("row", 1) < 0.7) & (F.col("row") % 3 == day)))
+    return online.calibrator().apply(scored, "score").select("row", "label", "score")
+
+
 @query("SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def union_rows(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).unionByName(t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
@@ -1080,7 +1161,7 @@ def train_nce(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("doc_id").alias("row"), "text", text.tokens(F.col("text")).alias("words"))
     vocab = text.vocabulary(rows, "text", 500).persist()
     ids = text.encode(rows, "row", "words", vocab).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: F.when(x["id"] > 0, x["id"])).alias("ids"))
-    found, _ = nce.fit(ids, vocab, size=12, window=2, draws=32, optimiser="adam", rate=0.05, batch=8, epochs=4, parts=4)
+    found, _ = nce.fit(ids, vocab, size=12, window=2, draws=32, optimiser="adam", rate=0.1, batch=2, epochs=6, parts=4)
     near = lookups.top_k_cosine(found.filter("id > 0"), "id", "vector", found.filter("id > 0"), 1)
     named = vocab.select("id", "word")
     return near.join(named, near["query_id"] == named["id"]).select("neighbor_id", "word", "similarity").join(named.select(F.col("id").alias("neighbor_id"), F.col("word").alias("neighbor")), "neighbor_id").select("word", "neighbor", "similarity")
@@ -1201,8 +1282,30 @@ def train_ensemble(t: Tables) -> DataFrame:
 
 @query()
 def word2vec(t: Tables) -> DataFrame:
+    """Frequent words, the length of their vectors, and the nearest other word."""
     turns = t.conversations.select(text.tokens(F.col("text")).alias("words"))
-    return registry.word2vec(turns, "words", size=8, least=5).getVectors().select("word")
+    found = registry.word2vec(turns, "words", size=8, least=5, rounds=3).getVectors().select("word", vector_to_array("vector").alias("vector"))
+    near = lookups.top_k_cosine(found, "word", "vector", found, 1).select(F.col("query_id").alias("word"), F.col("neighbor_id").alias("neighbor"), "similarity")
+    return found.select("word", vectors.norm(F.col("vector")).alias("length")).join(near, "word")
+
+
+@query()
+def validation_grid(t: Tables) -> DataFrame:
+    """Settings of a trainer, and their AUC on two validation frames."""
+    rows = quality_rows(t).persist()
+    u = batching.draw("row", 1)
+    valid = {"first": rows.filter((u >= 0.7) & (u < 0.85)), "second": rows.filter(u >= 0.85)}
+    found = registry.validated("logistic", rows.filter(u < 0.7), valid, [{"reg": 0.0, "rounds": 20}, {"reg": 0.1, "rounds": 20}])
+    return t.spark.createDataFrame([(f["reg"], f["first"], f["second"]) for f in found], "reg double, first double, second double")
+
+
+@query("""
+    WITH w AS (SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n, len(embedding) AS size FROM embeddings)
+    SELECT vec_id, n < 0.5 * size AS sparse FROM w
+""")
+def sparse_choice(t: Tables) -> DataFrame:
+    above = F.transform("embedding", lambda x: F.greatest(x, F.lit(0.0).cast("float")))
+    return t.embeddings.select("vec_id", vectors.is_sparse(above).alias("sparse"))
 
 
 @query()

@@ -6,6 +6,7 @@ any `.` index-only. A first column that starts with `_` is an id, and the label
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -158,8 +159,10 @@ def read_instances(spark: SparkSession, path: str, kind: str = "auto", separator
     kind = ("dense" if header else layout.kind) if kind == "auto" else kind
     if kind not in {"dense", "index_only", "sparse", "libsvm"}:
         raise ValueError(f"unknown kind {kind}")
-    if has_header:  # each file of a folder may start with it
-        lines = lines.filter(F.col("value") != first["value"])
+    if has_header:  # each file of a folder may start with it; a line of data that equals it stays
+        placed = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+        starts = placed.filter(F.trim("value") != "").groupBy("file").agg(F.min(F.struct("at", "value")).alias("s")).filter(F.col("s.value") == first["value"]).select("s.at")
+        lines = placed.filter(F.trim("value") != "").join(starts, "at", "left_anti").select("value")
         sample = lines.first()
         layout = Layout(kind, True, 1 if sample and sample["value"].startswith("_") else 0)
     if max_rows is not None:
@@ -239,10 +242,10 @@ def read_scored_posts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """pos, word of a text file: lines in their order (numbered by range, not in one task), words within them."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    words = lines.select("at", F.posexplode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("k", "word"))
-    return numbered(words, "at", "k", name="pos").select("pos", "word")
+    """pos, word of the text files at path: files by name, lines in their order (numbered by range, not in one task), words within them."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    words = lines.select("file", "block", "at", F.posexplode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("k", "word"))
+    return numbered(words, "file", "block", "at", "k", name="pos").select("pos", "word")
 
 
 def first_of_sorted(df: DataFrame, score: str, key: str, n: int = 100) -> DataFrame:
@@ -250,11 +253,21 @@ def first_of_sorted(df: DataFrame, score: str, key: str, n: int = 100) -> DataFr
     return df.orderBy(score, key).limit(n)
 
 
+def _state_of(spark: SparkSession, source: str) -> str:
+    """Names, sizes and times of the files of a source, as one digest: what changes if one of them is written anew, added or removed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = [], system.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def cached_parse(spark: SparkSession, source: str, cache: str, parse) -> DataFrame:
-    """parse(spark, source) written to `cache` once; used again while the source hasn't changed since."""
-    path, hadoop = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    of = lambda p: p.getFileSystem(hadoop).getFileStatus(p).getModificationTime()
-    a, b = path(source), path(f"{cache}/_SUCCESS")
-    if not b.getFileSystem(hadoop).exists(b) or of(b) < of(a):
-        parse(spark, source).write.mode("overwrite").parquet(cache)
-    return spark.read.parquet(cache)
+    """parse(spark, source), kept in the folder `cache` under the state of the source's files; made again when one of them has changed."""
+    kept = f"{cache.rstrip('/')}/{_state_of(spark, source)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        parse(spark, source).write.mode("overwrite").parquet(kept)
+    return spark.read.parquet(kept)

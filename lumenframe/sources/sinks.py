@@ -40,7 +40,7 @@ def _between(there: DataFrame, df: DataFrame, column: str) -> DataFrame:
 
 def insert_ignore_jdbc(df: DataFrame, url: str, table: str, key: list[str], properties: dict[str, str]) -> None:
     """The same into a database table; the table's own key still guards against writers that run at once."""
-    there = df.sparkSession.read.jdbc(url, f"(select {', '.join(key)} from {table}) t", properties=properties)
+    there = df.sparkSession.read.jdbc(url, table, properties=properties).select(*key)  # Spark asks for these columns alone, quoted as the database does
     df.dropDuplicates(key).join(there, key, "left_anti").write.jdbc(url, table, mode="append", properties=properties)
 
 
