@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, buckets: int
     kinds = [pa.field("at", pa.list_(pa.int32())), pa.field("x", pa.list_(pa.float64()))]
     given = _given(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars").join(sample, "doc_id")
     made = add_columns(given, ["text", "n_chars"], kinds, lambda t, n: [list(c) for c in zip(*(features(a, b, buckets) for a, b in zip(t, n, strict=True)), strict=True)])
-    rows = stage(made.select("doc_id", "label", "at", "x").dropDuplicates(["doc_id"]), "quality-sample").collect()
+    one = F.min_by(F.struct("label", "at", "x"), F.struct(F.xxhash64("at", "x"), F.size("at")))  # of an id with several texts the same on every run
+    rows = stage(made.groupBy("doc_id").agg(one.alias("s")).select("doc_id", "s.*"), "quality-sample").collect()
     found = Counter(r["label"] for r in rows)
     if len(found) < 2:
         share = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -131,7 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, buckets: int
     rows.sort(key=lambda r: r["doc_id"])
     train = docs.sparkSession.createDataFrame([(float(r["label"]), Vectors.sparse(width, r["at"], r["x"])) for r in rows], ["label", "features"])
     machine = FMClassifier(factorSize=rank, maxIter=rounds, stepSize=rate, regParam=1e-4, initStd=0.05, solver="adamW", seed=seed)
-    model = machine.fit(train.coalesce(2).cache())
+    held = train.coalesce(2).persist()
+    try:
+        model = machine.fit(held)
+    finally:
+        held.unpersist()
     # The sample's classes are even; the intercept takes the odds back to those of all labelled rows.
     odds = np.log(totals[1] / totals[0]) - np.log(found[1] / found[0])
     return Machine(model.intercept + float(odds), model.linear.toArray(), model.factors.toArray(), buckets)

@@ -14,7 +14,8 @@ shares.
 Defined results: null and empty texts, and all texts without a word of any example, have no neighbours and get the
 share of label 1 among such examples, drawn towards that among all labels as if by two examples more. Ties in similarity go to the smaller id. Null labels and labels of unknown documents are ignored; of repeated labels one counts, the greatest.
 Without labels of both classes every score is the share of label 1 (0 without any). Rows that repeat are scored each; a null doc_id is
-kept. An empty table gives no rows. Scores read the text alone.
+kept. An empty table gives no rows. Scores read the text alone. A labelled document that is an example finds itself among its neighbours, so
+its score echoes its own label; only documents that weren't learnt from (op3's held_out) tell how good scores are.
 """
 
 from __future__ import annotations

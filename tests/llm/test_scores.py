@@ -1,5 +1,8 @@
 import pickle
 import random
+import zlib
+from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -119,3 +122,85 @@ def test_a_sent_model_is_the_same(spark):
     sent = pickle.loads(pickle.dumps(model))
     texts = [r.text for r in rows.collect()]
     assert sent.scores(texts) == model.scores(texts)
+
+
+def plain_toxicity(docs, labels, per_class=3000, k=15):
+    """All cosines of all pairs, in plain Python: id -> score."""
+    counts = {i: toxicity.term_counts(t) for i, t in docs.items()}
+    known = {i: y for i, y in labels.items() if i in docs}
+    both = Counter(labels.values())
+    shares = [both[c] / sum(both.values()) for c in (0, 1)]
+    signs, held = {}, []
+    for i in sorted(known):
+        own = toxicity.copy_signs(counts[i])
+        if not any(s in signs for s in own):
+            held.append(i)
+        for s in own:
+            signs.setdefault(s, i)
+    terms = sorted({t for i in held for t in counts[i]})
+    df = Counter(t for c in counts.values() for t in c)
+    n, ones = len(held), sum(known[i] for i in held)
+    least = NormalDist().inv_cdf(1 - toxicity.ERROR / (2 * len(terms))) ** 2
+    weight = {}
+    for t in terms:
+        a = sum(known[i] for i in held if t in counts[i])
+        b = sum(t in counts[i] for i in held) - a
+        chi = n * (a * (n - ones - b) - b * (ones - a)) ** 2 / ((a + b) * (n - a - b) * ones * (n - ones)) if a + b < n else 0
+        weight[t] = (np.log((1 + len(docs)) / (1 + df[t])) + 1) * (max(chi, 1) if chi >= least else 1)
+
+    def unit(i):
+        v = {t: (1 + np.log(m)) * weight[t] for t, m in counts[i].items() if t in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    units = {i: unit(i) for i in docs}
+    per = Counter(known[i] for i in held)
+    vote = {i: shares[known[i]] / per[known[i]] for i in held}
+
+    def share(i, without=None):
+        near = sorted((-round(s, 12), j) for j in held if j != without and (s := sum(x * units[j].get(t, 0) for t, x in units[i].items())) > 0)[:k]
+        if not near:
+            return None
+        own = [(vote[j] / (1.1 + s), known[j]) for s, j in near]
+        return sum(v * y for v, y in own) / sum(v for v, _ in own)
+
+    left_out = {i: share(i, i) for i in held}
+    some = [i for i in held if left_out[i] is not None]
+    line = toxicity._logistic(np.array([left_out[i] for i in some]), np.array([float(known[i]) for i in some]), np.array([vote[i] for i in some]) * n)
+    rest = [i for i in held if left_out[i] is None]
+    pull = 2 * np.mean(list(vote.values()))
+    prior = (sum(vote[i] * known[i] for i in rest) + pull * shares[1]) / (sum(vote[i] for i in rest) + pull)
+    return {i: prior if (s := share(i)) is None else 1 / (1 + np.exp(-(line[0] + line[1] * s))) for i in docs}
+
+
+def test_toxicity_query_against_all_pairs(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(r.doc_id, r.text, r.label) for r in labelled(spark, 150).collect()] + [(500, None, 0), (501, "", 1), (502, "no known words here", None)]
+    rows += [(600 + k, rows[k][1] + " more", rows[k][2]) for k in range(5)]  # near copies of examples
+    rng.shuffle(rows)
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y, y) for i, _, y in rows if y is not None], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in op3_toxicity(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows}
+    want = plain_toxicity({i: t for i, t, _ in rows}, {i: y for i, _, y in rows if y is not None and not held[i]})
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert r.held_out == held[i] and abs(r.score - want[i]) < 1e-6 and r.predicted == int(r.score >= 0.7), (i, r.score, want[i])
+
+
+def test_quality_query_against_all_pairs_of_features(spark, tmp_path):
+    rows = [(r.doc_id, r.text, r.label) for r in labelled(spark, 150).collect()] + [(500, None, 0), (501, "", 1), (502, "long " * 20_000, None)]
+    rows += [(3, "another text of an id", 0), rows[0]]
+    docs = spark.createDataFrame([(i, t, None if i % 7 == 0 else len(t or "")) for i, t, _ in rows], "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y, y) for i, _, y in rows if y is not None], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in op4_quality(spark, str(tmp_path)).collect())
+    learn = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None and zlib.crc32(str(i).encode()) % 5], "doc_id long, label int")
+    m = quality.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), learn)
+    want = []
+    for r in docs.collect():
+        at, x = quality.features(r.text, r.n_chars, m.buckets)
+        z = m.intercept + float(m.linear[at] @ x) + sum(float(m.factors[at[i]] @ m.factors[at[j]]) * x[i] * x[j] for i in range(len(at)) for j in range(i + 1, len(at)))
+        s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        want.append((r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 5 == 0, round(float(s), 9), int(s >= 0.3)))
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-8 and a[3] == b[3] for a, b in zip(got, sorted(want), strict=True))
