@@ -143,6 +143,23 @@ def skipgrams(df: DataFrame, key: str, words: str, window: int) -> DataFrame:
     return df.select(F.col(key), F.explode(F.concat(*parts)).alias("p")).select(key, "p.pos", "p.center", "p.context")
 
 
+def skipgram_counts(df: DataFrame, words: str, window: int) -> DataFrame:
+    """center, context, n: how often skipgrams() has each pair. Pairs are symmetric, so each is made once, in the text's direction, and
+    turned round when it is counted: half the rows are made and half the keys are shuffled."""
+    if window < 1:
+        raise ValueError("the window must be 1 or more")
+    a = F.col(words)
+
+    def ahead(d: int) -> Column:
+        size = F.greatest(F.size(a) - d, F.lit(0))
+        return F.arrays_zip(F.slice(a, 1, size).alias("x"), F.slice(a, 1 + d, size).alias("y"))
+
+    once = df.select(F.inline(F.concat(*(ahead(d) for d in range(1, window + 1)))))
+    counted = once.groupBy("x", "y").agg(F.count("*").alias("n"))
+    both = counted.select(F.explode(F.array(F.struct(F.col("x").alias("center"), F.col("y").alias("context")), F.struct(F.col("y").alias("center"), F.col("x").alias("context")))).alias("p"), "n")
+    return both.groupBy("p.center", "p.context").agg(F.sum("n").alias("n"))
+
+
 def skipgram_samples(df: DataFrame, key: str, words: str, window: int, num_skips: int, seed: int = 0) -> DataFrame:
     """skipgrams, of which each center keeps num_skips contexts, drawn by hash."""
     if num_skips > 2 * window:

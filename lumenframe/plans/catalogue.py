@@ -727,7 +727,7 @@ def encoding_convert(t: Tables) -> DataFrame:
 """)
 def skipgram_pairs(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", text.tokens(F.col("text")).alias("w"))
-    return text.skipgrams(docs, "doc_id", "w", 2).groupBy("center", "context").agg(F.count("*").alias("n"))
+    return text.skipgram_counts(docs, "w", 2)
 
 
 # ---------------------------------------------------------------- samples

@@ -59,6 +59,14 @@ def test_drawn_contexts(spark):
         text.skipgram_samples(df, "k", "words", 1, 3)
 
 
+@pytest.mark.parametrize("window", [1, 2, 5])
+def test_counted_pairs_are_those_of_skipgrams(spark, window):
+    rng = random.Random(window)
+    df = spark.createDataFrame([(k, [rng.choice("abcd") for _ in range(rng.randint(0, 7))]) for k in range(40)] + [(99, None)], "k int, words array<string>").repartition(3)
+    want = text.skipgrams(df, "k", "words", window).groupBy("center", "context").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, text.skipgram_counts(df, "words", window).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_rows_of_a_database_table(spark):
     url, how = "jdbc:derby:memory:posts;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.createDataFrame([(1, 0.5), (2, 0.25)], "id int, score double").write.jdbc(url, "posts", properties=how)
