@@ -85,11 +85,23 @@ def penalties(df: DataFrame, weight: str) -> DataFrame:
     return df.agg(F.sum(F.abs(weight)).alias("l1"), F.sum(F.pow(F.col(weight), F.lit(2.0))).alias("l2_squared"))
 
 
-def running_ratio(df: DataFrame, order: str, hit: Column, by: tuple[str, ...]) -> DataFrame:
-    """df with hits so far, rows so far and their ratio, in order within each group."""
-    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = df.withColumn("hits", F.sum(hit.cast("long")).over(upto)).withColumn("seen", F.count("*").over(upto))
-    return counted.withColumn("ratio", F.col("hits") / F.col("seen"))
+def running_ratio(df: DataFrame, order: str, hit: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with hits so far, rows so far and their ratio, in order (which should be total) within each group; a null hit is none, null
+    groups are groups. Rows are dealt to ranges of the order; a group is counted within each range and raised by its counts of the ranges
+    before, so that no task holds all rows of a hot group. Ranges are sampled, so the dealt rows are staged."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__hit", F.coalesce(hit.cast("long"), F.lit(0).cast("long"))).repartitionByRange(parts, order)
+    ranged = staged(dealt.withColumn("__range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of a group
+    sums = ranged.groupBy(*by, "__range").agg(F.sum("__hit").alias("__hits"), F.count("*").alias("__rows"))
+    zero = F.lit(0).cast("long")
+    before = sums.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__r"), F.coalesce(F.sum("__hits").over(earlier), zero).alias("__hits_before"), F.coalesce(F.sum("__rows").over(earlier), zero).alias("__rows_before"))
+    upto = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("hits", F.sum("__hit").over(upto)).withColumn("seen", F.count("*").over(upto))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    met = local.join(before, [F.col("__range") == F.col("__r"), *same])
+    raised = met.withColumn("hits", F.col("hits") + F.col("__hits_before")).withColumn("seen", F.col("seen") + F.col("__rows_before"))
+    return raised.select(*df.columns, "hits", "seen", (F.col("hits") / F.col("seen")).alias("ratio"))
 
 
 def num_classes(df: DataFrame, label: str) -> DataFrame:

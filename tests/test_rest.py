@@ -59,6 +59,22 @@ def test_drawn_contexts(spark):
         text.skipgram_samples(df, "k", "words", 1, 3)
 
 
+@pytest.mark.parametrize("by", [(), ("g",), ("g", "h")])
+def test_running_ratios(spark, by):
+    rng = random.Random(len(by))
+    rows = [(k, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([1, None]), rng.choice([True, False, None])) for k in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, g string, h int, hit boolean").repartition(5)
+    got = {r.k: (r.hits, r.seen, r.ratio) for r in metrics.running_ratio(df, "k", F.col("hit"), by).collect()}
+    held = {}
+    for k, g, h, hit in sorted(rows):
+        own = held.setdefault((g, h)[: len(by)], [0, 0])
+        own[0] += hit is True
+        own[1] += 1
+        assert got[k] == (own[0], own[1], own[0] / own[1])
+    assert metrics.running_ratio(df.limit(0), "k", F.col("hit"), by).count() == 0
+
+
 @pytest.mark.parametrize("window", [1, 2, 5])
 def test_counted_pairs_are_those_of_skipgrams(spark, window):
     rng = random.Random(window)
