@@ -306,8 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, k: int = 15)
     counted = add_columns(given.join(sample, "doc_id"), ["text"], fields, count)
     examples = stage(counted.select("doc_id", "label", "counts", "signs"), "examples")
     examples = stage(_one_of_copies(examples), "distinct-examples")
-    held = examples.toArrow().sort_by("doc_id")  # at most 2 * per_class rows
-    kept, ids, known_labels, counts, chi = _counted(held)
+    kept, ids, known_labels, counts, chi = _counted(examples.toArrow().sort_by("doc_id"))  # at most 2 * per_class rows
+    pa.default_memory_pool().release_unused()  # else the driver keeps what the table took, through all that follows
     if len(set(known_labels)) < 2:
         return Model(Vocabulary([]), np.empty(0), ids[:0], known_labels[:0], (np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)), shares, k)
     words = Vocabulary(kept)

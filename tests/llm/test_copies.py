@@ -152,3 +152,33 @@ def test_suffix_order_equals_plain_sorting():
     order, same = substrings.suffix_order(text, starts, np.zeros(len(starts), np.int64), 64)
     keys = [text[s : s + 64].tobytes() for s in starts[order]]
     assert keys == sorted(keys) and list(same) == [False, *(a == b for a, b in zip(keys, keys[1:], strict=False))]
+
+
+def test_components_run_few_tasks(spark):
+    """The driver remembers every task; stars, chains and a hub of hubs, with as many partitions as a cluster has."""
+    rng = random.Random(3)
+    hub = [(0, k) for k in range(1, 200)] + [(k, 1000 + rng.randrange(500)) for k in range(1, 200)]
+    links = {"stars": [(k % 5, 10 + k) for k in range(300)], "hubs": hub, "chain": [(k, k + 1) for k in range(2000, 2030)]}
+    context, held = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    tasks = {}
+    try:
+        for key, value in zip(held, ("20", "false", "-1"), strict=True):
+            spark.conf.set(key, value)
+        for name, pairs in links.items():
+            context.setJobGroup(f"components-{name}", name)
+            got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+            at = {n: n for p in pairs for n in p}
+            for _ in at:
+                before = dict(at)
+                for a, b in pairs:
+                    at[a] = at[b] = min(at[a], at[b])
+                if at == before:
+                    break
+            assert got == at
+            stages = {s for j in context.statusTracker().getJobIdsForGroup(f"components-{name}") for s in context.statusTracker().getJobInfo(j).stageIds}
+            tasks[name] = sum(i.numCompletedTasks for s in stages if (i := context.statusTracker().getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert tasks["stars"] <= 120 and tasks["hubs"] <= 240 and tasks["chain"] <= 720, tasks  # it was 186, 315 and 831

@@ -5,6 +5,7 @@ from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,16 @@ def test_quality_query_against_all_pairs_of_features(spark, tmp_path):
         s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         want.append((r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 5 == 0, round(float(s), 9), int(s >= 0.3)))
     assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-8 and a[3] == b[3] for a, b in zip(got, sorted(want), strict=True))
+
+
+def test_fit_lets_go_of_the_examples_table(spark, monkeypatch):
+    """What the driver collected is counted and freed before the index is built."""
+    rng, held = random.Random(2), []
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, label int")
+    made = toxicity.Model
+    monkeypatch.setattr(toxicity, "Model", lambda *a: held.append(pa.total_allocated_bytes()) or made(*a))
+    before = pa.total_allocated_bytes()
+    assert len(toxicity.fit(docs, labels).ids) == 200
+    assert held[0] - before < 200_000  # the table of the examples takes half a MB
