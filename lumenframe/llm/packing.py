@@ -26,10 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import batches, stage
+from lumenframe.llm.common import BROADCAST_ROWS, batches, small, stage
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -68,15 +69,18 @@ def encode(text: str, tokenizer_json: str | None = None, ranks_file: str | None
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, separator: int = 0, tokenizer_json: str | None = None, ranks_file: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and token_ids, if kept) of every piece of every document."""
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    """doc_id, piece, start, length, ids_crc32 (and token_ids, if kept) of every piece of every document; part is the partition that made
+    it, and place its number among that partition's pieces of its length, from 0."""
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
     if keep_ids:
         fields.append(("token_ids", pa.list_(pa.int32())))
         schema += ", token_ids array<int>"
     kinds = pa.schema(fields)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        seen: dict[int, int] = defaultdict(int)  # at most capacity lengths
         for batch in batches(it, 256):
             out: list[list] = [[] for _ in fields]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -85,7 +89,8 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, separator: int = 0, toke
                 first = (len(ids) - 1) % capacity + 1
                 for k, start in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[start : first + k * capacity]
-                    row = [doc, k, start, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes())]
+                    row = [doc, k, start, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes()), task, seen[len(part)]]
+                    seen[len(part)] += 1
                     for to, value in zip(out, [*row, part.tolist()] if keep_ids else row, strict=True):
                         to.append(value)
             yield pa.record_batch([pa.array(c, f[1]) for c, f in zip(out, fields, strict=True)], schema=kinds)
@@ -249,14 +254,16 @@ def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, tokenizer_js
     """Every piece of every document with its sequence_id and its offset there. See the module's docstring.
 
     Pieces of one length are interchangeable, so each gets a rank among its length: a running count over the input's partitions plus
-    its place in its own partition. No key gathers more than one partition's pieces, however many pieces share a length."""
+    its place in its own partition, counted as it is made. So pieces stay where they are: only counts by length and partition are
+    shuffled, and joined back by a broadcast while they are few."""
     spark = docs.sparkSession
-    pieces = stage(token_pieces(docs, capacity, separator, tokenizer_json, ranks_file, keep_ids).withColumn("part", F.spark_partition_id()), "pieces")
+    pieces = stage(token_pieces(docs, capacity, separator, tokenizer_json, ranks_file, keep_ids), "pieces")
+    histogram = pieces.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("place") == 0).alias("parts")).collect()  # at most capacity rows
+    counts = {r["length"]: r["n"] for r in histogram}
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     before = by_part.select("length", "part", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("place", place).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place") - 1).drop("before", "place", "part")
+    before = small(before, sum(r["parts"] for r in histogram), BROADCAST_ROWS)
+    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "part")
 
     slots: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     taken: dict[int, int] = defaultdict(int)

@@ -107,6 +107,39 @@ def test_pieces_and_places(spark, odd, odd_rows):
             assert r.token_ids == ids[r.start : r.start + r.length] and (r.length == 2048 or r.piece == 0)
 
 
+@pytest.mark.parametrize("most", [0, 400_000])
+def test_places_are_whole_by_join_and_by_broadcast(spark, monkeypatch, most):
+    """Many pieces of few lengths over many partitions: each place is used once, without gaps, whichever way the counts are joined."""
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", most, raising=False)
+    docs = spark.range(3000, numPartitions=7).selectExpr("id AS doc_id", "repeat('word ', cast(id % 5 * 150 AS int)) AS text")
+    got = packing.pack(docs).collect()
+    assert Counter(r.doc_id for r in got) == dict.fromkeys(range(3000), 1)
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for rows in by_sequence.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by_sequence) == bins(packing.plan(Counter(r.length for r in got), 2048))
+
+
+def test_pieces_stay_in_their_partitions(spark):
+    """The pieces themselves are not shuffled: a large number of shuffle partitions doesn't cut the result into as many tasks and files."""
+    held = {"spark.sql.shuffle.partitions": "53", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = packing.pack(spark.range(2000, numPartitions=5).selectExpr("id AS doc_id", "repeat('a b ', cast(id % 400 AS int)) AS text"))
+        assert got.count() == 2000 and got.rdd.getNumPartitions() <= 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_table(none):
     assert packing.pack(none).collect() == []
 
