@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import mathfn, text, vectors
 from lumenframe.models import cbow, histogram, nce, registry, textcnn
 from lumenframe.operators import batching, lookups, metrics, sampling, trees
-from lumenframe.operators.staging import shared_dir
+from lumenframe.operators.staging import shared_dir, staged
 from lumenframe.sources import formats, sinks, sorted_set, tfrecord
 from lumenframe.streaming import scoring, seen
 
@@ -1284,7 +1284,8 @@ def train_ensemble(t: Tables) -> DataFrame:
 def word2vec(t: Tables) -> DataFrame:
     """Frequent words, the length of their vectors, and the nearest other word."""
     turns = t.conversations.select(text.tokens(F.col("text")).alias("words"))
-    found = registry.word2vec(turns, "words", size=8, least=5, rounds=3).getVectors().select("word", vector_to_array("vector").alias("vector"))
+    model = registry.word2vec(turns, "words", size=8, least=5, rounds=3)
+    found = staged(model.getVectors().select("word", vector_to_array("vector").alias("vector")))  # else the driver works on each copy itself
     near = lookups.top_k_cosine(found, "word", "vector", found, 1).select(F.col("query_id").alias("word"), F.col("neighbor_id").alias("neighbor"), "similarity")
     return found.select("word", vectors.norm(F.col("vector")).alias("length")).join(near, "word")
 
