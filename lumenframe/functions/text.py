@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +131,37 @@ def encode(df: DataFrame, key: str, words: str, vocab: DataFrame, offset: int =
     return joined.select(key, "pos", "word", (F.coalesce("id", F.lit(0)) + offset).cast("int").alias("id"))
 
 
+def id_lists(df: DataFrame, key: str, text: str, vocab: DataFrame, unknown: int = 0, keep: tuple[str, ...] = (), most: int = 32 << 20) -> DataFrame:
+    """key, the columns to keep, and ids: those of a text's tokens, in their order, `unknown` for those that the vocabulary lacks; none of a null text. A
+    vocabulary of up to `most` bytes is sent to the workers and texts stay where they are; else words are joined to it, and keys must
+    tell rows apart."""
+    known = vocab.filter("id > 0").select("word", F.col("id").cast("int").alias("id"))
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    if 16 * n + size > most:
+        ids = encode(df.select(key, tokens(F.col(text)).alias("words")), key, "words", vocab).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("ids"))
+        ids = ids.select(key, F.transform("ids", lambda x: F.when(x["id"] > 0, x["id"]).otherwise(F.lit(unknown))).alias("ids"))
+        return df.select(key, *keep).join(ids, key, "left").select(key, *keep, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    table = known.toArrow()  # of a checked size
+    sent = df.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), table["id"].to_numpy()))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers = sent.value
+        numbers = np.append(numbers, unknown).astype(np.int32)
+        for batch in it:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                split = pc.ascii_split_whitespace(part.column(part.num_columns - 1))  # as \\s+ of tokens()
+                found, ends = split.flatten(), split.offsets.to_numpy()
+                some = pc.not_equal(found, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+                at = pc.index_in(found, value_set=words).fill_null(len(numbers) - 1).to_numpy()
+                ends = np.r_[0, np.cumsum(some)][ends - ends[0]].astype(np.int32)
+                yield pa.record_batch([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[at[some]]))], names=[key, *keep, "ids"])
+
+    held = df.select(key, *keep)
+    lower = df.select(key, *keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
+    return lower.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema) + ", ids array<int>")
+
+
 def skipgrams(df: DataFrame, key: str, words: str, window: int) -> DataFrame:
     """key, pos, center, context: all pairs of words at most `window` positions apart in a text; nothing wraps round."""
     if window < 1:

@@ -57,8 +57,9 @@ class Optimiser:
             self.second = (self.second if self.steps > 1 else 0.1) + gradient**2
             return weights - self.rate * gradient / np.sqrt(self.second)
         self.first, self.second = 0.9 * self.first + 0.1 * gradient, 0.999 * self.second + 0.001 * gradient**2
-        mean, spread = self.first / (1 - 0.9**self.steps), self.second / (1 - 0.999**self.steps)
-        return weights - self.rate * mean / (np.sqrt(spread) + 1e-8)
+        spread = np.sqrt(self.second / (1 - 0.999**self.steps))
+        spread += 1e-8
+        return weights - self.rate / (1 - 0.9**self.steps) * (self.first / spread)
 
     def sums(self, size: int) -> np.ndarray:
         """What the next step depends on besides the weights, as one vector."""
@@ -160,7 +161,7 @@ def descend(rows: DataFrame, gradient: Gradient, weights: Weights, key: str = "r
         state, losses = arrays["state"], facts["losses"]
         if facts.get("ended"):
             return Descended(shaped(state[:size], weights), losses)
-    dealt = staged(rows.dropna().withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartition(parts, "__part"))
+    dealt = staged(rows.dropna().withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartitionById(parts, "__part"))  # by hash, one task would get several parts
     names = [c for c in rows.columns if c != key]
     for epoch in range(first, epochs):
         now = rows.sparkSession.sparkContext.broadcast(state)

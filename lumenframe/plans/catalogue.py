@@ -1112,10 +1112,9 @@ def train_softmax_sgd(t: Tables) -> DataFrame:
 
 def quality_ids(t: Tables, size: int, narrow: int | None = None) -> tuple[DataFrame, DataFrame]:
     """row, label, ids of the labelled documents, and the vocabulary; ids are places in the vocabulary of `size` words, 0 for the rest."""
-    words = t.documents.join(t.labels, "doc_id").select(F.col("doc_id").alias("row"), F.col("quality").alias("label"), "text", text.tokens(F.col("text")).alias("words"))
-    vocab = text.vocabulary(words, "text", size)
-    ids = text.encode(words, "row", "words", vocab).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    return words.select("row", "label").join(ids, "row", "left").select("row", "label", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), vocab
+    words = t.documents.join(t.labels, "doc_id").select(F.col("doc_id").alias("row"), F.col("quality").alias("label"), "text")
+    vocab = text.vocabulary(words, "text", size).persist()
+    return text.id_lists(words, "row", "text", vocab, keep=("label",)), vocab
 
 
 @query()
@@ -1165,9 +1164,9 @@ def nce_loss(t: Tables) -> DataFrame:
 @query()
 def train_nce(t: Tables) -> DataFrame:
     """Each frequent word's nearest other by vectors trained on all documents."""
-    rows = t.documents.select(F.col("doc_id").alias("row"), "text", text.tokens(F.col("text")).alias("words"))
+    rows = t.documents.select(F.col("doc_id").alias("row"), "text")
     vocab = text.vocabulary(rows, "text", 500).persist()
-    ids = text.encode(rows, "row", "words", vocab).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: F.when(x["id"] > 0, x["id"])).alias("ids"))
+    ids = text.id_lists(rows, "row", "text", vocab, unknown=-1).filter(F.size("ids") > 0)
     found, _ = nce.fit(ids, vocab, size=12, window=2, draws=32, optimiser="adam", rate=0.1, batch=2, epochs=6, parts=4)
     near = lookups.top_k_cosine(found.filter("id > 0"), "id", "vector", found.filter("id > 0"), 1)
     named = vocab.select("id", "word")
