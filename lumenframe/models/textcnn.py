@@ -23,6 +23,7 @@ from lumenframe.models.descent import Checkpoints, Descended, Weights, descend,
 #: The most bytes of word vectors that are broadcast; larger tables are joined.
 BROADCAST_BYTES = 64 << 20
 _BLOCK = 4096  # places of a text that are handled at once
+_TOGETHER = 1 << 15  # words of short texts that are handled at once in training
 
 
 def pooled(words: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -79,7 +80,7 @@ class TextCnn:
             def of(asked: np.ndarray | None) -> float | None:
                 if asked is None:
                     return None
-                asked = np.array([-1 if x is None or x != x else x for x in asked], np.int64)
+                asked = asked.astype(np.int64) if asked.dtype.kind == "i" else np.array([-1 if x is None or x != x else x for x in asked], np.int64)
                 at = np.minimum(np.searchsorted(ids, asked), len(ids))
                 missing = (at == len(ids)) | (ids[np.minimum(at, len(ids) - 1)] != asked) if len(ids) else np.ones(len(asked), bool)
                 return model.one(rows[np.where(missing, len(ids), at)])
@@ -129,37 +130,83 @@ def loss_of(widths: tuple[int, ...], keep: float = 1.0):
     """The logistic loss and its slopes for rows of ids and label (0 or 1). weights: words (a vector for each id), f<width> and b<width>
     (filters and biases of each width), out and bias. keep: the chance that a filter's output is kept in training (dropout)."""
 
+    wide = max(widths)
+
+    def together(weights: Weights, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, kept: np.ndarray, slopes: Weights) -> float:
+        """Adds the slopes of a few texts, which stand one after another in x (-1: no vector), and returns their loss."""
+        vectors, starts = weights["words"], np.r_[0, np.cumsum(sizes)[:-1]]
+        known = (x >= 0) & (x < len(vectors))
+        words = vectors[np.where(known, x, 0)]
+        words[~known] = 0.0
+        found = [_places_of(words, starts, sizes, weights[f"f{w}"], weights[f"b{w}"]) for w in widths]
+        pooled_all = np.maximum(np.concatenate([best for best, _ in found], axis=1), 0) * kept
+        z = pooled_all @ weights["out"] + weights["bias"][0]
+        over = 1 / (1 + np.exp(-z)) - labels
+        slopes["out"] += over @ pooled_all
+        slopes["bias"] += over.sum()
+        back = np.split(over[:, None] * weights["out"] * kept, np.cumsum([best.shape[1] for best, _ in found])[:-1], axis=1)
+        at, moved = [], []
+        for width, (best, where), slope in zip(widths, found, back, strict=True):
+            live = np.where(best > 0, slope, 0.0)  # text x filter
+            slopes[f"b{width}"] += live.sum(axis=0)
+            for o in range(width):
+                slopes[f"f{width}"][o] += np.einsum("tk,tkd->dk", live, words[where + o])
+                at.append((where + o).ravel())
+                moved.append((live[:, :, None] * weights[f"f{width}"][o].T).reshape(-1, vectors.shape[1]))
+        at, moved = np.concatenate(at), np.concatenate(moved)
+        at, moved = x[at[known[at]]], moved[known[at]]
+        cells = (at[:, None] * vectors.shape[1] + np.arange(vectors.shape[1])).ravel()
+        slopes["words"] += np.bincount(cells, moved.ravel(), vectors.size).reshape(vectors.shape)
+        return float((softplus(z) - labels * z).sum())
+
     def loss(weights: Weights, rows: pa.Table, rng: np.random.Generator) -> tuple[float, Weights]:
-        vectors, total = weights["words"], 0.0
-        slopes = {k: np.zeros_like(w) for k, w in weights.items()}
-        counts = [weights[f"b{w}"].size for w in widths]
-        for ids, label in zip(rows["ids"].to_pylist(), rows["label"].to_pylist(), strict=True):
-            ids = np.array([-1 if x is None else x for x in ids] + [-1] * max(0, max(widths) - len(ids)), np.int64)
-            known = (ids >= 0) & (ids < len(vectors))
-            words = np.where(known[:, None], vectors[np.where(known, ids, 0)], 0.0)
-            found = [_places(words, weights[f"f{w}"], weights[f"b{w}"]) for w in widths]
-            kept = (rng.random(sum(counts)) < keep) / keep if keep < 1 else np.ones(sum(counts))
-            pooled_all = np.maximum(np.concatenate([best for best, _ in found]), 0) * kept
-            z = float(pooled_all @ weights["out"] + weights["bias"][0])
-            total += float(softplus(np.array(z)) - label * z)
-            over = 1 / (1 + np.exp(-z)) - label
-            slopes["out"] += over * pooled_all
-            slopes["bias"] += over
-            back = np.split(over * weights["out"] * kept, np.cumsum(counts)[:-1])
-            touched = np.zeros_like(words)
-            for width, (best, where), slope in zip(widths, found, back, strict=True):
-                live = np.flatnonzero((best > 0) & (slope != 0))
-                slopes[f"b{width}"][live] += slope[live]
-                for o in range(width):
-                    at = where[live] + o
-                    slopes[f"f{width}"][o][:, live] += (words[at] * slope[live, None]).T
-                    np.add.at(touched, at, slope[live, None] * weights[f"f{width}"][o][:, live].T)
-            np.add.at(slopes["words"], ids[known], touched[known])
+        slopes, total = {k: np.zeros_like(w) for k, w in weights.items()}, 0.0
+        count = sum(weights[f"b{w}"].size for w in widths)
+        kept = (rng.random((rows.num_rows, count)) < keep) / keep if keep < 1 else np.ones((rows.num_rows, count))
+        labels = rows["label"].to_numpy().astype(np.float64)
+        x, lengths = _joined(rows["ids"], wide)
+        ends = np.r_[0, np.cumsum(lengths)]
+        low = 0
+        while low < len(lengths):  # as many texts as are _TOGETHER words long, one at least
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + _TOGETHER, "right")) - 1)
+            total += together(weights, x[ends[low] : ends[high]], lengths[low:high], labels[low:high], kept[low:high], slopes)
+            low = high
         return total, slopes
 
     return loss
 
 
+def _joined(ids: pa.ChunkedArray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after another, each filled up with -1 (as nulls are) to at least so many; and how many each then has."""
+    parts = [c for c in ids.chunks if len(c)]
+    sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in parts] or [np.empty(0)]).astype(np.int64)
+    flat = [c.flatten() for c in parts]
+    values = np.concatenate([(f.fill_null(-1) if f.null_count else f).to_numpy(zero_copy_only=False) for f in flat] or [np.empty(0)]).astype(np.int64)
+    lengths = np.maximum(sizes, least)
+    x = np.full(lengths.sum(), -1, np.int64)
+    x[np.arange(len(values)) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(sizes) - sizes), sizes)] = values
+    return x, lengths
+
+
+def _places_of(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_places() of each of the texts that stand one after another in words, text x filter; places are those in words."""
+    if len(starts) == 1:
+        best, where = _places(words, filters, bias)
+        return best[None], where[None]
+    width, (_, dim, count) = len(filters), filters.shape
+    each = words @ filters.transpose(1, 0, 2).reshape(dim, width * count)
+    found = np.full((len(words), count), -np.inf)  # a window may end in the next text: those are left out
+    found[: len(words) - width + 1] = sum(each[o : len(words) - width + 1 + o, o * count : (o + 1) * count] for o in range(width)) + bias
+    for o in range(1, width):
+        found[starts + sizes - o] = -np.inf
+    best = np.maximum.reduceat(found, starts, axis=0)
+    text, place = np.repeat(np.arange(len(starts)), sizes), np.arange(len(words))
+    where = np.full(best.shape, len(words), np.int64)
+    at, of = np.nonzero(found == best[text])
+    np.minimum.at(where, (text[at], of), place[at])
+    return best, where
+
+
 def first_weights(words: int, dim: int, widths: tuple[int, ...], filters: int, seed: int = 0) -> Weights:
     """Words uniform within +-0.5 / dim, filters and the last layer normal with deviation 0.1, biases 0.1."""
     rng = np.random.default_rng(seed)
