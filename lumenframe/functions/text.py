@@ -180,8 +180,8 @@ def skipgrams(df: DataFrame, key: str, words: str, window: int) -> DataFrame:
 
 
 def skipgram_counts(df: DataFrame, words: str, window: int) -> DataFrame:
-    """center, context, n: how often skipgrams() has each pair. Pairs are symmetric, so each is made once, in the text's direction, and
-    turned round when it is counted: half the rows are made and half the keys are shuffled."""
+    """center, context, n: how often skipgrams() has each pair. Pairs are symmetric, so each is made once, with the lower word first, counted,
+    and turned round after that: keys are shuffled once, and once for both directions."""
     if window < 1:
         raise ValueError("the window must be 1 or more")
     a = F.col(words)
@@ -191,9 +191,11 @@ def skipgram_counts(df: DataFrame, words: str, window: int) -> DataFrame:
         return F.arrays_zip(F.slice(a, 1, size).alias("x"), F.slice(a, 1 + d, size).alias("y"))
 
     once = df.select(F.inline(F.concat(*(ahead(d) for d in range(1, window + 1)))))
-    counted = once.groupBy("x", "y").agg(F.count("*").alias("n"))
-    both = counted.select(F.explode(F.array(F.struct(F.col("x").alias("center"), F.col("y").alias("context")), F.struct(F.col("y").alias("center"), F.col("x").alias("context")))).alias("p"), "n")
-    return both.groupBy("p.center", "p.context").agg(F.sum("n").alias("n"))
+    swap = F.coalesce(F.col("y") < F.col("x"), F.col("y").isNull())
+    counted = once.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    pair = lambda c, o, n: F.struct(F.col(c).alias("center"), F.col(o).alias("context"), n.alias("n"))
+    both = F.when(F.col("x").eqNullSafe(F.col("y")), F.array(pair("x", "y", F.col("n") * 2))).otherwise(F.array(pair("x", "y", F.col("n")), pair("y", "x", F.col("n"))))
+    return counted.select(F.inline(both))
 
 
 def skipgram_samples(df: DataFrame, key: str, words: str, window: int, num_skips: int, seed: int = 0) -> DataFrame:
