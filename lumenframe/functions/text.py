@@ -180,22 +180,96 @@ def skipgrams(df: DataFrame, key: str, words: str, window: int) -> DataFrame:
 
 
 def skipgram_counts(df: DataFrame, words: str, window: int) -> DataFrame:
-    """center, context, n: how often skipgrams() has each pair. Pairs are symmetric, so each is made once, with the lower word first, counted,
-    and turned round after that: keys are shuffled once, and once for both directions."""
+    """center, context, n: how often skipgrams() has each pair. Pairs are symmetric, so each is made once, with the lower word first, and
+    turned round when all are counted. Tasks count the pairs of some millions of words, deal them out by hash, and write what goes to a
+    bucket in one piece: its words once, and the pairs by their numbers, sorted and compressed. So a pair takes a few bytes of the one
+    shuffle, not two texts. A bucket's different pairs are held by one task: set spark.sql.shuffle.partitions to fit."""
     if window < 1:
         raise ValueError("the window must be 1 or more")
-    a = F.col(words)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    pieces = df.select(F.col(words).cast("array<string>").alias("words")).mapInArrow(_pieces(window, parts), "bucket int, piece binary")
+    return pieces.repartitionById(parts, "bucket").mapInArrow(_summed, "center string, context string, n bigint")
 
-    def ahead(d: int) -> Column:
-        size = F.greatest(F.size(a) - d, F.lit(0))
-        return F.arrays_zip(F.slice(a, 1, size).alias("x"), F.slice(a, 1 + d, size).alias("y"))
-
-    once = df.select(F.inline(F.concat(*(ahead(d) for d in range(1, window + 1)))))
-    swap = F.coalesce(F.col("y") < F.col("x"), F.col("y").isNull())
-    counted = once.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
-    pair = lambda c, o, n: F.struct(F.col(c).alias("center"), F.col(o).alias("context"), n.alias("n"))
-    both = F.when(F.col("x").eqNullSafe(F.col("y")), F.array(pair("x", "y", F.col("n") * 2))).otherwise(F.array(pair("x", "y", F.col("n")), pair("y", "x", F.col("n"))))
-    return counted.select(F.inline(both))
+
+_WORDS = 2_000_000  # of which a task counts the pairs at once
+_OUT = 200_000
+
+
+def _pieces(window: int, parts: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = batch.column(0)
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy())]
+            low = 0
+            while low < len(texts):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + _WORDS, "right")) - 1)
+                yield from _pieces_of(texts.slice(low, high - low), np.diff(ends[low : high + 1]), window, parts)
+                low = high
+
+    return run
+
+
+def _pieces_of(texts: pa.ListArray, sizes: np.ndarray, window: int, parts: int) -> Iterator[pa.RecordBatch]:
+    found = texts.flatten().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(found.dictionary, null_placement="at_start")
+    known = found.dictionary.take(order)
+    rank = np.empty(len(known), np.int64)
+    rank[order.to_numpy()] = np.arange(len(known))
+    x, row = rank[found.indices.to_numpy()], np.repeat(np.arange(len(sizes)), sizes)
+    codes = [np.empty(0, np.int64)]
+    for d in range(1, min(window, max(0, len(x) - 1)) + 1):
+        near = row[:-d] == row[d:]
+        a, b = x[:-d][near], x[d:][near]
+        codes.append(np.minimum(a, b) * len(known) + np.maximum(a, b))
+    code, times = np.unique(np.concatenate(codes), return_counts=True)
+    if not len(code):
+        return
+    lower, higher = np.divmod(code, len(known))
+    sign = pd.util.hash_array(np.array([x or "" for x in known.to_pylist()], dtype=object), categorize=False)  # the same in every task
+    sign[: known.null_count] = 1
+    mixed = (sign[lower] * np.uint64(0x9E3779B97F4A7C15) + sign[higher]) * np.uint64(0xBF58476D1CE4E5B9)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(bucket, minlength=parts))]
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        at = order[ends[k] : ends[k + 1]]
+        used, local = np.unique(np.concatenate([lower[at], higher[at]]), return_inverse=True)
+        low, high = local[: len(at)], local[len(at) :]
+        columns = [known.take(pa.array(used)), *(pa.array(v.astype(np.int32)) for v in (np.diff(low, prepend=0), high)), pa.array(times[at])]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        sink, piece = pa.BufferOutputStream(), pa.record_batch(lists, names=["words", "step", "high", "times"])
+        with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(piece)
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "piece"])
+
+
+def _summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of the pieces in a partition, which holds all of a bucket's."""
+    held: list[list] = [[], [], [], []]
+    before = 0
+    for batch in it:
+        for piece in batch.column(1):
+            found = pa.ipc.open_stream(piece.as_buffer()).read_next_batch()
+            words, step, high, times = (c.flatten() for c in found.columns)
+            for own, value in zip(held, (words, np.cumsum(step.to_numpy().astype(np.int64)) + before, high.to_numpy().astype(np.int64) + before, times.to_numpy()), strict=True):
+                own.append(value)
+            before += len(words)
+    if not held[0]:
+        return
+    found = pa.concat_arrays(held[0]).dictionary_encode(null_encoding="encode")
+    at, known = found.indices.to_numpy().astype(np.int64), found.dictionary
+    code, times = at[np.concatenate(held[1])] * len(known) + at[np.concatenate(held[2])], np.concatenate(held[3])
+    held.clear()
+    order = np.argsort(code)
+    code, times = code[order], times[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    low, high = np.divmod(code[first], len(known))
+    times = np.add.reduceat(times, first)
+    for k in range(0, len(low), _OUT):
+        a, b, n = low[k : k + _OUT], high[k : k + _OUT], times[k : k + _OUT]
+        two = a != b
+        center, context = (known.take(pa.array(np.concatenate(v))) for v in ((a, b[two]), (b, a[two])))
+        yield pa.record_batch([center, context, pa.array(np.concatenate([np.where(two, n, 2 * n), n[two]]))], names=["center", "context", "n"])
 
 
 def skipgram_samples(df: DataFrame, key: str, words: str, window: int, num_skips: int, seed: int = 0) -> DataFrame:
